@@ -1,6 +1,6 @@
 """Quality classifier: overlapping heuristic labellers, their accuracies by expectation-maximisation, a hashed linear scorer.
 
-Each labeller votes good, bad or nothing. Votes of all documents are counted by pattern in Spark; of 3^8 patterns at
+Each labeller votes good, bad or nothing. Votes of all documents are counted by pattern in Spark; of 3^9 patterns at
 most, EM on the counts finds how often each labeller is right about good and about bad texts, and a posterior for each
 pattern. Posteriors are the soft labels of a logistic scorer on hashed word shapes.
 """
@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 BAD, GOOD, NONE = 0, 1, 2
 FEATURE_BITS = 16
+#: The feature for doubled words, after those of shapes.
+TWICE = 1 << FEATURE_BITS
 #: Training bound of the scorer; votes are counted over all documents.
 MAX_TEXTS = 20_000
 KEEP = 0.5
@@ -36,7 +39,7 @@ def _vote(value: float, good: bool, bad: bool) -> int:
 
 
 def votes(text: str) -> list[int]:
-    """The labellers' votes on a text: symbols, capitals, symbol tails, table bars, word length, sentence ends, repeated lines, length."""
+    """The labellers' votes on a text: symbols, capitals, symbol tails, table bars, word length, sentence ends, repeated lines, length, doubled words."""
     words = text.split()
     n, chars = len(words), max(1, len(text))
     symbols, capitals = len(_SYMBOL.findall(text)) / chars, len(_UPPER.findall(text)) / chars
@@ -44,6 +47,7 @@ def votes(text: str) -> list[int]:
     length = sum(map(len, words)) / max(1, n)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     ends = sum(x[-1] in ".!?\"')" for x in lines) / max(1, len(lines))
+    twice = sum(map(eq, words, words[1:])) / max(1, n - 1)
     again = 1 - len(set(lines)) / max(1, len(lines))
     return [
         _vote(symbols, symbols < 0.02, symbols > 0.06),
@@ -54,10 +58,11 @@ def votes(text: str) -> list[int]:
         _vote(ends, ends >= 0.6, n > 0 and ends < 0.1),
         _vote(again, again < 0.1, again > 0.3),
         _vote(n, n >= 20, n < 3),
+        _vote(twice, twice < 0.03, twice > 0.15),
     ]
 
 
-LABELLERS = 8
+LABELLERS = 9
 
 
 @dataclass(frozen=True)
@@ -89,12 +94,13 @@ def expectation_maximisation(patterns: np.ndarray, count: np.ndarray, rounds: in
 
 
 def shapes(words: list[str], known: dict[str, int]) -> dict[int, float]:
-    """Share of each hashed word shape (capitals, small letters, digits, other letters, symbols; runs as one) and pair of shapes."""
+    """Share of each hashed word shape (capitals, small letters, digits, other letters, symbols; runs as one), and of words that repeat the one before."""
     for w in set(words).difference(known):
         known[w] = zlib.crc32(_RUNS.sub(r"\1", w.translate(_SHAPE)).encode("utf-8", "replace")) >> (32 - FEATURE_BITS)
     ids = list(map(known.__getitem__, words))
     n = max(1, len(ids))
-    return {k: v / n for k, v in Counter(ids).items()}
+    out = {k: v / n for k, v in Counter(ids).items()}
+    return out | {TWICE: sum(map(eq, words, words[1:])) / n}
 
 
 @dataclass(frozen=True)
@@ -113,7 +119,7 @@ def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, r
     col = np.concatenate([np.array(r[0], np.int64) for r in rows] or [np.zeros(0, np.int64)])
     val = np.concatenate([np.array(r[1], float) for r in rows] or [np.zeros(0)])
     y = np.array([r[2] for r in rows])
-    w, b, seen, seen_b = np.zeros(1 << FEATURE_BITS), 0.0, np.full(1 << FEATURE_BITS, 1e-8), 1e-8
+    w, b, seen, seen_b = np.zeros(TWICE + 1), 0.0, np.full(TWICE + 1, 1e-8), 1e-8
     for _ in range(rounds if len(rows) else 0):
         z = np.bincount(doc, w[col] * val, len(rows)) + b
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
