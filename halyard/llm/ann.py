@@ -25,7 +25,9 @@ TABLES, HASHES, WIDTH = 2, 4, 1.2
 EDGE = 3
 #: Estimated chance, per table, that a neighbour lies in a visited cell.
 MASS = 0.8
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 32_768
+#: Queries that meet a block at a time; with more, each block meets them in as many groups.
+ASK_ROWS = 50_000
 #: Rows of the sample that the usual distance of the k-th neighbour is estimated from.
 SAMPLE = 2000
 SEED = 11
@@ -118,11 +120,14 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
         home[key] = range(block, block + split)
         block, room = (block + split - 1, 0) if split > 1 else (block, room - counts[key])
 
+    groups = max(1, -(-asked.count() // ASK_ROWS))
+
     def housed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [home[c] for c in b.column("cell").to_pylist()]
             where = [h[r % len(h)] for h, r in zip(at, b.column("rep").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b.column("rep"), b.column("v"), b.column("cell")], names=["block", "rep", "v", "cell"])
+            for g in range(groups):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(where) * groups + g, pa.int64()), b.column("rep"), b.column("v"), b.column("cell")], names=["block", "rep", "v", "cell"])
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -135,10 +140,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
                         for c in seen.tolist():
                             for h in home.get(c, ()):
                                 visits.setdefault(h, []).append(c)
-                        rows += [(h, ids[i], b.column("v")[i].as_py(), cs) for h, cs in visits.items()]
+                        rows += [(h * groups + ids[i] * 2654435761 // 65536 % groups, ids[i], b.column("v")[i].as_py(), cs) for h, cs in visits.items()]
                 if rows:
                     h, i, v, cs = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int32()), pa.array(i, pa.int64()), pa.array(v, pa.list_(pa.float64())), pa.array(cs, pa.list_(pa.int64()))], names=["block", "query_id", "q", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(v, pa.list_(pa.float64())), pa.array(cs, pa.list_(pa.int64()))], names=["block", "query_id", "q", "cells"])
 
     most = k + 1
 
@@ -159,11 +164,13 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
             r, c = np.repeat(np.arange(len(q)), m), best.ravel()
             ok = s[r, c] > -np.inf
             r, c = r[ok], c[ok]
-            parts.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[r], "rep": rep[c], "score": np.einsum("ij,ij->i", q[r], x[c])}))
+            got = pd.DataFrame({"query_id": some["query_id"].to_numpy()[r], "rep": rep[c], "score": np.einsum("ij,ij->i", q[r], x[c])})
+            got = got.drop_duplicates(["query_id", "rep"]).sort_values(["query_id", "score", "rep"], ascending=[True, False, True])
+            parts.append(got[got.groupby("query_id").cumcount() < most])
         return pd.concat(parts)
 
-    blocks = placed.mapInArrow(housed, "block int, rep bigint, v array<double>, cell bigint").groupBy("block")
-    asks = asked.mapInArrow(probing, "block int, query_id bigint, q array<double>, cells array<bigint>").groupBy("block")
+    blocks = placed.mapInArrow(housed, "block bigint, rep bigint, v array<double>, cell bigint").groupBy("block")
+    asks = asked.mapInArrow(probing, "block bigint, query_id bigint, q array<double>, cells array<bigint>").groupBy("block")
     near = blocks.cogroup(asks).applyInPandas(meet, "query_id bigint, rep bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     found = near.groupBy("query_id", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).drop("n")
