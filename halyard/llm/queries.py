@@ -65,7 +65,7 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(len(ws) - 12)) AS i, ws FROM w WHERE len(ws) >= 13),
 g AS (SELECT doc_id, i, list_slice(ws, i + 1, i + 13) AS win FROM s),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM g) WHERE first < doc_id),
@@ -73,7 +73,7 @@ gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM r, range(13) t(k)),
 marks AS (SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ats), 0)::BIGINT AS n_removed,
        sha256(CASE WHEN ats IS NULL THEN array_to_string(ws, ' ')
-                   ELSE array_to_string(list_filter(ws, (x, k) -> NOT list_contains(ats, k - 1)), ' ') END) AS kept_sha256
+                   ELSE array_to_string(list_filter(ws, lambda x, k: NOT list_contains(ats, k - 1)), ' ') END) AS kept_sha256
 FROM w LEFT JOIN marks USING (doc_id)"""
 
 

@@ -4,10 +4,11 @@ Words get 64-bit names. A round names maximal runs of one symbol, then splits th
 names each pair (left, right) anew. A name depends on content alone, so all tasks give equal substrings equal symbols
 without asking each other, except for a few symbols at either end, which depend on what stands beside. With each symbol
 goes the span of words that decides it. A window's interior symbols are those whose span lies inside it; the smallest
-name among those of the highest level that has any is its anchor, so equal windows have equal anchors everywhere.
+name, hashed with the words of its span, among those of the highest level that has any is its anchor, so equal windows have equal anchors everywhere.
 
 Anchors that only one document holds need no more work. Windows beside each other with one anchor form a stretch. If all
-stretches of an anchor are equal, the anchor's first document decides them; else their windows are compared one by one.
+stretches of an anchor are equal, the anchor's first document decides them; else the windows of its distinct stretches
+are compared one by one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +105,20 @@ def stretches(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds
     none = np.zeros(0, np.int64)
     if not len(start):
         return Stretches(none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64))
+    power = np.cumprod(np.full(n + 1, _B, np.uint64)) * _B_INVERSE
+    back = np.cumprod(np.full(n + 1, _B_INVERSE, np.uint64)) * _B
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * power[:n], out=prefix[1:])
+
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix64((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
     best, who = np.zeros(len(start), np.uint64), np.full(len(start), -1)
     open_ = np.arange(len(start))
     all_levels = levels(words, new, rounds)
     for level in range(rounds, -1, -1):
         x = all_levels[level]
-        key = mix64(x.name + np.uint64((level + 1) * int(_B) % (1 << 64)))
+        key = mix64(x.name ^ hashed(np.maximum(x.lo, 0), np.minimum(x.hi, n)))
         below_lo = np.cumsum(np.bincount(np.maximum(x.lo, -1) + 1, minlength=n + 2))  # symbols with lo < i, at i
         up_to_hi = np.cumsum(np.bincount(np.minimum(x.hi, n + 1), minlength=n + 2))  # symbols with hi <= i, at i
         i = start[open_]
@@ -129,14 +139,6 @@ def stretches(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds
     head[1:] = (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(head)
     first, last = start[at], start[np.append(at[1:], len(start)) - 1]
-    power = np.cumprod(np.full(n + 1, _B, np.uint64)) * _B_INVERSE
-    back = np.cumprod(np.full(n + 1, _B_INVERSE, np.uint64)) * _B
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * power[:n], out=prefix[1:])
-
-    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix64((prefix[b] - prefix[a]) * back[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
     inner = np.zeros(n, np.uint64)
     inner[start] = hashed(start, start + window)
     return Stretches(best[at], first, last, hashed(first, last + window), inner)
@@ -186,34 +188,52 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     often = spark.sparkContext.broadcast(bitmap(shared, "name"))
     mixed = spark.sparkContext.broadcast(bitmap(shared.where("not alike"), "name"))
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def located(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[tuple]:
+        """(batch, stretches, those that the bitmap lets through, their rows, word places of their texts' starts)"""
         for b in batches:
-            docs, keys = b.column("doc").to_numpy(), b.column("key").to_numpy()
             for rows, before, sizes, words in _parts(b, "text", window):
                 x = stretches(words, sizes, window)
-                some = np.flatnonzero(in_bitmap(often.value, x.name))
-                if not len(some):
-                    continue
-                name, first, last = x.name[some], x.first[some], x.last[some]
-                part = np.searchsorted(np.cumsum(sizes), first, "right")
-                shift = before[part] - (np.cumsum(sizes) - sizes)[part]
-                one = in_bitmap(mixed.value, name)
-                length = np.where(one, last + 1 - first, 0)
-                offsets = np.append(0, np.cumsum(length))
-                place = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, length)
-                inner = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.window[place].view(np.int64)))
-                span = (first + shift) << 32 | (last + shift)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(docs[rows[part]]), pa.array(keys[rows[part]]), pa.array(span), inner], names=["name", "doc", "key", "span", "inner"])
-
-    keyed = source.withColumn("key", F.xxhash64("text"))
-    held = keyed.mapInArrow(suspects, "name bigint, doc bigint, key bigint, span bigint, inner array<bigint>").join(shared, "name")
-    held = written(held.where("not alike or first < doc").select("doc", "key", "span", F.when(~F.col("alike"), F.col("inner")).alias("inner")), "substring-suspects")
-    whole = held.where("inner is null").select("doc", "key", "span")
-    single = held.where("inner is not null").select("doc", "key", "span", F.posexplode("inner").alias("k", "window"))
-    first = single.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
-    start = F.shiftright("span", 32) + F.col("k")
-    late = single.join(first, "window").where("first < doc").select("doc", "key", (F.shiftleft(start, 32) + start).alias("span"))
-    return whole.unionByName(late).groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
+                some = np.flatnonzero(in_bitmap(bits.value, x.name))
+                if len(some):
+                    part = np.searchsorted(np.cumsum(sizes), x.first[some], "right")
+                    yield b, x, some, rows[part], before[part] - (np.cumsum(sizes) - sizes)[part]
+
+    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
+        for b, x, some, rows, _ in located(batches, mixed):
+            cover, doc = x.cover[some].view(np.int64), b.column("doc").to_numpy()[rows]
+            fresh = []
+            for i, (c, d) in enumerate(zip(cover.tolist(), doc.tolist(), strict=True)):
+                if met.get(c, d + 1) > d:
+                    met[c] = d
+                    fresh.append(i)
+            if len(met) > 1 << 19:  # only spares the shuffle some rows
+                met.clear()
+            first, last = x.first[some][fresh], x.last[some][fresh]
+            offsets = np.append(0, np.cumsum(last + 1 - first))
+            place = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, last + 1 - first)
+            inner = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.window[place].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(cover[fresh]), pa.array(doc[fresh]), inner], names=["cover", "doc", "inner"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x, some, rows, shift in located(batches, often):
+            span = (x.first[some] + shift) << 32 | (x.last[some] + shift)
+            yield pa.RecordBatch.from_arrays([pa.array(x.name[some].view(np.int64)), pa.array(x.cover[some].view(np.int64)), pa.array(b.column("doc").to_numpy()[rows]), pa.array(b.column("key").to_numpy()[rows]), pa.array(span)], names=["name", "cover", "doc", "key", "span"])
+
+    # each distinct stretch of the anchors that have several: the first document of each of its windows
+    distinct = source.mapInArrow(covers, "cover bigint, doc bigint, inner array<bigint>").groupBy("cover").agg(F.min("doc").alias("doc"), F.max("inner").alias("inner"))
+    distinct = written(distinct, "substring-stretches")
+    single = distinct.select("cover", "doc", F.posexplode("inner").alias("k", "window"))
+    first = single.groupBy("window").agg(F.min("doc").alias("first"))
+    known = single.join(first, "window").groupBy("cover").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "first"))), lambda x: x["first"]).alias("firsts"))
+
+    held = source.withColumn("key", F.xxhash64("text")).mapInArrow(places, "name bigint, cover bigint, doc bigint, key bigint, span bigint")
+    held = held.join(shared, "name")
+    whole = held.where("alike and first < doc").select("doc", "key", F.array("span").alias("spans"))
+    some = held.where("not alike").select("cover", "doc", "key", "span").join(known, "cover").where("exists(firsts, f -> f < doc)")
+    start = "shiftright(span, 32) + k"
+    late = f"case when forall(firsts, f -> f < doc) then array(span) else filter(transform(firsts, (f, k) -> if(f < doc, shiftleft({start}, 32) + {start}, null)), x -> x is not null) end"
+    return whole.unionByName(some.select("doc", "key", F.expr(late).alias("spans"))).groupBy("doc", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), whole: bool = True) -> DataFrame:
@@ -223,10 +243,21 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     text as it is where nothing is removed (kept_sha256 is of the joined words always). Null texts have no words and stay
     null; texts of which all is removed are empty. See repeats() for null and repeated ids.
     """
-    spans = repeats(df, doc_id, text, window)
+    spans = written(repeats(df, doc_id, text, window).withColumnsRenamed({"doc": "_d", "key": "_k", "spans": "_spans"}), "substring-spans")
+    hit = df.sparkSession.sparkContext.broadcast(bitmap(spans, "_k"))
     names = list(dict.fromkeys([*keep, text]))
     rows = df.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("_doc"), F.xxhash64(text).alias("_key"))
-    joined = rows.join(spans.withColumnsRenamed({"doc": "_d", "key": "_k", "spans": "_spans"}), F.expr("_doc = _d and _key = _k"), "left").select(*names, "_spans")
+
+    def some(hits: bool):
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(in_bitmap(hit.value, b.column("_key").to_numpy()) == hits))
+
+        return rows.mapInArrow(pick, rows.schema)
+
+    # texts without repeats, as the bitmap says, stay where they are
+    far = some(True).join(spans, F.expr("_doc = _d and _key = _k"), "left").select(*names, "_spans")
+    joined = some(False).select(*names, F.lit(None).cast("array<bigint>").alias("_spans")).unionByName(far)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for all_rows in batches:
