@@ -116,9 +116,9 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     kind = df.schema[doc_id].dataType.simpleString()
     rows = written(source.mapInArrow(prefixes, f"doc_id {kind}, n bigint, cid bigint, other bigint, prefix_id bigint, prefix array<bigint>, common double"), "jaccard-prefixes")
     documents = rows.select("doc_id", "cid", "n")
-    each = rows.where("cid is not null").groupBy("cid", "other", "n", "prefix_id").agg(F.max("common").alias("common"))
-    members = written(each.select("cid", "n", "prefix_id", "common"), "jaccard-classes")
-    groups = written(rows.where("cid is not null").groupBy("prefix_id", "n").agg(F.first("prefix").alias("prefix")), "jaccard-groups")
+    each = rows.where("cid is not null").groupBy("cid", "other", "n", "prefix_id").agg(F.max("common").alias("common"), F.min("doc_id").alias("rep"))
+    members = written(each.select("cid", "n", "prefix_id", "common", F.xxhash64("rep").alias("rep")), "jaccard-classes")
+    groups = rows.where("cid is not null").select("prefix_id", "n", "prefix")
 
     # prefix n-grams that more than one group holds, and groups of more than one class
     every = groups.select("prefix_id", "n", F.explode("prefix").alias("gram"))
@@ -139,16 +139,15 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
                 m = len(key)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(m, pid)), pa.array(np.full(m, n)), pa.array(pos)], names=["key", "prefix_id", "n", "pos"])
 
-    looked_up = groups.mapInArrow(_batched(keys), "key bigint, prefix_id bigint, n bigint, pos int")
+    looked_up = groups.mapInArrow(_batched(keys), "key bigint, prefix_id bigint, n bigint, pos int").distinct()
     # expanded: the classes of each group under its keys
     expanded = looked_up.join(members, ["prefix_id", "n"]).select("key", "cid", "n", "pos", "common")
     lonely = expanded.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.max(F.struct("common", "cid", "n", "pos")).alias("lead")).where("a != b").select("key", "lead")
     met = written(expanded.join(lonely, "key").select("key", "cid", "n", "pos", "lead"), "jaccard-keys")
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * (least(pos, at) + 1 + least(n - pos, m - at) - 1) >= {percent} * (n + m)"
     stars = met.select("cid", "n", "pos", F.col("lead.cid").alias("to"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at")).where("cid != to").where(fits)
-    stars = written(stars.select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct(), "jaccard-stars")
-    sets = _sets(source, words, stars)
-    links = written(_verified(stars, sets, percent), "jaccard-links")
+    stars = written(stars.select(F.col("to").alias("a"), F.col("cid").alias("b")).distinct(), "jaccard-stars")
+    links = _verified(stars, source, members, words, percent)
     label = components(links)
 
     # pairs under one key that still lie in different components
@@ -157,11 +156,11 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     open_ = written(now.join(apart, "key"), "jaccard-open")
     other = open_.select("key", F.col("cid").alias("to"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("l"))
     rest = open_.join(other, "key").where("cid < to and label != l").where(fits).select(F.col("cid").alias("a"), F.col("to").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
+    known = stars.select("a", "b").unionByName(stars.selectExpr("b as a", "a as b"))
+    rest = written(rest.join(known, ["a", "b"], "left_anti"), "jaccard-rest")
     if rest.isEmpty():
         return documents, label
-    more = _verified(rest, _sets(source, words, rest), percent)
-    return documents, components(links.unionByName(more))
+    return documents, components(links.unionByName(_verified(rest, source, members, words, percent)))
 
 
 def _batched(run):
@@ -181,32 +180,58 @@ def _batched(run):
     return joined
 
 
-def _sets(source: DataFrame, words: int, pairs: DataFrame) -> DataFrame:
-    """cid, grams of the classes in pairs."""
-    asked = source.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))), "c"))
+#: Sets up to this size travel as 64-bit hashes; larger ones as 32-bit hashes, and pairs within SLACK of the limit again as 64-bit ones.
+WIDE_SIZE, SLACK = 500, 4
+
+
+def _sets(source: DataFrame, words: int, pairs: DataFrame, members: DataFrame, wide: int | None) -> DataFrame:
+    """cid, size, wide (64-bit hashes; null above `wide` n-grams), narrow (32-bit hashes, else null) of the classes in pairs.
+
+    Only the first document of each class is parsed, as a bitmap of fixed size tells.
+    """
+    asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    asked = written(asked.join(members, "cid").select("cid", "rep"), "jaccard-asked")
+    ids, reps = (source.sparkSession.sparkContext.broadcast(bitmap(asked, c)) for c in ("cid", "rep"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for _, sets in _slices(batches, "text", words):
-            ids = np.array([_class_id(s)[0] if len(s) else 0 for s in sets], np.int64)
+        some = (b.filter(pa.array(in_bitmap(reps.value, b.column("rep").to_numpy()))) for b in batches)
+        for _, sets in _slices(some, "text", words):
+            cids = np.array([_class_id(s)[0] if len(s) else 0 for s in sets], np.int64)
             out = []
-            for i in np.flatnonzero(in_bitmap(asked.value, ids) & np.array([len(s) > 0 for s in sets])).tolist():
-                if ids[i] not in met:
-                    met.add(int(ids[i]))
+            for i in np.flatnonzero(in_bitmap(ids.value, cids) & np.array([len(s) > 0 for s in sets], bool)).tolist():
+                if cids[i] not in met:
+                    met.add(int(cids[i]))
                     out.append(i)
             if len(met) > 1 << 20:  # only spares the shuffle some rows
                 met.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array([sets[i].view(np.int64) for i in out], pa.list_(pa.int64()))], names=["cid", "grams"])
-
-    return written(source.select("text").mapInArrow(pick, "cid bigint, grams array<bigint>").dropDuplicates(["cid"]), "jaccard-sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    first = sets.select(F.col("cid").alias("a"), F.col("grams").alias("x"))
-    second = sets.select(F.col("cid").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(second, "b").join(first, "a").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.where(f"{100 + percent} * i >= {percent} * (size(x) + size(y))").select("a", "b")
+            got = [sets[i] for i in out]
+            far = [wide is not None and len(s) > wide for s in got]
+            narrow = [np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32) if f else None for s, f in zip(got, far, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cids[out]), pa.array([len(s) for s in got], pa.int64()), pa.array([None if f else s.view(np.int64) for s, f in zip(got, far, strict=True)], pa.list_(pa.int64())), pa.array(narrow, pa.list_(pa.int32()))], names=["cid", "size", "wide", "narrow"])
+
+    return source.select("text", F.xxhash64("doc_id").alias("rep")).mapInArrow(pick, "cid bigint, size bigint, wide array<bigint>, narrow array<int>").dropDuplicates(["cid"])
+
+
+def _verified(pairs: DataFrame, source: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, written."""
+
+    def counted(pairs: DataFrame, wide: int | None) -> DataFrame:
+        sets = _sets(source, words, pairs, members, wide)
+        first = sets.select(F.col("cid").alias("a"), F.col("size").alias("m"), F.col("wide").alias("wide_a"), F.col("narrow").alias("narrow_a"))
+        both = pairs.join(sets, F.col("b") == F.col("cid")).drop("cid").join(first, "a")
+        exact = F.size(F.array_intersect("wide", "wide_a"))
+        about = F.size(F.array_intersect("narrow", "narrow_a"))
+        # 32-bit hashes of a set of at most `wide` n-grams beside a larger one: checked again
+        return both.select("a", "b", F.when(F.col("wide").isNotNull() & F.col("wide_a").isNotNull(), exact).alias("exact"), F.when(F.col("narrow").isNotNull() & F.col("narrow_a").isNotNull(), about).alias("about"), (F.col("size") + F.col("m")).alias("both"))
+
+    over = f"{100 + percent} * %s >= {percent} * both"
+    found = written(counted(pairs, WIDE_SIZE), "jaccard-counted")
+    sure = found.where(f"coalesce({over % 'exact'}, {over % f'(about - {SLACK})'}, false)").select("a", "b")
+    open_ = found.where(f"exact is null and (about is null or not ({over % f'(about - {SLACK})'}) and {over % f'(about + {SLACK})'})").select("a", "b")
+    if not open_.isEmpty():
+        sure = sure.unionByName(counted(open_, None).where(over % "exact").select("a", "b"))
+    return written(sure, "jaccard-links")
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
