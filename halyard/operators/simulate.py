@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.config import DEFAULT, Config
@@ -78,18 +78,34 @@ def scenario_ranges(scenarios: DataFrame) -> DataFrame:
     return out.select("unit_id", "scenario", F.col("w").alias("weight"), (high - F.col("w")).alias("low"), F.when(last, 1.0).otherwise(high).alias("high"))
 
 
-def draw_plan(units: DataFrame, scenarios: DataFrame, pool: DataFrame, spec: DataFrame, n_draws: int, config: Config = DEFAULT) -> DataFrame:
-    """unit_id, draw, scenario, pool, vol_factor. Stress is drawn only where every pool of the unit has rows enough."""
+def tail_factor(config: Config = DEFAULT, any_df: bool = False) -> Column:
+    """One factor for each draw: sqrt(df / chi-square) where the unit has tail_df, else 1.
+
+    Whole degrees of freedom up to 8 stay in the JVM; any_df allows others, whose numbers are drawn in Python.
+    """
+    squares = [F.pow(normal(config.seed, f"chi{k}", "unit_id", "draw"), F.lit(2)) for k in range(8)]
+    chi = sum((F.when(F.col("tail_df") > k, x).otherwise(0.0) for k, x in enumerate(squares)), F.lit(0.0))
+    if any_df:
+        whole = (F.col("tail_df") <= 8) & (F.col("tail_df") == F.floor("tail_df"))
+        chi = F.when(whole, chi).otherwise(chi_square(config.seed, F.coalesce("tail_df", F.lit(6.0)), "unit_id", "draw"))
+    return F.when(F.col("tail_df").isNull(), 1.0).otherwise(F.sqrt(F.col("tail_df") / chi))
+
+
+def draw_plan(units: DataFrame, scenarios: DataFrame, pool: DataFrame, spec: DataFrame, n_draws: int, config: Config = DEFAULT, any_df: bool = False) -> DataFrame:
+    """unit_id, draw, scenario, pool, vol_factor, tail. Stress is drawn only where every pool of the unit has rows enough.
+
+    units: also stress_prob and tail_df, null where the defaults hold.
+    """
     ready = pool.where("pool = 'stress'").groupBy(*KEYS).agg(F.count("*").alias("rows"))
     ready = spec.select(*KEYS).join(ready, KEYS, "left").groupBy("unit_id").agg((F.min(F.coalesce("rows", F.lit(0))) >= config.min_pool_rows).alias("ready"))
     n = F.least(F.greatest(F.lit(n_draws), F.col("n_draws_min"), F.lit(200)), F.lit(20_000))
-    draws = units.select("unit_id", F.col("stress_prob"), F.explode(F.sequence(F.lit(0), n - 1)).alias("draw")).join(ready, "unit_id")
+    draws = units.select("unit_id", "stress_prob", "tail_df", F.explode(F.sequence(F.lit(0), n - 1)).alias("draw")).join(ready, "unit_id")
     draws = draws.withColumn("u", uniform(config.seed, "scenario", "unit_id", "draw"))
     draws = draws.join(scenario_ranges(scenarios), "unit_id").where("u >= low and u < high")
     p = F.when(F.col("ready"), F.coalesce("stress_prob", F.lit(config.p_stress))).otherwise(0.0)
     kind = F.when(uniform(config.seed, "regime", "unit_id", "draw") < p, "stress").when(uniform(config.seed, "recent", "unit_id", "draw") < config.w_recent, "recent").otherwise("full")
     v = config.vol_uncertainty
-    return draws.select("unit_id", "draw", "scenario", kind.alias("pool"), F.exp(v * normal(config.seed, "vol", "unit_id", "draw") - 0.5 * v * v).alias("vol_factor"))
+    return draws.select("unit_id", "draw", "scenario", kind.alias("pool"), F.exp(v * normal(config.seed, "vol", "unit_id", "draw") - 0.5 * v * v).alias("vol_factor"), tail_factor(config, any_df).alias("tail"))
 
 
 def block_index(plan: DataFrame, pool: DataFrame, spec: DataFrame, steps: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -108,26 +124,20 @@ def block_index(plan: DataFrame, pool: DataFrame, spec: DataFrame, steps: DataFr
     return rows.withColumn("row_id", F.pmod(start + F.col("step") - since, F.col("n"))).drop("begins", "at", "from", "longest")
 
 
-def paths(index: DataFrame, pool: DataFrame, spec: DataFrame, vol: DataFrame, steps: DataFrame, overlays: DataFrame, units: DataFrame, config: Config = DEFAULT, any_df: bool = False) -> DataFrame:
+def paths(index: DataFrame, pool: DataFrame, spec: DataFrame, vol: DataFrame, steps: DataFrame, overlays: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """unit_id, draw, asset, step, inc, cum: increments with regime, scale, drift and scenario, and their running sum.
 
     overlays: unit_id, scenario, asset, drift, vol_mult; what is missing is 0 and 1. Pools of fewer than 30 rows give way
-    to normal shocks. units: stress_prob, tail_df (fat tails where it is not null; degrees of freedom from 1 to 8 stay in the JVM, others need any_df).
+    to normal shocks.
     """
     members = pool.select("unit_id", "salt", "asset").distinct()
     rows = index.join(members, ["unit_id", "salt"]).join(pool.drop("n", "salt"), ["unit_id", "pool", "asset", "row_id"])
     first = steps.groupBy(*KEYS).agg(F.min_by("step", "horizon").alias("first_step"))
     first = first.join(vol.withColumnRenamed("step", "first_step").select(*KEYS, "first_step", F.sqrt("cum_var").alias("first_sd")), [*KEYS, "first_step"])
     per_asset = spec.select(*KEYS, "prior_drift").join(first, KEYS)
-    rows = rows.join(vol.select(*KEYS, "step", "sigma"), [*KEYS, "step"]).join(per_asset, KEYS).join(overlays, ["unit_id", "scenario", "asset"], "left").join(units.select("unit_id", "tail_df"), "unit_id")
+    rows = rows.join(vol.select(*KEYS, "step", "sigma"), [*KEYS, "step"]).join(per_asset, KEYS).join(overlays, ["unit_id", "scenario", "asset"], "left")
     shock = F.when(F.col("n") >= config.min_pool_rows, F.col("shock")).otherwise(normal(config.seed, "gauss", "unit_id", "draw", "asset", "step"))
-    integer = [F.pow(normal(config.seed, f"chi{k}", "unit_id", "draw"), F.lit(2)) for k in range(8)]
-    whole = sum((F.when(F.col("tail_df") > k, x).otherwise(0.0) for k, x in enumerate(integer)), F.lit(0.0))
-    chi = F.when((F.col("tail_df") <= 8) & (F.col("tail_df") == F.floor("tail_df")), whole)
-    if any_df:
-        chi = F.coalesce(chi, chi_square(config.seed, F.coalesce("tail_df", F.lit(6.0)), "unit_id", "draw"))
-    tail = F.when(F.col("tail_df").isNull(), 1.0).otherwise(F.sqrt(F.col("tail_df") / chi))
-    base = F.when(F.col("pool") == "stress", F.col("shock")).otherwise(shock * tail * F.col("sigma") * F.col("vol_factor"))
+    base = F.when(F.col("pool") == "stress", F.col("shock")).otherwise(shock * F.col("tail") * F.col("sigma") * F.col("vol_factor"))
     inc = base * F.coalesce("vol_mult", F.lit(1.0)) + F.col("prior_drift") + F.coalesce("drift", F.lit(0.0)) * F.col("first_sd") / F.col("first_step")
     rows = rows.select("unit_id", "draw", "asset", "step", inc.alias("inc"))
     return rows.withColumn("cum", F.sum("inc").over(Window.partitionBy("unit_id", "draw", "asset").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
@@ -156,9 +166,9 @@ def simulate(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios:
     scenarios = neutral(units) if scenarios is None else scenarios
     if overlays is None:
         overlays = spec.limit(0).select("unit_id", F.lit(0).alias("scenario"), "asset", F.lit(0.0).alias("drift"), F.lit(1.0).alias("vol_mult"))
-    plan = draw_plan(units, scenarios, pool, spec, n_draws, config)
+    plan = settled(draw_plan(units, scenarios, pool, spec, n_draws, config, any_df), "draw-plan")
     index = block_index(plan, pool, spec, steps, config)
-    return samples(paths(index, pool, spec, vol, steps, overlays, units, config, any_df), spec, steps)
+    return samples(paths(index, pool, spec, vol, steps, overlays, config), spec, steps)
 
 
 def quantiles(drawn: DataFrame) -> DataFrame:

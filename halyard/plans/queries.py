@@ -165,7 +165,7 @@ def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 @query("SELECT unit_id, draw, scenario, pool, round(vol_factor, 8) AS vol_factor FROM plans", IN, ADJUSTED)
 def scenario_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_plan(spark, sf_dir)[0], 8, "vol_factor")
+    return rounded(_plan(spark, sf_dir)[0].drop("tail"), 8, "vol_factor")
 
 
 @query("SELECT unit_id, draw, salt, step, pool, n, row_id FROM blocks", IN, ADJUSTED)
@@ -176,8 +176,7 @@ def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT unit_id, asset, step, count(*) AS n, round(avg(cum), 4) AS mean, round(stddev_samp(cum), 4) AS sd FROM walked GROUP BY ALL", IN, ADJUSTED)
 def path_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, pool, spec, steps = _plan(spark, sf_dir)
-    units = inputs.adjusted_units(spark)
-    walked = simulate.paths(simulate.block_index(plan, pool, spec, steps), pool, spec, simulate.vol_path(spec, steps), steps, inputs.scenario_rows(spark)[1], units)
+    walked = simulate.paths(simulate.block_index(plan, pool, spec, steps), pool, spec, simulate.vol_path(spec, steps), steps, inputs.scenario_rows(spark)[1])
     return walked.groupBy("unit_id", "asset", "step").agg(F.count("*").alias("n"), F.round(F.avg("cum"), 4).alias("mean"), F.round(F.stddev_samp("cum"), 4).alias("sd"))
 
 
