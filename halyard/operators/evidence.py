@@ -7,14 +7,17 @@ scenarios: unit_id, scenario, name, weight, asset, drift, vol_mult (strings), ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from halyard.config import DEFAULT, Config
 from halyard.functions.columns import clip, direction_hint, number, real_event, truthy
 
 PAIR = ["unit_id", "asset"]
-MIX = Window.partitionBy(*PAIR)
+
+
+def mixture() -> WindowSpec:
+    return Window.partitionBy(*PAIR)
 
 
 def latest_docs(docs: DataFrame, keep: int, asof: str | None = None) -> DataFrame:
@@ -83,14 +86,14 @@ def cleaned(raw: DataFrame, cards: DataFrame, docs: DataFrame, config: Config =
     one = Window.partitionBy("unit_id", "scenario")
     rows = rows.withColumn("established", F.coalesce("all_facts", F.lit(False)) & (F.max(F.abs("drift")).over(one) <= 0.15))
     floor = F.when(F.col("established"), F.greatest("vm", F.lit(0.8))).otherwise(F.greatest("vm", F.lit(1.0)))
-    rows = rows.withColumn("weight", F.col("weight") / F.nullif(F.sum("weight").over(MIX), F.lit(0.0)))
+    rows = rows.withColumn("weight", F.col("weight") / F.nullif(F.sum("weight").over(mixture()), F.lit(0.0)))
     return rows.where("weight is not null").select("unit_id", "scenario", "name", "weight", "asset", "drift", floor.alias("vol_mult"), "established", F.coalesce("cited", F.array().cast("array<string>")).alias("evidence"))
 
 
 def guarded_drift(rows: DataFrame, stats: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The mixture's centre agrees with the cards' and moves only where enough of them agree."""
     rows = rows.join(stats, PAIR, "left").fillna(0, ["implied", "share", "agree"])
-    rows = rows.withColumn("mix", F.sum(F.col("weight") * F.col("drift")).over(MIX))
+    rows = rows.withColumn("mix", F.sum(F.col("weight") * F.col("drift")).over(mixture()))
     far = F.abs("implied") + 0.3
     target = F.when((F.col("implied") * F.col("mix") < 0) & (F.abs("implied") > 0.05), 0.5 * F.col("implied")).when(F.abs("mix") > far, F.signum("mix") * far).otherwise(F.col("mix"))
     shift = target - F.col("mix")
@@ -102,7 +105,7 @@ def guarded_drift(rows: DataFrame, stats: DataFrame, config: Config = DEFAULT) -
 def guarded_width(rows: DataFrame, event: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Width moves only where documents corroborate it, up to a cap, and narrows only where established."""
     rows = rows.join(event.select("unit_id", "binary"), "unit_id", "left").fillna(False, ["binary"])
-    rows = rows.withColumn("mix", F.sum(F.col("weight") * F.col("vol_mult")).over(MIX))
+    rows = rows.withColumn("mix", F.sum(F.col("weight") * F.col("vol_mult")).over(mixture()))
     seen = (F.col("share") >= config.min_share) | (F.col("binary") & (F.col("share") > 0))
     floor = 1.0 + config.floor_scale * (F.when(F.col("binary"), 1.15).otherwise(1.0) * (1.0 + 0.10 * F.col("share")) - 1.0)
     most = F.when(F.col("binary"), config.vol_high).otherwise(config.max_width)

@@ -7,16 +7,25 @@ All windows are partitioned by (unit_id, asset), so one shuffle serves the whole
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from halyard.config import DEFAULT, Config
 from halyard.sources.shared import settled
 
 KEYS = ["unit_id", "asset"]
-EACH = Window.partitionBy(*KEYS)
-BY_DATE = EACH.orderBy("date")
-SO_FAR = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def asset_rows() -> WindowSpec:
+    return Window.partitionBy(*KEYS)
+
+
+def by_date() -> WindowSpec:
+    return asset_rows().orderBy("date")
+
+
+def so_far() -> WindowSpec:
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def keep_last(panel: DataFrame, keys: list[str], value: str = "value", tie: str | Column = "tie") -> DataFrame:
@@ -35,31 +44,31 @@ def series(panels: DataFrame, units: DataFrame) -> DataFrame:
     rows = panels.join(asked, KEYS).where("date <= asof").join(meta, ["unit_id", "panel"], "left")
     listed = F.coalesce(F.array_contains("asset_ids", F.col("asset")), F.lit(False))
     rows = rows.withColumn("rank", F.struct((~listed).cast("int").alias("a"), F.when(listed, F.col("pos")).otherwise(0).alias("b"), F.col("panel").alias("c")))
-    rows = rows.withColumn("best", F.min("rank").over(EACH)).where("rank = best")
+    rows = rows.withColumn("best", F.min("rank").over(asset_rows())).where("rank = best")
     return rows.groupBy(*KEYS, "panel", "target_type", "declared", "date").agg(F.max_by(F.nanvl("value", F.lit(None).cast("double")), "tie").alias("value"))
 
 
 def frequency(rows: DataFrame) -> DataFrame:
     """Adds gap (days since the row before), typical (its median) and freq: declared, else monthly from 20 days on."""
-    rows = rows.withColumn("gap", F.datediff("date", F.lag("date").over(BY_DATE)))
-    rows = rows.withColumn("typical", F.expr("median(gap)").over(EACH))
+    rows = rows.withColumn("gap", F.datediff("date", F.lag("date").over(by_date())))
+    rows = rows.withColumn("typical", F.expr("median(gap)").over(asset_rows()))
     word = F.coalesce(F.nullif(F.col("declared"), F.lit("")), F.when(F.col("typical") >= 20, "monthly").otherwise("business_daily"))
     return rows.withColumn("freq", F.when(F.lower(word).contains("month"), "monthly").otherwise("daily")).drop("declared")
 
 
 def working(rows: DataFrame) -> DataFrame:
     """Adds space, work, anchor, last_date and mean_level."""
-    space = F.when(F.col("target_type") == "log_return", "cumlog").when(F.lower("panel").contains("rate") | (F.min("value").over(EACH) <= 0), "diff").otherwise("log")
+    space = F.when(F.col("target_type") == "log_return", "cumlog").when(F.lower("panel").contains("rate") | (F.min("value").over(asset_rows()) <= 0), "diff").otherwise("log")
     rows = rows.withColumn("space", space)
     # a log of values that another space holds is never asked for
-    work = F.when(F.col("space") == "cumlog", F.sum(F.log1p(F.when(F.col("space") == "cumlog", F.col("value")))).over(SO_FAR)).when(F.col("space") == "diff", F.col("value")).otherwise(F.log(F.when(F.col("space") == "log", F.col("value"))))
-    last = F.max_by("value", "date").over(EACH)
-    return rows.select(*KEYS, "panel", "freq", "space", "date", "value", "gap", "typical", work.alias("work"), F.when(F.col("space") == "cumlog", 0.0).otherwise(last).alias("anchor"), F.max("date").over(EACH).alias("last_date"), F.avg("value").over(EACH).alias("mean_level"))
+    work = F.when(F.col("space") == "cumlog", F.sum(F.log1p(F.when(F.col("space") == "cumlog", F.col("value")))).over(so_far())).when(F.col("space") == "diff", F.col("value")).otherwise(F.log(F.when(F.col("space") == "log", F.col("value"))))
+    last = F.max_by("value", "date").over(asset_rows())
+    return rows.select(*KEYS, "panel", "freq", "space", "date", "value", "gap", "typical", work.alias("work"), F.when(F.col("space") == "cumlog", 0.0).otherwise(last).alias("anchor"), F.max("date").over(asset_rows()).alias("last_date"), F.avg("value").over(asset_rows()).alias("mean_level"))
 
 
 def increments(rows: DataFrame) -> DataFrame:
     """First differences x, without those over a hole: more than ten typical steps, five days at least."""
-    rows = rows.withColumn("x", F.col("work") - F.lag("work").over(BY_DATE))
+    rows = rows.withColumn("x", F.col("work") - F.lag("work").over(by_date()))
     return rows.where(F.col("x").isNotNull() & (F.col("gap") <= F.greatest(F.col("typical") * 10.0, F.lit(5.0)))).drop("gap", "typical", "work", "value")
 
 
@@ -85,7 +94,7 @@ def peg_proxies(moves: DataFrame, references: DataFrame, config: Config = DEFAUL
     first = spread.groupBy("unit_id").agg(F.min("ref_panel").alias("first_panel"))
     own = own.join(first, "unit_id").withColumn("ref_panel", F.when(F.lower("panel").contains("fx"), F.col("panel")).otherwise(F.col("first_panel")))
     pairs = own.join(spread, ["unit_id", "ref_panel"]).where("other != asset")
-    pairs = pairs.withColumn("med", F.expr("median(sd)").over(EACH))
+    pairs = pairs.withColumn("med", F.expr("median(sd)").over(asset_rows()))
     best = pairs.groupBy(*KEYS, "ref_panel", "own", "med").agg(F.min_by(F.struct("other", "sd"), F.struct(F.abs(F.col("sd") - F.col("med")).alias("d"), F.col("other"))).alias("b"))
     return best.where(F.col("own") < config.peg_trigger * F.col("med")).select(*KEYS, "own", "med", "ref_panel", F.col("b.other").alias("proxy"), (config.peg_floor * F.col("med") / F.col("b.sd")).alias("factor"))
 
@@ -106,14 +115,14 @@ def volatility(moves: DataFrame, config: Config = DEFAULT) -> DataFrame:
     2,000 half-lives, 40,000 rows of a daily series.
     """
     halflife = by_freq(config.halflife_daily, config.halflife_monthly)
-    rows = moves.withColumn("rn", F.row_number().over(BY_DATE)).withColumn("n", F.count("*").over(EACH))
+    rows = moves.withColumn("rn", F.row_number().over(by_date())).withColumn("n", F.count("*").over(asset_rows()))
     rows = rows.withColumn("weight", F.pow(F.lit(2.0), (F.col("rn") - F.col("n") / 2) / halflife))
-    rows = rows.withColumn("vol", F.when(F.col("rn") >= 5, F.sqrt(F.sum(F.col("weight") * F.col("x") * F.col("x")).over(SO_FAR) / F.sum("weight").over(SO_FAR))))
-    rows = rows.withColumn("vol_full", F.when(F.col("n") > 2, F.stddev_samp("x").over(EACH)).otherwise(F.avg(F.abs("x")).over(EACH)))
+    rows = rows.withColumn("vol", F.when(F.col("rn") >= 5, F.sqrt(F.sum(F.col("weight") * F.col("x") * F.col("x")).over(so_far()) / F.sum("weight").over(so_far()))))
+    rows = rows.withColumn("vol_full", F.when(F.col("n") > 2, F.stddev_samp("x").over(asset_rows())).otherwise(F.avg(F.abs("x")).over(asset_rows())))
     # the first five rows have no volatility before them and take the first there is
-    rows = rows.withColumn("before", F.coalesce(F.lag("vol").over(BY_DATE), F.when(F.col("n") > 5, F.max(F.when(F.col("rn") == 5, F.col("vol"))).over(EACH))))
+    rows = rows.withColumn("before", F.coalesce(F.lag("vol").over(by_date()), F.when(F.col("n") > 5, F.max(F.when(F.col("rn") == 5, F.col("vol"))).over(asset_rows()))))
     rows = rows.withColumn("lagged", F.when(F.col("before").isNotNull(), F.greatest("before", config.z_floor * F.col("vol_full"))))
-    final = F.max_by("vol", "date").over(EACH)
+    final = F.max_by("vol", "date").over(asset_rows())
     return rows.withColumn("z", F.col("x") / F.nullif(F.col("lagged"), F.lit(0.0))).withColumn("vol0", F.when(final > 0, final).otherwise(F.col("vol_full"))).drop("weight", "before")
 
 
@@ -121,11 +130,11 @@ def stress(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds roll (deviation of the rows before, three at least) and stress: it reaches its 85th percentile."""
 
     def before(n: int) -> Column:
-        w = BY_DATE.rowsBetween(-n, -1)
+        w = by_date().rowsBetween(-n, -1)
         return F.when(F.count("x").over(w) >= 3, F.stddev_samp("x").over(w))
 
     rows = rows.withColumn("roll", F.when(F.col("freq") == "monthly", before(config.stress_monthly)).otherwise(before(config.stress_daily)))
-    limit = F.when(F.count("roll").over(EACH) > 20, F.percentile("roll", config.stress_percentile).over(EACH))
+    limit = F.when(F.count("roll").over(asset_rows()) > 20, F.percentile("roll", config.stress_percentile).over(asset_rows()))
     return rows.withColumn("limit", limit).withColumn("stress", F.coalesce(F.col("roll") >= F.col("limit"), F.lit(False)))
 
 
@@ -141,7 +150,7 @@ def prepared(panels: DataFrame, units: DataFrame, config: Config = DEFAULT) -> D
 
 def window_sums(rows: DataFrame) -> DataFrame:
     """Sums of an asset's last increments: month (21 rows, of a monthly series 1) and quarter (63, 3)."""
-    back = F.row_number().over(EACH.orderBy(F.desc("date")))
+    back = F.row_number().over(asset_rows().orderBy(F.desc("date")))
     recent = rows.withColumn("back", back).where("back <= 63")
     return recent.groupBy(*KEYS).agg(
         F.sum(F.when(F.col("back") <= by_freq(21, 1), F.col("x"))).alias("month"), F.sum(F.when(F.col("back") <= by_freq(63, 3), F.col("x"))).alias("quarter")
@@ -150,7 +159,7 @@ def window_sums(rows: DataFrame) -> DataFrame:
 
 def asset_spec(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row for each asset: scale, level factor and prior drift."""
-    back = F.row_number().over(EACH.orderBy(F.desc("date")))
+    back = F.row_number().over(asset_rows().orderBy(F.desc("date")))
     rows = rows.withColumn("back", back)
     facts = ["panel", "freq", "space", "anchor", "last_date", "mean_level", "vol_full", "vol0"]
     spec = rows.groupBy(*KEYS).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from halyard.config import DEFAULT, Config
 from halyard.functions.columns import add_business_days, chi_square, normal, uniform
-from halyard.operators.series import EACH, KEYS, asset_spec, by_freq
+from halyard.operators.series import KEYS, asset_rows, asset_spec, by_freq
 from halyard.sources.shared import settled
 
 
@@ -29,7 +29,7 @@ def vol_path(spec: DataFrame, steps: DataFrame, config: Config = DEFAULT) -> Dat
     start = F.greatest("vol0", config.vol0_floor * F.col("vol_lr"))
     var = lr2 + (start * start - lr2) * F.exp(-F.col("step") / by_freq(config.tau_daily, config.tau_monthly))
     rows = rows.select(*KEYS, "step", (config.width * F.sqrt(F.greatest(var, F.lit(1e-18)))).alias("sigma"))
-    return rows.withColumn("cum_var", F.sum(F.col("sigma") * F.col("sigma")).over(EACH.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("cum_var", F.sum(F.col("sigma") * F.col("sigma")).over(asset_rows().orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def aligned(rows: DataFrame, spec: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def pools(together: DataFrame, mode: DataFrame, spec: DataFrame, config: Config
     """
     rows = together.join(mode.select("unit_id", "joint"), "unit_id").join(spec.select(*KEYS, "level_factor"), KEYS).where("complete or not joint")
     rows = rows.withColumn("salt", F.when(F.col("joint"), F.lit("*")).otherwise(F.col("asset"))).withColumn("shaken", F.when(F.col("joint"), F.col("shaken")).otherwise(F.col("stress")))
-    rows = rows.withColumn("back", F.row_number().over(EACH.orderBy(F.desc("date"))))
+    rows = rows.withColumn("back", F.row_number().over(asset_rows().orderBy(F.desc("date"))))
     recent = rows.where(F.col("back") <= by_freq(config.recent_daily, config.recent_monthly)).withColumn("pool", F.lit("recent")).withColumn("raw", F.col("z"))
     full = rows.withColumn("pool", F.lit("full")).withColumn("raw", F.col("z"))
     hard = rows.where("shaken").withColumn("pool", F.lit("stress")).withColumn("raw", F.col("x") * F.col("level_factor"))
