@@ -42,6 +42,7 @@ class SegmentTreeBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        self.suffix = suffix
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         letters = byte_alphabet()
@@ -126,6 +127,8 @@ class WordBPE:
 
     def __init__(self, path: str):
         self.bpe = SegmentTreeBPE(path)
+        if not self.bpe.suffix:
+            raise ValueError(f"{path}: its tokens have no word ends, which this encoder needs")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")") if self.bpe.special else None
         self.known: dict[str, tuple[bytes, str]] = {}
         self.before: dict[str, tuple[bytes, str]] = {}
