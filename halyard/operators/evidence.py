@@ -158,9 +158,9 @@ def violations(scenarios: DataFrame, units: DataFrame) -> DataFrame:
 def asset_context(rows: DataFrame, spec: DataFrame, steps: DataFrame, vol: DataFrame, sums: DataFrame) -> DataFrame:
     """What a reader of documents needs of each asset: level, deviation at the shortest horizon in its units, recent moves, regime."""
     first = steps.groupBy(*PAIR).agg(F.min_by("step", "horizon").alias("step"))
-    sd = vol.join(first, [*PAIR, "step"]).select(*PAIR, F.sqrt("cum_var").alias("sd"))
+    sd = vol.join(first, [*PAIR, "step"]).select(*PAIR, F.sqrt("cum_var").alias("first_sd"))
     out = spec.join(sd, PAIR).join(sums, PAIR)
-    natural = F.when(F.col("space") == "log", F.col("anchor") * F.col("sd")).otherwise(F.col("sd"))
+    natural = F.when(F.col("space") == "log", F.col("anchor") * F.col("first_sd")).otherwise(F.col("first_sd"))
 
     def told(c: str):
         return F.when(F.col("space") == "diff", F.format_string("%+.3f", F.col(c))).otherwise(F.format_string("%+.2f%%", 100 * F.col(c)))

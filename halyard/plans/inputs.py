@@ -52,7 +52,7 @@ def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows(monthly.where("asset = '1-URGENT'"), "orders_d", "a_decoy", F.lit(1.0)),
         rows(monthly, "orders_m", "orders_monthly", F.col("value")),
         rows(shipped, "factors", "factors", F.col("discount") - 0.05),
-        rows(shipped.where(~hole), "rates", "rates_daily", F.col("price") / 1000 - 30),
+        rows(shipped.where(~hole), "rates", "rates_daily", F.col("price") / 997 - 30),
         rows(shipped, "quotes", "fx_daily", F.col("price")),
         rows(shipped.where("asset = 'RF'"), "quotes", "fx_daily", peg, asset=F.lit("PEG")),
     ]
@@ -95,7 +95,7 @@ panels AS (
   UNION ALL SELECT 'orders_d', 'a_decoy', asset, date, 1.0, 0 FROM monthly WHERE asset = '1-URGENT'
   UNION ALL SELECT 'orders_m', 'orders_monthly', asset, date, value, 0 FROM monthly
   UNION ALL SELECT 'factors', 'factors', asset, date, discount - 0.05, 0 FROM shipped
-  UNION ALL SELECT 'rates', 'rates_daily', asset, date, price / 1000 - 30, 0 FROM shipped WHERE NOT date BETWEEN DATE '1998-03-01' AND DATE '1998-06-30'
+  UNION ALL SELECT 'rates', 'rates_daily', asset, date, price / 997 - 30, 0 FROM shipped WHERE NOT date BETWEEN DATE '1998-03-01' AND DATE '1998-06-30'
   UNION ALL SELECT 'quotes', 'fx_daily', asset, date, price, 0 FROM shipped
   UNION ALL SELECT 'quotes', 'fx_daily', 'PEG', date, 100.0 + day(date) / 10000.0, 0 FROM shipped WHERE asset = 'RF'),
 asked AS (SELECT unit_id, cutoff, target_type, unnest(assets) AS asset FROM units),

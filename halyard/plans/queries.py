@@ -111,7 +111,7 @@ def recent_window_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.window_sums(_rows(spark, sf_dir)), 6, "month", "quarter")
 
 
-@query(f"SELECT unit_id, asset, n, {r(8, 'mean', 'sd')}, round(t_stat, 4) AS t_stat, round(prior_drift, 8) AS prior_drift FROM spec", IN)
+@query(f"SELECT unit_id, asset, n, {r(8, 'mean', 'sd')}, round(t_stat, 4) AS t_stat, round(prior_drift, 8) + 0.0 AS prior_drift FROM spec", IN)
 def prior_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = series.asset_spec(_rows(spark, sf_dir)).select("unit_id", "asset", "n", "mean", "sd", "t_stat", "prior_drift")
     return rounded(rounded(spec, 8, "mean", "sd", "prior_drift"), 4, "t_stat")
@@ -140,7 +140,7 @@ def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return simulate.pools(together, simulate.modes(together, spec), spec), spec, simulate.horizon_steps(spec, inputs.units(spark))
 
 
-@query("SELECT unit_id, pool, salt, asset, row_id, n, round(shock, 6) AS shock FROM pools", IN)
+@query("SELECT unit_id, pool, salt, asset, row_id, n, round(shock, 6) + 0.0 AS shock FROM pools", IN)
 def pool_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_pool(spark, sf_dir)[0].select("unit_id", "pool", "salt", "asset", F.col("row_id").cast("long").alias("row_id"), "n", "shock"), 6, "shock")
 
@@ -189,12 +189,12 @@ def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.simulate(_rows(spark, sf_dir), inputs.adjusted_units(spark), inputs.N_DRAWS, scenarios, overlays)
 
 
-@query("SELECT unit_id, draw, asset, horizon, round(value, 4) AS value FROM samples", IN, NEUTRAL)
+@query("SELECT unit_id, draw, asset, horizon, round(value, 4) + 0.0 AS value FROM samples", IN, NEUTRAL)
 def forecast_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_neutral(spark, sf_dir), 4, "value")
 
 
-@query("SELECT unit_id, draw, asset, horizon, round(value, 4) AS value FROM samples", IN, ADJUSTED)
+@query("SELECT unit_id, draw, asset, horizon, round(value, 4) + 0.0 AS value FROM samples", IN, ADJUSTED)
 def forecast_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_adjusted(spark, sf_dir), 4, "value")
 
