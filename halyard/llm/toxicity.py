@@ -26,7 +26,7 @@ DECAY, SPAN = 0.7, 5
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 CODES = 1 << 15
 #: Training bounds: labelled texts, candidate tokens, clean tokens, landmarks.
-MAX_TEXTS, MAX_CANDIDATES, MAX_CLEAN, LANDMARKS = 20_000, 5_000, 60_000, 96
+MAX_TEXTS, MAX_CANDIDATES, MAX_CLEAN, LANDMARKS = 20_000, 5_000, 60_000, 384
 THRESHOLD = 0.7
 CACHE_TOKENS = 300_000
 MIN_LETTERS, MAX_LETTERS = 3, 40
@@ -203,33 +203,45 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     return _calibrated(model, got["m"].to_numpy(), got["y"].to_numpy())
 
 
-def explain(bags: list[set[str]], odds: dict[str, float], least: float = 0.9, share: float = 0.005, alike: float = 0.6) -> list[str]:
+def explain(bags: list[set[str]], odds: dict[str, float], least: float = 0.9, share: float = 0.005, common: float = 0.05, alike: float = 0.6) -> list[str]:
     """Tokens that make texts toxic, those in most texts first.
 
-    bags: the candidate tokens of each toxic text; odds: how often a token's texts are toxic. A token must be in at least
-    `share` of the bags and three, be toxic in `least` of its texts, and its bags must differ: bags that overlap by
-    `alike` on average are copies, of which any word would do.
+    bags: the candidate tokens of each toxic text; odds: how often a token's texts are toxic. A token must be toxic in
+    `least` of its texts and be in at least three bags and `common` of them, or in three and `share` of those that no
+    token before it explains. Its bags must differ: bags that overlap by `alike` on average are copies, of which any word
+    would do. So rare words that only happen to stand beside an insult are left out.
     """
     holds: dict[str, list[int]] = {}
     for i, b in enumerate(bags):
         for t in b:
             if odds.get(t, 0) >= least and len(t) >= MIN_LETTERS:
                 holds.setdefault(t, []).append(i)
-    out = []
+    out: list[str] = []
+    explained: set[int] = set()
     for t in sorted(holds, key=lambda t: (-len(holds[t]), t)):
         if len(holds[t]) < max(3, share * len(bags)):
             break
+        fresh = [i for i in holds[t] if i not in explained]
+        if len(holds[t]) < common * len(bags) and len(fresh) < max(3, share * len(bags)):
+            continue
         some = [bags[i] for i in holds[t][:: max(1, len(holds[t]) // 40)]]
         pairs = [len(x & y) / len(x | y) for k, x in enumerate(some) for y in some[k + 1 :]]
         if np.mean(pairs) <= alike:
             out.append(t)
+            explained.update(holds[t])
     return out
 
 
-def _train(bad: list[str], clean: list[str]) -> Model:
-    base = features(bad[: LANDMARKS // 2])
-    near = linear(clean, base).max(1)
-    hard = [clean[i] for i in np.argsort(-near, kind="stable")[: 2000]]
+def _mapped(tokens: list[str], phi: np.ndarray, white: np.ndarray) -> np.ndarray:
+    """The tokens' Nyström features and a 1, a few tokens at a time."""
+    parts = [linear(tokens[i : i + 2000], phi) @ white for i in range(0, len(tokens), 2000)]
+    return np.c_[np.concatenate(parts), np.ones(len(tokens))]
+
+
+def _train(bad: list[str], clean: list[str], rounds: int = 3) -> Model:
+    """Each round adds the clean tokens that the model so far finds worst, so that few of a long text's words stand out."""
+    near = linear(clean, features(bad[: LANDMARKS // 2]).max(1))
+    hard = [clean[i] for i in np.argsort(-near, kind="stable")[:2000]]
     marks = bad[: LANDMARKS // 2] + hard[: LANDMARKS - min(len(bad), LANDMARKS // 2)]
     phi = features(marks)
     # toxic tokens also with a letter inserted, doubled or lost, as they are written to get past word lists
@@ -240,15 +252,20 @@ def _train(bad: list[str], clean: list[str]) -> Model:
             i = int(rng.integers(1, len(t)))
             odd.append(t[:i] + chr(97 + int(rng.integers(26))) + t[i:])
             odd.append(t[:i] + t[i - 1] + t[i:])
-    rest = clean[: 20_000]
-    tokens = bad + odd + hard + rest
-    y = np.r_[np.ones(len(bad) + len(odd)), -np.ones(len(hard) + len(rest))]
-    cost = np.where(y > 0, len(y) / 2 / (y > 0).sum(), len(y) / 2 / (y < 0).sum()) / len(y)
     value, vector = np.linalg.eigh((phi.T @ phi).astype(float) + 1e-4 * np.eye(len(marks)))
     white = vector / np.sqrt(np.maximum(value, 1e-4))
-    x = np.c_[linear(tokens, phi) @ white, np.ones(len(tokens))]
-    w = _svm(x, y, cost)
-    return Model((phi @ (white @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0, tuple(marks))
+    positive, rest = _mapped(bad + odd, phi, white), _mapped(clean[:20_000], phi, white)
+    met = list(dict.fromkeys(hard))
+    for turn in range(rounds):
+        x = np.concatenate([positive, _mapped(met, phi, white), rest])
+        y = np.r_[np.ones(len(positive)), -np.ones(len(x) - len(positive))]
+        cost = np.where(y > 0, len(y) / 2 / (y > 0).sum(), len(y) / 2 / (y < 0).sum()) / len(y)
+        w = _svm(x, y, cost)
+        table = (phi @ (white @ w[:-1])).astype(np.float32)
+        if turn < rounds - 1:
+            worst = np.argsort(-linear(clean, table), kind="stable")[:2000]
+            met = list(dict.fromkeys([*met, *(clean[i] for i in worst)]))
+    return Model(table, float(w[-1]), 1.0, 0.0, tuple(marks))
 
 
 def _calibrated(model: Model, margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> Model:
