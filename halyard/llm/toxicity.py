@@ -152,26 +152,29 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reg: float = 1e-3, roun
 
 
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", fold: int | None = 1) -> Model | None:
-    """Trains on labelled texts, of which MAX_TEXTS at most are drawn by a hash of their id, evenly at any size.
+    """Trains on distinct labelled texts, of which MAX_TEXTS at most are drawn by a hash of their text, evenly at any size.
 
     Rows whose crc32(doc_id as text) mod 3 is `fold` are left out. Null labels and texts are left out; of several labels
-    of one id the largest counts. None if there is no toxic or no clean text to learn from.
+    of one id the largest counts. Texts of equal tokens count once, toxic if half of their rows are. None if there is no
+    toxic or no clean text to learn from.
     """
     known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_l")).agg(F.max(toxic).alias("y"))
     if fold is not None:
         known = known.where(F.pmod(F.crc32(F.col("_l").cast("string").cast("binary")), F.lit(3)) != fold)
-    n = known.count()
+    rows = df.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null").join(known, F.col("d") == F.col("_l")).select(F.xxhash64("t").alias("h"), "t", "y")
+    n = rows.select("h").distinct().count() if known.count() > MAX_TEXTS else 0
     if n > MAX_TEXTS:
-        known = known.where(F.pmod(F.xxhash64("_l"), F.lit(1 << 20)) < int((1 << 20) * MAX_TEXTS / n))
-    rows = df.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null").join(known, F.col("d") == F.col("_l")).select("d", "t", "y")
+        rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int((1 << 20) * MAX_TEXTS / n))
+    rows = rows.groupBy("h").agg(F.first("t").alias("t"), F.sum("y").cast("long").alias("y"), F.count("*").alias("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 s = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([s.column(0).cast(pa.int64()), s.column(2).cast(pa.int32()), pa.array([list(tokens_of(t)) for t in s.column(1).to_pylist()], pa.list_(pa.string()))], names=["d", "y", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([sorted(tokens_of(t)) for t in s.column(0).to_pylist()], pa.list_(pa.string())), s.column(1), s.column(2)], names=["tokens", "y", "n"])
 
-    bags = rows.mapInArrow(cut, "d bigint, y int, tokens array<string>").persist()
+    cuts = rows.select("t", "y", "n").mapInArrow(cut, "tokens array<string>, y bigint, n bigint").withColumn("d", F.xxhash64("tokens"))
+    bags = cuts.groupBy("d").agg(F.first("tokens").alias("tokens"), (2 * F.sum("y") >= F.sum("n")).cast("int").alias("y")).persist()
     try:
         total = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if not total.get(1) or not total.get(0):

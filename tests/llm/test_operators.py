@@ -146,6 +146,24 @@ def test_toxicity_is_right_on_the_held_out_fold(spark, sf):
     assert got["score"].between(0, 1).all() and (held["predicted"] == held["toxic"]).mean() >= 0.95
 
 
+def prose(rng, n):
+    return ["".join(rng.choice(list("abdefghiklmnoprstuvw"), int(rng.integers(3, 8)))) for _ in range(n)]
+
+
+def test_toxicity_counts_copies_once(spark):
+    rng = np.random.default_rng(4)
+    vocab = prose(rng, 400)
+    write = lambda *more: " ".join([*rng.choice(vocab, 30), *more])
+    rows = [(t, 1) for t in [write("zyxquark")] * 300 + [write("zyxquark") for _ in range(40)]]
+    rows += [(t, 0) for t in [write("zyxquark")] * 300 + [write() for _ in range(200)]]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, fold=None)
+    assert model is not None
+    new = spark.createDataFrame([(0, write("zyxquark")), (1, write())], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(new, model).collect()} == {0: 1, 1: 0}
+
+
 def test_quality_scores_every_row(docs, texts):
     got = quality.score(docs, quality.fit(docs))
     assert got.count() == len(texts) and got.select("doc_id").distinct().count() == len(texts)
