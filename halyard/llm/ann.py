@@ -97,7 +97,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
     dim, n, top = dims["dim"], dims["n"], dims["top"]
     # equal vectors: only the k + 1 smallest ids can be among a query's k nearest
     members = base.where(F.size("v") == dim).withColumn("key", F.sha2(F.transform("v", lambda x: x + F.lit(0.0)).cast("string").cast("binary"), 256))
-    few = members.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= 2 * (k + 1))
+    few = members.withColumn("n", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = written(few.groupBy("key").agg(F.min("id").alias("rep"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("v").alias("v")), "ann-classes")
     tables, asked = Tables(dim), written(good(queries).where(F.size("v") == dim).dropDuplicates(["id"]), "ann-queries")
     distance = _distance(classes, asked, top, k)

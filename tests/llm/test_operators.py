@@ -111,6 +111,14 @@ def test_ann(spark):
     assert hits >= 0.9 * 75 and set(got["query_id"]) == set(range(0, 300, 20))
 
 
+def test_ann_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 2.0, 3.0, 4.0])] * 60 + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1, 5)] + [(i, [float(x) for x in rng.normal(size=4)]) for i in range(5, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id = 0").limit(1), k=4).orderBy("rank").collect()
+    assert {1, 2, 3, 4} <= {r.vec_id for r in ann.search(df, df.where("vec_id = 0"), k=20).collect()} and len(got) == 4
+
+
 def test_warc(spark):
     big = "<p>" + "a" * 1200
     pages = spark.createDataFrame([(1, "u", big, 1), (2, "u", None, 1), (3, None, big, 1), (4, "v", "small", 1), (5, "v", "small", 1)], "page_id long, url string, html string, payload_bytes int")
