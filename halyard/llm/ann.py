@@ -4,7 +4,8 @@ Vectors are scaled to the largest norm and get one more coordinate that makes th
 product is the smallest distance. A table has HASHES functions floor((a.x + b) / WIDTH) with Gaussian a, and its buckets
 are the cells they make. A query visits cells in the order of the estimated chance that a neighbour at the usual
 distance lies there, until these chances add up to MASS; candidates of all tables are merged and ranked by the exact
-product. Cells are packed into blocks of bounded size, large cells are split; a block meets its queries in a cogroup.
+product. Queries that find fewer than k, or whose k-th is farther than the distance they were probed for, ask again
+with a larger one, at last in all cells. Cells are packed into blocks of bounded size, large cells are split; a block meets its queries in a cogroup.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ MASS = 0.8
 BLOCK_ROWS = 32_768
 #: Queries that meet a block at a time; with more, each block meets them in as many groups.
 ASK_ROWS = 50_000
+#: No two unit vectors are farther apart; queries of this distance visit all cells.
+FARTHEST = 2.0
 #: Rows of the sample that the usual distance of the k-th neighbour is estimated from.
 SAMPLE = 2000
 SEED = 11
@@ -52,11 +55,11 @@ class Tables:
         k = np.clip(np.floor((x @ self.a[t] + self.b[t]) / WIDTH), -EDGE, EDGE - 1) + EDGE
         return (k @ self.place).astype(np.int64) + t * len(self.cells)
 
-    def probes(self, t: int, q: np.ndarray, distance: float, mass: float = MASS) -> list[np.ndarray]:
+    def probes(self, t: int, q: np.ndarray, distance: np.ndarray, mass: float = MASS) -> list[np.ndarray]:
         """For each query the cells to visit, the likeliest first."""
         v = q @ self.a[t] + self.b[t]
         edge = np.r_[-np.inf, np.arange(1 - EDGE, EDGE) * WIDTH, np.inf]
-        p = 0.5 * np.diff(_erf((edge[None, None, :] - v[:, :, None]) / (distance * 2**0.5)), axis=2)
+        p = 0.5 * np.diff(_erf((edge[None, None, :] - v[:, :, None]) / (distance[:, None, None] * 2**0.5)), axis=2)
         out = []
         for row in p:
             chance = np.prod([row[h][self.cells[:, h]] for h in range(HASHES)], axis=0)
@@ -85,7 +88,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
 
     Both tables have vec_id and vector columns; others are ignored. Vectors that are null or zero, have null, NaN or
     infinite components, or another length than most, take no part. Equal vectors are searched once and come back as all
-    their ids, ties to smaller ones; rows that repeat an id and vector count once. Ids that stand for several vectors
+    their ids, ties to smaller ones; fewer than k only if there are no more; rows that repeat an id and vector count once. Ids that stand for several vectors
     count as several. Scores are double-precision products of the original vectors. Empty tables give no rows.
     """
     good = lambda d: d.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)"))
@@ -129,18 +132,25 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
             for g in range(groups):
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(where) * groups + g, pa.int64()), b.column("rep"), b.column("v"), b.column("cell")], names=["block", "rep", "v", "cell"])
 
+    everywhere = sorted({h for c, at in home.items() if c < len(tables.cells) for h in at})
+
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
                 q, ids, rows = directed(_rows(b.column("v"), dim)), b.column("id").to_pylist(), []
+                far = b.column("d").to_numpy()
                 for t in range(TABLES):
-                    for i, seen in enumerate(tables.probes(t, q, distance, mass)):
+                    for i, seen in enumerate(tables.probes(t, q, far, mass)):
+                        if far[i] >= FARTHEST:
+                            continue
                         visits: dict[int, list[int]] = {}
                         for c in seen.tolist():
                             for h in home.get(c, ()):
                                 visits.setdefault(h, []).append(c)
                         rows += [(h * groups + ids[i] * 2654435761 // 65536 % groups, ids[i], b.column("v")[i].as_py(), cs) for h, cs in visits.items()]
+                # no cells: all of the first table
+                rows += [(h * groups + ids[i] * 2654435761 // 65536 % groups, ids[i], b.column("v")[i].as_py(), []) for i in np.flatnonzero(far >= FARTHEST).tolist() for h in everywhere]
                 if rows:
                     h, i, v, cs = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(v, pa.list_(pa.float64())), pa.array(cs, pa.list_(pa.int64()))], names=["block", "query_id", "q", "cells"])
@@ -158,7 +168,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
             q = np.stack(some["q"].to_numpy())
             s = q @ x.T
             for i, seen in enumerate(some["cells"]):
-                s[i, ~np.isin(cell, seen)] = -np.inf
+                s[i, ~np.isin(cell, seen) if len(seen) else cell >= len(tables.cells)] = -np.inf
             m = min(TABLES * most, s.shape[1])  # a block may hold a vector once for each table
             best = np.argpartition(-s, m - 1, axis=1)[:, :m]
             r, c = np.repeat(np.arange(len(q)), m), best.ravel()
@@ -170,11 +180,28 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
         return pd.concat(parts)
 
     blocks = placed.mapInArrow(housed, "block bigint, rep bigint, v array<double>, cell bigint").groupBy("block")
-    asks = asked.mapInArrow(probing, "block bigint, query_id bigint, q array<double>, cells array<bigint>").groupBy("block")
-    near = blocks.cogroup(asks).applyInPandas(meet, "query_id bigint, rep bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    found = near.groupBy("query_id", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).drop("n")
-    each = found.join(classes.select("rep", "ids"), "rep").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+
+    def asking(asks: DataFrame, before: DataFrame | None) -> DataFrame:
+        met = asks.mapInArrow(probing, "block bigint, query_id bigint, q array<double>, cells array<bigint>").groupBy("block")
+        near = blocks.cogroup(met).applyInPandas(meet, "query_id bigint, rep bigint, score double")
+        near = near if before is None else near.unionByName(before.select("query_id", "rep", "score"))
+        near = near.groupBy("query_id", "rep").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).drop("n")
+        return written(near.join(classes.select("rep", "ids"), "rep"), "ann-found")
+
+    # the query's own id may be one of those found, so k + 1 of them are sure to hold k others
+    so_far = best.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asks, found = asked.withColumn("d", F.lit(distance)), None
+    while True:
+        found = asking(asks, found)
+        kth = found.withColumn("n", F.sum(F.size("ids")).over(so_far)).where(F.col("n") > k).groupBy("query_id").agg(F.max("score").alias("kth"))
+        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        away = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("kth") / (size * top)))
+        wider = asks.where(F.col("d") < FARTHEST).join(kth, F.col("id") == F.col("query_id"), "left").withColumn("away", F.when(F.col("kth").isNull(), 2 * F.col("d")).otherwise(away))
+        asks = written(wider.where("away > d").select("id", "v", F.col("away").alias("d")), "ann-wider")
+        if asks.isEmpty():
+            break
+    each = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -111,6 +111,22 @@ def test_ann(spark):
     assert hits >= 0.9 * 75 and set(got["query_id"]) == set(range(0, 300, 20))
 
 
+def test_ann_widens_until_enough_is_found(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 16))
+    x = np.concatenate([np.repeat(centres, 60, 0) + rng.normal(size=(1200, 16)) * 0.01, rng.normal(size=(40, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    asked = [*range(0, 1200, 60), *range(1200, 1240, 2)]
+    got = ann.search(df, df.where(F.col("vec_id").isin(asked)), k=20).toPandas()
+    m = x.astype(float)
+    near = {q: set(np.argsort(-(m @ m[q]) + np.where(np.arange(len(m)) == q, np.inf, 0))[:20]) for q in asked}
+    recall = [len(near[q] & set(got[got.query_id == q]["vec_id"])) / 20 for q in asked]
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == len(asked)
+    assert np.mean(recall[:20]) >= 0.9 and np.mean(recall[20:]) >= 0.8
+    few = df.where("vec_id >= 1220")
+    assert ann.search(few, few, k=20).count() == 20 * 19
+
+
 def test_ann_repeated_rows_count_once(spark):
     rng = np.random.default_rng(6)
     rows = [(0, [1.0, 2.0, 3.0, 4.0])] * 60 + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(1, 5)] + [(i, [float(x) for x in rng.normal(size=4)]) for i in range(5, 30)]
