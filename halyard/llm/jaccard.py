@@ -180,7 +180,8 @@ def _batched(run):
     return joined
 
 
-#: Sets up to this size travel as 64-bit hashes; larger ones as 32-bit hashes, and pairs within SLACK of the limit again as 64-bit ones.
+#: Sets up to this size travel as 64-bit hashes; larger ones as 32-bit hashes, and pairs within SLACK of the limit, and
+#: so many times the chance matches of two such sets, again as 64-bit ones.
 WIDE_SIZE, SLACK = 500, 4
 
 
@@ -223,12 +224,12 @@ def _verified(pairs: DataFrame, source: DataFrame, members: DataFrame, words: in
         exact = F.size(F.array_intersect("wide", "wide_a"))
         about = F.size(F.array_intersect("narrow", "narrow_a"))
         # 32-bit hashes of a set of at most `wide` n-grams beside a larger one: checked again
-        return both.select("a", "b", F.when(F.col("wide").isNotNull() & F.col("wide_a").isNotNull(), exact).alias("exact"), F.when(F.col("narrow").isNotNull() & F.col("narrow_a").isNotNull(), about).alias("about"), (F.col("size") + F.col("m")).alias("both"))
+        return both.select("a", "b", F.when(F.col("wide").isNotNull() & F.col("wide_a").isNotNull(), exact).alias("exact"), F.when(F.col("narrow").isNotNull() & F.col("narrow_a").isNotNull(), about).alias("about"), (F.col("size") + F.col("m")).alias("both"), (SLACK + F.ceil(SLACK * F.col("size").cast("double") * F.col("m") / 2**32)).alias("slack"))
 
     over = f"{100 + percent} * %s >= {percent} * both"
     found = written(counted(pairs, WIDE_SIZE), "jaccard-counted")
-    sure = found.where(f"coalesce({over % 'exact'}, {over % f'(about - {SLACK})'}, false)").select("a", "b")
-    open_ = found.where(f"exact is null and (about is null or not ({over % f'(about - {SLACK})'}) and {over % f'(about + {SLACK})'})").select("a", "b")
+    sure = found.where(f"coalesce({over % 'exact'}, {over % '(about - slack)'}, false)").select("a", "b")
+    open_ = found.where(f"exact is null and (about is null or not ({over % '(about - slack)'}) and {over % '(about + slack)'})").select("a", "b")
     if not open_.isEmpty():
         sure = sure.unionByName(counted(open_, None).where(over % "exact").select("a", "b"))
     return written(sure, "jaccard-links")

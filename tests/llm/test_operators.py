@@ -71,6 +71,13 @@ def test_jaccard(docs, texts):
     assert got == {i: (len(s), least[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_of_very_long_texts(spark):
+    n, common = 380_000, 360_000  # 0.9 exactly
+    rows = [(k, " ".join(f"{'c' if i < common else 'ab'[k]}{i}" for i in range(n))) for k in range(2)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()
+    assert {(r.n_shingles, r.component_id) for r in got} == {(n, 0)}
+
+
 def test_substring(docs, texts):
     first = {}
     for i, t in enumerate(texts):
