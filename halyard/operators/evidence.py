@@ -2,7 +2,7 @@
 
 cards: unit_id, doc_id, asset, direction, strength, uncertainty, relevance, facts (boolean), event_exists, event_type,
 event_words. Numbers are strings of a model's answer and are cast with defaults.
-scenarios: unit_id, scenario, name, weight, asset, drift, vol_mult (strings), evidence (array of doc_ids).
+scenarios: unit_id, scenario, name, weight, asset, drift, vol_mult (strings); evidence: unit_id, scenario, doc_id.
 """
 
 from __future__ import annotations
@@ -70,24 +70,28 @@ def fallback(cards: DataFrame, stats: DataFrame, event: DataFrame) -> DataFrame:
     )
 
 
-def cleaned(raw: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Raw scenarios with numbers cast, shrunk and clipped, evidence that exists, established by code, weights that sum to 1.
+def cited(evidence: DataFrame, docs: DataFrame) -> DataFrame:
+    """The evidence that exists, each document once for a scenario: unit_id, scenario, doc_id."""
+    return evidence.select("unit_id", "scenario", "doc_id").distinct().join(docs.select("unit_id", "doc_id").distinct(), ["unit_id", "doc_id"], "left_semi")
+
+
+def cleaned(raw: DataFrame, evidence: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Raw scenarios with numbers cast, shrunk and clipped, the count n_cited of evidence that exists, established by code, weights that sum to 1.
 
     Established: every cited document states a fact and no drift is a bet. Others may not narrow.
     """
     facts = cards.groupBy("unit_id", "doc_id").agg(F.bool_or("facts").alias("facts"))
     few = raw.where(F.col("scenario") < config.max_scenarios)
-    cited = few.select("unit_id", "scenario", F.explode(F.array_distinct("evidence")).alias("doc_id")).distinct()
-    cited = cited.join(docs.select("unit_id", "doc_id").distinct(), ["unit_id", "doc_id"], "left_semi").join(facts, ["unit_id", "doc_id"], "left").groupBy("unit_id", "scenario").agg(F.array_sort(F.collect_list("doc_id")).alias("cited"), F.bool_and(F.coalesce("facts", F.lit(False))).alias("all_facts"))
+    backed = cited(evidence, docs).join(facts, ["unit_id", "doc_id"], "left").groupBy("unit_id", "scenario").agg(F.count("*").cast("int").alias("cited"), F.bool_and(F.coalesce("facts", F.lit(False))).alias("all_facts"))
     drift = clip(config.drift_shrink * number(F.col("drift")), -config.drift_clamp, config.drift_clamp)
     vm = 1.0 + config.vol_shrink * (clip(number(F.col("vol_mult"), 1.0), config.vol_low, config.vol_high) - 1.0)
     rows = few.select("unit_id", "scenario", F.substring("name", 1, 40).alias("name"), F.greatest(number(F.col("weight")), F.lit(0.0)).alias("weight"), "asset", drift.alias("drift"), vm.alias("vm"))
-    rows = rows.join(cited, ["unit_id", "scenario"], "left")
+    rows = rows.join(backed, ["unit_id", "scenario"], "left")
     one = Window.partitionBy("unit_id", "scenario")
     rows = rows.withColumn("established", F.coalesce("all_facts", F.lit(False)) & (F.max(F.abs("drift")).over(one) <= 0.15))
     floor = F.when(F.col("established"), F.greatest("vm", F.lit(0.8))).otherwise(F.greatest("vm", F.lit(1.0)))
     rows = rows.withColumn("weight", F.col("weight") / F.nullif(F.sum("weight").over(mixture()), F.lit(0.0)))
-    return rows.where("weight is not null").select("unit_id", "scenario", "name", "weight", "asset", "drift", floor.alias("vol_mult"), "established", F.coalesce("cited", F.array().cast("array<string>")).alias("evidence"))
+    return rows.where("weight is not null").select("unit_id", "scenario", "name", "weight", "asset", "drift", floor.alias("vol_mult"), "established", F.coalesce("cited", F.lit(0)).alias("n_cited"))
 
 
 def guarded_drift(rows: DataFrame, stats: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -134,10 +138,10 @@ def tail_and_stress(raw: DataFrame, stats: DataFrame, event: DataFrame, n_assets
     return rows.select("unit_id", tail.cast("double").alias("tail_df"), p.cast("double").alias("stress_prob"))
 
 
-def adjustments(raw: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def adjustments(raw: DataFrame, evidence: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The whole chain: unit_id, scenario, weight, asset, drift, vol_mult, established."""
     stats, event = card_stats(cards), events(cards, config)
-    return guarded_width(guarded_drift(cleaned(raw, cards, docs, config), stats, config), event, config)
+    return guarded_width(guarded_drift(cleaned(raw, evidence, cards, docs, config), stats, config), event, config)
 
 
 def violations(scenarios: DataFrame, units: DataFrame) -> DataFrame:

@@ -286,13 +286,16 @@ adjusted AS (SELECT unit_id, scenario, weight, asset, drift, established, least(
 
 
 def raw_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in for the scenarios that a model gives for each language; documents back the scenario of their id modulo 40."""
+    """A stand-in for the scenarios that a model gives for each language; citations has their evidence."""
     langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("unit_id")).distinct()
     base = langs.withColumn("scenario", F.explode(F.array(*[F.lit(i) for i in range(5)])))
     rows = base.withColumn("asset", F.explode(F.array(F.lit("X"), F.lit("Y"))))
+    return rows.selectExpr(*[c.format(s="string") for c in RAW_COLUMNS])
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that back each scenario, a row for each: those whose id modulo 40 is its number, as in the SQL."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").join(labels, "doc_id", "left")
     labelled = labelled.withColumn("scenario", (F.col("doc_id") % 40).cast("int")).where("scenario < 5 and (scenario <> 2 or quality = 1)")
-    evidence = labelled.groupBy(F.col("lang").alias("unit_id"), "scenario").agg(F.collect_list(F.col("doc_id").cast("string")).alias("evidence"))
-    rows = rows.join(evidence, ["unit_id", "scenario"], "left")
-    return rows.selectExpr(*[c.format(s="string") for c in RAW_COLUMNS], "evidence")
+    return labelled.select(F.col("lang").alias("unit_id"), "scenario", F.col("doc_id").cast("string").alias("doc_id"))

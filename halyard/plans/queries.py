@@ -258,13 +258,13 @@ def fallback_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clean(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cards = inputs.cards(spark, sf_dir)
-    return evidence.cleaned(inputs.raw_scenarios(spark, sf_dir), cards, inputs.docs(spark, sf_dir)), cards
+    return evidence.cleaned(inputs.raw_scenarios(spark, sf_dir), inputs.citations(spark, sf_dir), cards, inputs.docs(spark, sf_dir)), cards
 
 
 @query(f"SELECT unit_id, scenario, name, asset, {r(8, 'weight', 'drift', 'vol_mult')}, established, n_cited::INTEGER AS n_cited FROM cleaned", EV)
 def clean_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _clean(spark, sf_dir)[0]
-    return rounded(rows.withColumn("n_cited", F.size("evidence")).drop("evidence"), 8, "weight", "drift", "vol_mult")
+    return rounded(rows, 8, "weight", "drift", "vol_mult")
 
 
 @query("SELECT unit_id, scenario, asset, round(drift, 8) AS drift FROM drifted", EV)
@@ -275,7 +275,7 @@ def guardrail_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT unit_id, scenario, asset, round(drift, 8) AS drift, round(vol_mult, 8) AS vol_mult FROM adjusted WHERE abs(drift) > 1e-9 OR abs(vol_mult - 1.0) > 1e-9", EV)
 def guardrail_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evidence.adjustments(inputs.raw_scenarios(spark, sf_dir), inputs.cards(spark, sf_dir), inputs.docs(spark, sf_dir))
+    out = evidence.adjustments(inputs.raw_scenarios(spark, sf_dir), inputs.citations(spark, sf_dir), inputs.cards(spark, sf_dir), inputs.docs(spark, sf_dir))
     return rounded(evidence.without_noops(out).select("unit_id", "scenario", "asset", "drift", "vol_mult"), 8, "drift", "vol_mult")
 
 

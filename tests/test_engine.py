@@ -97,3 +97,13 @@ def test_tolerant_casts(spark):
     assert got["n"].tolist() == [1.5, 0.5, 0.5, 0.5, 0.5, 0.5] and not got["t"].any()
     texts = spark.createDataFrame([('a ```{"k": {"j": 1}}``` b',), ("none",)], "x string").select(json_object(F.col("x")).alias("j")).toPandas()["j"].tolist()
     assert texts == ['{"k": {"j": 1}}', None]
+
+
+def test_evidence_comes_as_rows(spark):
+    from halyard.operators.evidence import cleaned
+
+    raw = spark.createDataFrame([("u", 0, "a", "X", "1", "0", "0.5"), ("u", 1, "b", "X", "1", "0", "0.5")], "unit_id string, scenario int, name string, asset string, weight string, drift string, vol_mult string")
+    given = spark.createDataFrame([("u", 0, "1"), ("u", 0, "1"), ("u", 0, "2"), ("u", 0, "gone"), ("u", 1, "3")], "unit_id string, scenario int, doc_id string")
+    known = spark.createDataFrame([("u", str(i), i < 3) for i in range(5)], "unit_id string, doc_id string, facts boolean")
+    got = {r.scenario: (r.n_cited, r.established) for r in cleaned(raw, given, known, known).collect()}
+    assert got == {0: (2, True), 1: (1, False)}
