@@ -3,9 +3,12 @@
 Sets are ordered by how common their n-grams are, rarest first, as a sketch of fixed size counts them; any order that all
 sets share is right, this one keeps common passages out of the prefixes. Two sets that are similar enough share an n-gram
 of their prefixes. Equal sets are one class; classes with equal prefixes and sizes form a group, whose prefix is looked
-up once. Groups that share a prefix n-gram and fit in size are expanded into classes and verified, in two turns: first
-each class against the most common-looking class of its n-gram, which settles groups of copies; then all pairs that still
-lie in different components.
+up once. Pairs of groups that share a prefix n-gram are filtered by size and by the n-gram's places, then expanded into
+classes and verified on the whole sets.
+
+An n-gram that many groups share would make pairs with the square of their number. There every class is compared with the
+most typical one instead. Classes near it link through one of them; all others that link must share differences from it,
+so that a second prefix join, on differences, finds their pairs. Nothing is capped: the result is exact.
 """
 
 from __future__ import annotations
@@ -15,16 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.common import bitmap, in_bitmap, mix64, word_hashes, written
 from halyard.llm.components import components
 
 WORDS, PERCENT = 5, 80
-#: Counters of the sketch: 4 MB in the driver and in each executor, whatever the input's size.
-SKETCH_BITS = 20
+#: Counters of the sketch: 16 MB in a counting task and the driver, 4 MB as levels in a worker, whatever the input's size.
+SKETCH_BITS = 22
 _CHUNK = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -66,26 +69,30 @@ def _slices(batches: Iterator[pa.RecordBatch], text: str, n: int) -> Iterator[tu
 
 
 def sketch(df: DataFrame, text: str, n: int) -> np.ndarray:
-    """Counts of the n-grams' hashes by their upper bits, each document counted once."""
+    """How common the n-grams are, by the upper bits of their hashes, each document counted once: 16 log2(1 + count), 255 at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for _, sets in _slices(batches, text, n):
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        parts = total.reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "part": pa.array([TaskContext.get().partitionId() % 64] * len(parts), pa.int32()), "counts": [p.tobytes() for p in parts]})
+            np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        parts = np.minimum(total, 2**16 - 1).astype(np.uint16).reshape(-1, _CHUNK)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "part": pa.array([TaskContext.get().partitionId() % 64 // 16] * len(parts), pa.int32()), "counts": [p.tobytes() for p in parts]})
+
+    def add(kind: type, low: bool):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(_CHUNK, np.float32)
+            for c in pdf["counts"]:
+                total += np.frombuffer(c, kind)
+            out = np.minimum(16 * np.log2(1 + total), 255).astype(np.uint8) if low else total
+            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": -1, "counts": [out.tobytes()]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, np.uint64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": -1, "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        return run
 
     schema = "chunk int, part int, counts binary"
-    parts = df.select(text).mapInArrow(count, schema).groupBy("chunk", "part").applyInPandas(add, schema)
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for chunk, _, counts in parts.groupBy("chunk").applyInPandas(add, schema).toLocalIterator():
-        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(counts, np.uint32)
+    parts = df.select(text).mapInArrow(count, schema).groupBy("chunk", "part").applyInPandas(add(np.uint16, False), schema)
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for chunk, _, levels in parts.groupBy("chunk").applyInPandas(add(np.float32, True), schema).toLocalIterator():
+        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(levels, np.uint8)
     return out
 
 
@@ -103,14 +110,14 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
                     for x in (cid, other, group, prefix, common):
                         x.append(None)
                     continue
-                c = counts.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                c = _counted(s, counts.value)
                 p = s[np.lexsort((s, c))[: len(s) - -(-percent * len(s) // 100) + 1]]
                 a, o = _class_id(s)
                 cid.append(a)
                 other.append(o)
                 group.append(_class_id(p)[0])
                 prefix.append(p.view(np.int64))
-                common.append(float(np.log1p(c).mean()))
+                common.append(float(c.mean()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array(other, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.float64())], names=["doc_id", "n", "cid", "other", "prefix_id", "prefix", "common"])
 
     kind = df.schema[doc_id].dataType.simpleString()
@@ -118,49 +125,121 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     documents = rows.select("doc_id", "cid", "n")
     each = rows.where("cid is not null").groupBy("cid", "other", "n", "prefix_id").agg(F.max("common").alias("common"), F.min("doc_id").alias("rep"))
     members = written(each.select("cid", "n", "prefix_id", "common", F.xxhash64("rep").alias("rep")), "jaccard-classes")
-    groups = rows.where("cid is not null").select("prefix_id", "n", "prefix")
+    groups = written(members.groupBy("prefix_id", "n").agg(F.count("*").alias("k"), F.max(F.struct("common", "cid")).alias("typical")), "jaccard-groups")
+
+    met = _keyed(rows.where("cid is not null").select("prefix_id", "n", "prefix"), groups, percent)
+    hot = F.col("total") > FEW
+    # group pairs of keys with few classes, filtered, then expanded
+    few = met.where(~hot).select("key", "prefix_id", "n", "lo", "hi")
+    other = few.toDF("key", "prefix_b", "m", "lo_b", "hi_b")
+    pairs = few.join(other, "key").where("(prefix_id, n) < (prefix_b, m) and lo <= hi_b and lo_b <= hi").select("prefix_id", "n", "prefix_b", "m").distinct()
+    pairs = _likely(written(pairs, "jaccard-group-pairs"), rows, percent)
+    left, right = members.select("prefix_id", "n", F.col("cid").alias("a")), members.select(F.col("prefix_id").alias("prefix_b"), F.col("n").alias("m"), F.col("cid").alias("b"))
+    pairs = pairs.join(left, ["prefix_id", "n"]).join(right, ["prefix_b", "m"]).select("a", "b")
+    inside = members.join(groups.where(f"k between 2 and {FEW}").select("prefix_id", "n"), ["prefix_id", "n"])
+    inside = inside.select("prefix_id", "n", F.col("cid").alias("a")).join(right.toDF("prefix_id", "n", "b"), ["prefix_id", "n"]).where("a < b").select("a", "b")
+    pairs = written(pairs.unionByName(inside), "jaccard-pairs")
+    # of keys and groups with many classes each class meets the most typical one
+    led = met.where(hot).select("prefix_id", "n", "lead").unionByName(groups.where(f"k > {FEW}").select("prefix_id", "n", F.col("typical.cid").alias("lead"))).distinct()
+    stars = written(led.join(members, ["prefix_id", "n"]).select("lead", "cid").unionByName(led.select("lead", F.col("lead").alias("cid"))).distinct(), "jaccard-stars")
+
+    links = _verified(pairs, source, words, members, percent)
+    if stars.isEmpty():
+        return documents, components(links)
+    far = written(_differences(stars, _sets(source, words, stars.select("cid"), members), counts, percent), "jaccard-differences")
+    best = far.groupBy("lead").agg(F.max(F.struct("slack", "cid")).alias("best"))
+    near = far.join(best, "lead").where("slack + best.slack >= 0 and cid != best.cid").select(F.col("cid").alias("a"), F.col("best.cid").alias("b"))
+    links = written(links.unionByName(near), "jaccard-links")
+    label = components(links)
+    pairs = written(_apart(far, label, percent), "jaccard-rest")
+    if pairs.isEmpty():
+        return documents, label
+    return documents, components(links.unionByName(_verified(pairs, source, words, members, percent)))
+
+
+#: Keys with more classes than this are settled through their most typical class instead of pair by pair.
+FEW = 16
+
+
+def _counted(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+
+
+def _range(d: str, n: str, pos: str, percent: int) -> tuple[Column, Column]:
+    """(lo, hi) of an element at place pos of a set of d elements: two sets whose first common element lies at these places can only be alike if each lo is at most the other's hi.
+
+    Sets of n and m n-grams link if they differ in (n + m) (100 - percent) / (100 + percent) n-grams at most.
+    """
+    rest, whole = 100 - percent, 100 + percent
+    return F.expr(f"{whole} * {d} - {rest} * {n}"), F.expr(f"{whole} * {d} + {rest} * {n} - {2 * whole} * {pos}")
+
+
+def _in_reach(rows: DataFrame, name: str) -> DataFrame:
+    """rows (key, lo, hi, ...) that some row of their key may be alike to, written."""
+    limits = rows.groupBy("key").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return written(rows.join(limits, "key").where("lo <= most and hi >= least").drop("least", "most").distinct(), name)
+
+
+#: Rows of ids that are broadcast at most; more of them meet the other side in a shuffle.
+SENT = 1 << 19
+
+
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose columns, those of ids, are in ids."""
+    return df.join(F.broadcast(ids) if ids.count() <= SENT else ids, ids.columns, "left_semi")
+
 
-    # prefix n-grams that more than one group holds, and groups of more than one class
-    every = groups.select("prefix_id", "n", F.explode("prefix").alias("gram"))
-    shared = every.groupBy("gram").agg(F.min(F.struct("prefix_id", "n")).alias("a"), F.max(F.struct("prefix_id", "n")).alias("b")).where("a != b").select("gram")
+def _likely(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The group pairs that share as many prefix n-grams as groups with similar sets must.
+
+    Of two prefixes in one order, the one that ends first shares only prefix n-grams with the other; so sets share at most
+    the prefixes' common n-grams and the rest of one set.
+    """
+    ids = written(pairs.select("prefix_id", "n").union(pairs.select("prefix_b", "m")).distinct(), "jaccard-likely")
+    known = _among(rows.select("prefix_id", "n", "prefix"), ids).dropDuplicates(["prefix_id", "n"])
+    both = pairs.join(known.withColumnRenamed("prefix", "x"), ["prefix_id", "n"]).join(known.toDF("prefix_b", "m", "y"), ["prefix_b", "m"])
+    most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
+    return both.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("prefix_id", "n", "prefix_b", "m")
+
+
+def _keyed(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """key, prefix_id, n, lo, hi, total, lead: the groups under each n-gram that several prefixes hold, written.
+
+    total: classes under the key; lead: the class with the most common n-grams. A key stands for an n-gram and a class of
+    sizes: sets that fit in size share one of two.
+    """
+    spark = rows.sparkSession
+    # n-grams that one row holds only make no pair; those of copies alone go below, where groups count once
+    shared = rows.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
     several = spark.sparkContext.broadcast(bitmap(shared, "gram"))
     log = max(1e-9, -np.log(percent / 100)) * 1.0001  # a little wider, so that rounding never parts a pair by two classes
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A key for each shared prefix n-gram and size class: sets that fit in size share one of two."""
+        done: set[tuple[int, int]] = set()
         for b in batches:
             for pid, n, prefix in zip(*[b.column(c).to_pylist() for c in ("prefix_id", "n", "prefix")], strict=True):
+                if (pid, n) in done:
+                    continue
+                if len(done) > 1 << 19:  # only spares the shuffle some rows
+                    done.clear()
+                done.add((pid, n))
                 p = np.array(prefix, np.int64)
                 at = np.flatnonzero(in_bitmap(several.value, p))
+                if not len(at):
+                    continue
                 size = int(np.log(n) / log)
                 grams = p[at].view(np.uint64)
-                key = np.concatenate([mix64(grams + np.uint64(k * int(_ODD[0]) % (1 << 64))) for k in (size, size + 1)] + [mix64(np.array([pid, n], np.int64).view(np.uint64).sum(keepdims=True))])
-                pos = np.r_[at, at, 0].astype(np.int32)
+                key = np.concatenate([mix64(grams + np.uint64(k * int(_ODD[0]) % (1 << 64))) for k in (size, size + 1)])
                 m = len(key)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(m, pid)), pa.array(np.full(m, n)), pa.array(pos)], names=["key", "prefix_id", "n", "pos"])
-
-    looked_up = groups.mapInArrow(_batched(keys), "key bigint, prefix_id bigint, n bigint, pos int").distinct()
-    # expanded: the classes of each group under its keys
-    expanded = looked_up.join(members, ["prefix_id", "n"]).select("key", "cid", "n", "pos", "common")
-    lonely = expanded.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.max(F.struct("common", "cid", "n", "pos")).alias("lead")).where("a != b").select("key", "lead")
-    met = written(expanded.join(lonely, "key").select("key", "cid", "n", "pos", "lead"), "jaccard-keys")
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * (least(pos, at) + 1 + least(n - pos, m - at) - 1) >= {percent} * (n + m)"
-    stars = met.select("cid", "n", "pos", F.col("lead.cid").alias("to"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at")).where("cid != to").where(fits)
-    stars = written(stars.select(F.col("to").alias("a"), F.col("cid").alias("b")).distinct(), "jaccard-stars")
-    links = _verified(stars, source, members, words, percent)
-    label = components(links)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(m, pid)), pa.array(np.full(m, n)), pa.array(np.r_[at, at].astype(np.int32))], names=["key", "prefix_id", "n", "pos"])
 
-    # pairs under one key that still lie in different components
-    now = met.join(label, met["cid"] == label["node"], "left").select("key", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
-    apart = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    open_ = written(now.join(apart, "key"), "jaccard-open")
-    other = open_.select("key", F.col("cid").alias("to"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("label").alias("l"))
-    rest = open_.join(other, "key").where("cid < to and label != l").where(fits).select(F.col("cid").alias("a"), F.col("to").alias("b")).distinct()
-    known = stars.select("a", "b").unionByName(stars.selectExpr("b as a", "a as b"))
-    rest = written(rest.join(known, ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.isEmpty():
-        return documents, label
-    return documents, components(links.unionByName(_verified(rest, source, members, words, percent)))
+    lo, hi = _range("n", "n", "pos", percent)
+    found = rows.mapInArrow(_batched(keys), "key bigint, prefix_id bigint, n bigint, pos int").withColumns({"lo": lo, "hi": hi}).drop("pos")
+    inside = _in_reach(written(found, "jaccard-found"), "jaccard-reach")
+    several = inside.groupBy("key").agg(F.min("prefix_id").alias("a"), F.max("prefix_id").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a != b or c != d").select("key")
+    met = written(inside.join(several, "key").join(groups, ["prefix_id", "n"]), "jaccard-keys")
+    held = met.groupBy("key").agg(F.sum("k").alias("total"), F.max("typical").alias("typical"))
+    return met.select("key", "prefix_id", "n", "lo", "hi").join(held.select("key", "total", F.col("typical.cid").alias("lead")), "key")
 
 
 def _batched(run):
@@ -180,24 +259,14 @@ def _batched(run):
     return joined
 
 
-#: Sets up to this size travel as 64-bit hashes; larger ones as 32-bit hashes, and pairs within SLACK of the limit, and
-#: so many times the chance matches of two such sets, again as 64-bit ones.
-WIDE_SIZE, SLACK = 500, 4
-
-
-def _sets(source: DataFrame, words: int, pairs: DataFrame, members: DataFrame, wide: int | None) -> DataFrame:
-    """cid, size, wide (64-bit hashes; null above `wide` n-grams), narrow (32-bit hashes, else null) of the classes in pairs.
-
-    Only the first document of each class is parsed, as a bitmap of fixed size tells.
-    """
-    asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    asked = written(asked.join(members, "cid").select("cid", "rep"), "jaccard-asked")
-    ids, reps = (source.sparkSession.sparkContext.broadcast(bitmap(asked, c)) for c in ("cid", "rep"))
+def _sets(source: DataFrame, words: int, asked: DataFrame, members: DataFrame) -> DataFrame:
+    """cid, grams (sorted 64-bit hashes) of the classes asked for; only the first document of each class is parsed."""
+    wanted = written(asked.toDF("cid").distinct().join(members, "cid").select("cid", "rep"), "jaccard-asked")
+    ids = source.sparkSession.sparkContext.broadcast(bitmap(wanted, "cid"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        some = (b.filter(pa.array(in_bitmap(reps.value, b.column("rep").to_numpy()))) for b in batches)
-        for _, sets in _slices(some, "text", words):
+        for _, sets in _slices(batches, "text", words):
             cids = np.array([_class_id(s)[0] if len(s) else 0 for s in sets], np.int64)
             out = []
             for i in np.flatnonzero(in_bitmap(ids.value, cids) & np.array([len(s) > 0 for s in sets], bool)).tolist():
@@ -206,33 +275,66 @@ def _sets(source: DataFrame, words: int, pairs: DataFrame, members: DataFrame, w
                     out.append(i)
             if len(met) > 1 << 20:  # only spares the shuffle some rows
                 met.clear()
-            got = [sets[i] for i in out]
-            far = [wide is not None and len(s) > wide for s in got]
-            narrow = [np.unique((s & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32) if f else None for s, f in zip(got, far, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(cids[out]), pa.array([len(s) for s in got], pa.int64()), pa.array([None if f else s.view(np.int64) for s, f in zip(got, far, strict=True)], pa.list_(pa.int64())), pa.array(narrow, pa.list_(pa.int32()))], names=["cid", "size", "wide", "narrow"])
+            yield pa.RecordBatch.from_arrays([pa.array(cids[out]), pa.array([sets[i].view(np.int64) for i in out], pa.list_(pa.int64()))], names=["cid", "grams"])
 
-    return source.select("text", F.xxhash64("doc_id").alias("rep")).mapInArrow(pick, "cid bigint, size bigint, wide array<bigint>, narrow array<int>").dropDuplicates(["cid"])
+    first = _among(source.select("text", F.xxhash64("doc_id").alias("rep")), wanted.select("rep")).select("text")
+    return first.mapInArrow(pick, "cid bigint, grams array<bigint>").dropDuplicates(["cid"])
 
 
-def _verified(pairs: DataFrame, source: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, words: int, members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, written."""
+    sets = _sets(source, words, pairs.select("a").union(pairs.select("b")), members)
+    first = sets.select(F.col("cid").alias("a"), F.col("grams").alias("x"))
+    both = pairs.join(first, "a").join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return written(both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "jaccard-links")
+
 
-    def counted(pairs: DataFrame, wide: int | None) -> DataFrame:
-        sets = _sets(source, words, pairs, members, wide)
-        first = sets.select(F.col("cid").alias("a"), F.col("size").alias("m"), F.col("wide").alias("wide_a"), F.col("narrow").alias("narrow_a"))
-        both = pairs.join(sets, F.col("b") == F.col("cid")).drop("cid").join(first, "a")
-        exact = F.size(F.array_intersect("wide", "wide_a"))
-        about = F.size(F.array_intersect("narrow", "narrow_a"))
-        # 32-bit hashes of a set of at most `wide` n-grams beside a larger one: checked again
-        return both.select("a", "b", F.when(F.col("wide").isNotNull() & F.col("wide_a").isNotNull(), exact).alias("exact"), F.when(F.col("narrow").isNotNull() & F.col("narrow_a").isNotNull(), about).alias("about"), (F.col("size") + F.col("m")).alias("both"), (SLACK + F.ceil(SLACK * F.col("size").cast("double") * F.col("m") / 2**32)).alias("slack"))
-
-    over = f"{100 + percent} * %s >= {percent} * both"
-    found = written(counted(pairs, WIDE_SIZE), "jaccard-counted")
-    sure = found.where(f"coalesce({over % 'exact'}, {over % '(about - slack)'}, false)").select("a", "b")
-    open_ = found.where(f"exact is null and (about is null or not ({over % '(about - slack)'}) and {over % '(about + slack)'})").select("a", "b")
-    if not open_.isEmpty():
-        sure = sure.unionByName(counted(open_, None).where(over % "exact").select("a", "b"))
-    return written(sure, "jaccard-links")
+#: n-grams of members that meet a copy of their leader's set in one group.
+MEET = 1 << 18
+
+
+def _differences(stars: DataFrame, sets: DataFrame, counts: Broadcast, percent: int) -> DataFrame:
+    """lead, cid, n, d, slack, keys: how each class differs from its leader.
+
+    d: n-grams that only one of both has. Two classes of a leader differ in d + d' n-grams at most, so they link if their
+    slacks add up to 0 or more; the class of most slack links with every class of such a pair. All others that link have
+    differences in common; keys holds the hashed first of them, those likely to be rare first, as in a prefix join.
+    """
+    sized = stars.join(sets, "cid").withColumn("n", F.size("grams"))
+    parts = sized.groupBy("lead").agg(F.sum("n").cast("long").alias("words")).select("lead", F.ceil(F.col("words") / MEET).cast("int").alias("parts"))
+    sized = sized.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    leaders = parts.join(sets, F.col("lead") == F.col("cid")).select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "grams").toDF("leader", "share", "base")
+    rest, whole = 100 - percent, 100 + percent
+
+    def differ(mine: pd.DataFrame, leader: pd.DataFrame) -> pd.DataFrame:
+        base = np.asarray(leader["base"].iloc[0], np.int64).view(np.uint64)
+        salt = mix64(np.array([leader["leader"].iloc[0]], np.int64).view(np.uint64))
+        ds, keys = [], []
+        for x in mine["grams"]:
+            s = np.asarray(x, np.int64).view(np.uint64)
+            new, gone = np.setdiff1d(s, base, assume_unique=True), np.setdiff1d(base, s, assume_unique=True)
+            a, b = _counted(new, counts.value), _counted(gone, counts.value).astype(np.int64)
+            e = np.concatenate([new[np.lexsort((new, a))], gone[np.lexsort((gone, -b))]])
+            ds.append(len(e))
+            keys.append(mix64(e[: len(s) * rest * (100 + percent) // (whole * percent) + 1] ^ salt).view(np.int64))
+        n, d = mine["n"].to_numpy(np.int64), np.array(ds, np.int64)
+        return pd.DataFrame({"lead": mine["lead"], "cid": mine["cid"], "n": n, "d": d, "slack": n * rest - d * whole, "keys": keys})
+
+    return sized.groupBy("lead", "part").cogroup(leaders.groupBy("leader", "share")).applyInPandas(differ, "lead bigint, cid bigint, n bigint, d bigint, slack bigint, keys array<bigint>")
+
+
+def _apart(far: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share one of the first differences from a leader, where it may suffice."""
+    rows = far.select("cid", "n", "d", F.posexplode("keys").alias("pos", "key"))
+    lo, hi = _range("d", "n", "pos", percent)
+    rows = rows.select("key", "cid", lo.alias("lo"), hi.alias("hi"))
+    several = rows.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a != b").select("key")
+    rows = rows.join(several, "key").join(label, F.col("cid") == F.col("node"), "left").select("key", "cid", "lo", "hi", F.coalesce("label", "cid").alias("label"))
+    inside = _in_reach(rows, "jaccard-reach")
+    several = inside.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
+    met = written(inside.join(several, "key"), "jaccard-apart")
+    return met.join(met.toDF("key", "b", "lo_b", "hi_b", "label_b"), "key").where("cid < b and label != label_b and lo <= hi_b and lo_b <= hi").select(F.col("cid").alias("a"), "b").distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

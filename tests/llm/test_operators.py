@@ -71,6 +71,37 @@ def test_jaccard(docs, texts):
     assert got == {i: (len(s), least[i]) for i, s in enumerate(sets)}
 
 
+def brute_components(texts, n, percent):
+    sets = []
+    for t in texts:
+        ws = t.split()
+        sets.append({tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} or {tuple(ws)})
+    least = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= percent * len(a | b)]
+    for _ in texts:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return dict(enumerate(least))
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_of_many_near_copies(spark, n, percent):
+    """Groups above FEW of which some link, some only through others, and most do not."""
+    rng = np.random.default_rng(n)
+    texts = []
+    for group, (size, with_base) in enumerate([(90, True), (70, False), (40, False)]):
+        base = [f"g{group}w{k}" for k in rng.integers(0, 400, 90)]
+        for i in range(size):
+            ws = list(base)
+            for _ in range(int(rng.integers(0, 6)) + (not with_base)):
+                at = int(rng.integers(0, len(ws)))
+                ws[at : at + int(rng.integers(0, 2))] = [f"e{rng.integers(0, 9) if group == 2 else rng.integers(0, 10**6)}"]
+            texts.append(" ".join(ws[: len(ws) - int(rng.integers(0, 4))]))
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), n, percent).collect()
+    want = brute_components(texts, n, percent)
+    assert {r.doc_id: r.component_id for r in got} == want and 3 < len(set(want.values())) < len(texts)
+
+
 def test_jaccard_of_very_long_texts(spark):
     n, common = 380_000, 360_000  # 0.9 exactly
     rows = [(k, " ".join(f"{'c' if i < common else 'ab'[k]}{i}" for i in range(n))) for k in range(2)]
