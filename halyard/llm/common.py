@@ -56,7 +56,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
 
 
-def _pieces(off: np.ndarray, data: np.ndarray, size: int = 1 << 20):
+def _pieces(off: np.ndarray, data: np.ndarray, size: int = 1 << 18):
     """Byte ranges of about `size` that end where a text or, in a longer text, a word ends."""
     a, n = int(off[0]), len(off) - 1
     i = 0

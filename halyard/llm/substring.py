@@ -6,9 +6,9 @@ without asking each other, except for a few symbols at either end, which depend
 goes the span of words that decides it. A window's interior symbols are those whose span lies inside it; the smallest
 name, hashed with the words of its span, among those of the highest level that has any is its anchor, so equal windows have equal anchors everywhere.
 
-Anchors that only one document holds need no more work. Windows beside each other with one anchor form a stretch. If all
-stretches of an anchor are equal, the anchor's first document decides them; else the windows of its distinct stretches
-are compared one by one.
+Anchors that only one document holds need no more work. Windows beside each other with one anchor form a stretch; a digest
+of its words verifies that stretches of one anchor are equal, and the first document of each digest decides. Where an
+anchor has unequal stretches, the windows of each distinct one are looked up one by one, by digests of their words.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from halyard.llm.common import bitmap, in_bitmap, mix64, word_hashes, written
 WINDOW = 13
 ROUNDS = 2
 #: Words that a task parses at a time; a longer text is cut, with an overlap of a window less a word.
-STEP = 1 << 17
+STEP = 1 << 15
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -86,13 +86,11 @@ def levels(words: np.ndarray, new: np.ndarray, rounds: int = ROUNDS) -> list[Sym
 
 @dataclass
 class Stretches:
-    """Runs of windows with one anchor: its name, first and last window start, hash of all words they cover; hash(i) of windows."""
+    """Runs of windows with one anchor: its name, first and last window start."""
 
     name: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    cover: np.ndarray
-    window: np.ndarray
 
 
 def stretches(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> Stretches:
@@ -104,7 +102,7 @@ def stretches(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds
     start = np.flatnonzero(np.repeat(ends, sizes) - np.arange(n) >= window)
     none = np.zeros(0, np.int64)
     if not len(start):
-        return Stretches(none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Stretches(none.astype(np.uint64), none, none)
     power = np.cumprod(np.full(n + 1, _B, np.uint64)) * _B_INVERSE
     back = np.cumprod(np.full(n + 1, _B_INVERSE, np.uint64)) * _B
     prefix = np.zeros(n + 1, np.uint64)
@@ -139,9 +137,7 @@ def stretches(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds
     head[1:] = (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(head)
     first, last = start[at], start[np.append(at[1:], len(start)) - 1]
-    inner = np.zeros(n, np.uint64)
-    inner[start] = hashed(start, start + window)
-    return Stretches(best[at], first, last, hashed(first, last + window), inner)
+    return Stretches(best[at], first, last)
 
 
 def _parts(batch: pa.RecordBatch, text: str, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,6 +160,10 @@ def _parts(batch: pa.RecordBatch, text: str, window: int) -> Iterator[tuple[np.n
             row = stop
 
 
+def _digest(words: list[bytes]) -> int:
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+
+
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Windows whose word sequence also starts in a document of smaller id: doc, key, spans.
 
@@ -176,61 +176,90 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = b.column("doc").to_numpy()
+            names, of = [], []
             for rows, _, sizes, words in _parts(b, "text", window):
                 x = stretches(words, sizes, window)
-                doc = docs[rows[np.searchsorted(np.cumsum(sizes), x.first, "right")]]
-                yield pa.RecordBatch.from_arrays([pa.array(x.name.view(np.int64)), pa.array(doc), pa.array(x.cover.view(np.int64))], names=["name", "doc", "cover"])
+                names.append(x.name.view(np.int64))
+                of.append(docs[rows[np.searchsorted(np.cumsum(sizes), x.first, "right")]])
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(of))], names=["name", "doc"])
 
-    found = source.mapInArrow(anchors, "name bigint, doc bigint, cover bigint").groupBy("name")
-    found = found.agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("cover").alias("a"), F.max("cover").alias("b"))
-    shared = written(found.where("first < last").select("name", "first", (F.col("a") == F.col("b")).alias("alike")), "substring-anchors")
     spark = df.sparkSession
-    often = spark.sparkContext.broadcast(bitmap(shared, "name"))
-    mixed = spark.sparkContext.broadcast(bitmap(shared.where("not alike"), "name"))
+    found = source.mapInArrow(anchors, "name bigint, doc bigint").groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    often = spark.sparkContext.broadcast(bitmap(written(found.where("a < b").select("name"), "substring-anchors"), "name"))
 
-    def located(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[tuple]:
-        """(batch, stretches, those that the bitmap lets through, their rows, word places of their texts' starts)"""
+    def located(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[tuple[pa.RecordBatch, Stretches, int, int, int, list[bytes]]]:
+        """(batch, stretches, one that the bitmap lets through, its row, place of its first word in the text, its words)"""
         for b in batches:
+            texts, row, ws = b.column("text"), -1, []
             for rows, before, sizes, words in _parts(b, "text", window):
                 x = stretches(words, sizes, window)
                 some = np.flatnonzero(in_bitmap(bits.value, x.name))
-                if len(some):
-                    part = np.searchsorted(np.cumsum(sizes), x.first[some], "right")
-                    yield b, x, some, rows[part], before[part] - (np.cumsum(sizes) - sizes)[part]
+                part = np.searchsorted(np.cumsum(sizes), x.first[some], "right")
+                first = x.first[some] + before[part] - (np.cumsum(sizes) - sizes)[part]
+                more = x.last[some] - x.first[some] + window
+                for i, r, f, m in zip(some.tolist(), rows[part].tolist(), first.tolist(), more.tolist(), strict=True):
+                    if r != row:
+                        row, ws = r, texts[r].as_py().encode().split()
+                    yield b, x, i, r, f, ws[f : f + m]
 
-    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        docs = keys = batch = None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["name", "check", "doc", "key", "span"])
+
+        for b, x, i, r, f, ws in located(batches, often):
+            if b is not batch:
+                batch, docs, keys = b, b.column("doc").to_numpy(), b.column("key").to_numpy()
+            out.append((int(x.name[i].view(np.int64)), _digest(ws), int(docs[r]), int(keys[r]), f << 32 | (f + len(ws) - window)))
+            if len(out) == 20_000:
+                yield made()
+                out.clear()
+        if out:
+            yield made()
+
+    held = written(source.withColumn("key", F.xxhash64("text")).mapInArrow(places, "name bigint, check bigint, doc bigint, key bigint, span bigint"), "substring-stretches")
+    # stretches of one name and equal words; names with several are compared window by window
+    equal = written(held.groupBy("name", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "substring-equal")
+    several = equal.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("name")
+    mixed = spark.sparkContext.broadcast(bitmap(written(several, "substring-mixed"), "name"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, int] = {}
-        for b, x, some, rows, _ in located(batches, mixed):
-            cover, doc = x.cover[some].view(np.int64), b.column("doc").to_numpy()[rows]
-            fresh = []
-            for i, (c, d) in enumerate(zip(cover.tolist(), doc.tolist(), strict=True)):
-                if met.get(c, d + 1) > d:
-                    met[c] = d
-                    fresh.append(i)
-            if len(met) > 1 << 19:  # only spares the shuffle some rows
+        out: list[tuple] = []
+        batch = docs = None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["name", "check", "k", "doc", "window"])
+
+        for b, x, i, r, _, ws in located(batches, mixed):
+            if b is not batch:
+                batch, docs = b, b.column("doc").to_numpy()
+            name, check, doc = int(x.name[i].view(np.int64)), _digest(ws), int(docs[r])
+            if met.get(check, doc + 1) <= doc:
+                continue
+            if len(met) > 1 << 17:  # only spares the shuffle some rows
                 met.clear()
-            first, last = x.first[some][fresh], x.last[some][fresh]
-            offsets = np.append(0, np.cumsum(last + 1 - first))
-            place = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, last + 1 - first)
-            inner = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.window[place].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(cover[fresh]), pa.array(doc[fresh]), inner], names=["cover", "doc", "inner"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, x, some, rows, shift in located(batches, often):
-            span = (x.first[some] + shift) << 32 | (x.last[some] + shift)
-            yield pa.RecordBatch.from_arrays([pa.array(x.name[some].view(np.int64)), pa.array(x.cover[some].view(np.int64)), pa.array(b.column("doc").to_numpy()[rows]), pa.array(b.column("key").to_numpy()[rows]), pa.array(span)], names=["name", "cover", "doc", "key", "span"])
-
-    # each distinct stretch of the anchors that have several: the first document of each of its windows
-    distinct = source.mapInArrow(covers, "cover bigint, doc bigint, inner array<bigint>").groupBy("cover").agg(F.min("doc").alias("doc"), F.max("inner").alias("inner"))
-    distinct = written(distinct, "substring-stretches")
-    single = distinct.select("cover", "doc", F.posexplode("inner").alias("k", "window"))
+            met[check] = doc
+            for k in range(len(ws) - window + 1):
+                out.append((name, check, k, doc, hashlib.blake2b(b" ".join(ws[k : k + window]), digest_size=16).digest()))
+            if len(out) >= 20_000:
+                yield made()
+                out.clear()
+        if out:
+            yield made()
+
+    single = written(source.mapInArrow(windows, "name bigint, check bigint, k int, doc bigint, window binary"), "substring-windows")
     first = single.groupBy("window").agg(F.min("doc").alias("first"))
-    known = single.join(first, "window").groupBy("cover").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "first"))), lambda x: x["first"]).alias("firsts"))
+    known = single.join(first, "window").groupBy("name", "check", "k").agg(F.min("first").alias("first"))
+    known = known.groupBy("name", "check").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "first"))), lambda x: x["first"]).alias("firsts"))
 
-    held = source.withColumn("key", F.xxhash64("text")).mapInArrow(places, "name bigint, cover bigint, doc bigint, key bigint, span bigint")
-    held = held.join(shared, "name")
-    whole = held.where("alike and first < doc").select("doc", "key", F.array("span").alias("spans"))
-    some = held.where("not alike").select("cover", "doc", "key", "span").join(known, "cover").where("exists(firsts, f -> f < doc)")
+    whole = held.join(equal.where("first < last"), ["name", "check"]).where("first < doc").select("doc", "key", F.array("span").alias("spans"))
+    # of a stretch whose own words come first here, windows may still stand in other stretches
+    lone = held.join(several, "name", "left_semi").join(equal.select("name", "check", "first"), ["name", "check"]).where("first = doc").drop("first")
+    some = lone.join(known, ["name", "check"]).where("exists(firsts, f -> f < doc)")
     start = "shiftright(span, 32) + k"
     late = f"case when forall(firsts, f -> f < doc) then array(span) else filter(transform(firsts, (f, k) -> if(f < doc, shiftleft({start}, 32) + {start}, null)), x -> x is not null) end"
     return whole.unionByName(some.select("doc", "key", F.expr(late).alias("spans"))).groupBy("doc", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
