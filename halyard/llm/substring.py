@@ -20,13 +20,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.common import bitmap, in_bitmap, mix64, word_hashes, written
 
 WINDOW = 13
-ROUNDS = 2
+ROUNDS = 1
 #: Words that a task parses at a time; a longer text is cut, with an overlap of a window less a word.
 STEP = 1 << 15
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +172,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     Null and empty texts and texts shorter than a window have none. Rows that repeat an id are no source for each other.
     """
     source = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col(text).alias("text"))
+    spark = df.sparkSession
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +185,6 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(of))], names=["name", "doc"])
 
-    spark = df.sparkSession
     found = source.mapInArrow(anchors, "name bigint, doc bigint").groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     often = spark.sparkContext.broadcast(bitmap(written(found.where("a < b").select("name"), "substring-anchors"), "name"))
 
@@ -232,7 +232,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         batch = docs = None
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["name", "check", "k", "doc", "window"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["name", "check", "k", "doc", "window"])
 
         for b, x, i, r, _, ws in located(batches, mixed):
             if b is not batch:
@@ -244,25 +244,22 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 met.clear()
             met[check] = doc
             for k in range(len(ws) - window + 1):
-                out.append((name, check, k, doc, hashlib.blake2b(b" ".join(ws[k : k + window]), digest_size=16).digest()))
+                out.append((name, check, k, doc, _digest(ws[k : k + window])))
             if len(out) >= 20_000:
                 yield made()
                 out.clear()
         if out:
             yield made()
 
-    single = written(source.mapInArrow(windows, "name bigint, check bigint, k int, doc bigint, window binary"), "substring-windows")
-    first = single.groupBy("window").agg(F.min("doc").alias("first"))
-    known = single.join(first, "window").groupBy("name", "check", "k").agg(F.min("first").alias("first"))
-    known = known.groupBy("name", "check").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "first"))), lambda x: x["first"]).alias("firsts"))
-
-    whole = held.join(equal.where("first < last"), ["name", "check"]).where("first < doc").select("doc", "key", F.array("span").alias("spans"))
-    # of a stretch whose own words come first here, windows may still stand in other stretches
-    lone = held.join(several, "name", "left_semi").join(equal.select("name", "check", "first"), ["name", "check"]).where("first = doc").drop("first")
-    some = lone.join(known, ["name", "check"]).where("exists(firsts, f -> f < doc)")
+    # equal windows have equal names; of a stretch whose words come first here, windows may still stand in other stretches
+    single = source.mapInArrow(windows, "name bigint, check bigint, k int, doc bigint, window bigint")
+    single = single.withColumn("first", F.min("doc").over(Window.partitionBy("name", "window"))).where("first < doc")
+    known = single.groupBy("name", "check", F.col("doc").alias("first")).agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    decided = equal.join(known, ["name", "check", "first"], "left").where("first < last or ks is not null")
     start = "shiftright(span, 32) + k"
-    late = f"case when forall(firsts, f -> f < doc) then array(span) else filter(transform(firsts, (f, k) -> if(f < doc, shiftleft({start}, 32) + {start}, null)), x -> x is not null) end"
-    return whole.unionByName(some.select("doc", "key", F.expr(late).alias("spans"))).groupBy("doc", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = F.expr(f"case when first < doc then array(span) else transform(ks, k -> shiftleft({start}, 32) + {start}) end")
+    hits = held.join(decided.drop("last"), ["name", "check"]).where("first < doc or ks is not null")
+    return hits.select("doc", "key", spans.alias("spans")).groupBy("doc", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), whole: bool = True) -> DataFrame:

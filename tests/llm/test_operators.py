@@ -122,6 +122,32 @@ def test_substring(docs, texts):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(ws), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_substring_of_shared_and_broken_passages(spark):
+    """Passages with other words around, cut short, repeated within a document, runs of one word and whole copies."""
+    rng = np.random.default_rng(9)
+    passages = [[f"p{k}" for k in rng.integers(0, 60, 40)] for _ in range(5)]
+    texts = []
+    for i in range(80):
+        ws = []
+        for _ in range(int(rng.integers(1, 5))):
+            p = passages[int(rng.integers(0, 5))]
+            a = int(rng.integers(0, 25))
+            ws += [f"u{x}" for x in rng.integers(0, 500, int(rng.integers(0, 6)))] + p[a : a + int(rng.integers(5, 40))]
+        texts.append(" ".join(ws + ["same"] * int(rng.integers(0, 40)) * (i % 4 == 0)))
+    texts += texts[:10]
+    first = {}
+    for i, t in enumerate(texts):
+        ws = words(t)
+        for k in range(len(ws) - 12):
+            first.setdefault(tuple(ws[k : k + 13]), i)
+    got = substring.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6), whole=False).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ws = words(texts[r.doc_id])
+        gone = {k + j for k in range(len(ws) - 12) if first[tuple(ws[k : k + 13])] < r.doc_id for j in range(13)}
+        assert (r.n_words, r.n_removed) == (len(ws), len(gone))
+
+
 def test_mix(docs, texts):
     got = mixing.mix(docs).toPandas().set_index("doc_id")
     again = mixing.mix(docs.repartition(5)).toPandas().set_index("doc_id")
