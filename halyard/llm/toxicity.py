@@ -137,14 +137,24 @@ class Scorer:
         return [max([known[t] for t in f], default=self.model.bias) for f in found]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reg: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Squared-hinge linear SVM by Newton steps; the last column of x is 1 and is not regularised."""
-    w, r = np.zeros(x.shape[1]), np.full(x.shape[1], reg)
+#: Tokens whose Nyström features are computed, or rows that enter a Newton step, at a time.
+TOKENS, ROWS = 250, 4096
+
+
+def _svm(parts: list[tuple[np.ndarray, float, float]], reg: float = 1e-3, rounds: int = 40) -> np.ndarray:
+    """Squared-hinge linear SVM by Newton steps; parts: rows, label, cost of each row. The last column is 1 and is not regularised."""
+    m = parts[0][0].shape[1]
+    w, r = np.zeros(m), np.full(m, reg)
     r[-1] = 1e-8
     for _ in range(rounds):
-        on = y * (x @ w) < 1
-        a = x[on] * cost[on, None]
-        new = np.linalg.solve(a.T @ x[on] + np.diag(r), a.T @ y[on])
+        a, b = np.diag(r), np.zeros(m)
+        for x, y, cost in parts:
+            for i in range(0, len(x), ROWS):
+                near = x[i : i + ROWS].astype(np.float64)
+                near = near[y * (near @ w) < 1]
+                a += cost * (near.T @ near)
+                b += cost * y * near.sum(0)
+        new = np.linalg.solve(a, b)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -187,9 +197,11 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
             clean = [r["token"] for r in seen.where("good > 0 and bad * 4 < good * 3").orderBy(F.xxhash64("token")).select("token").limit(MAX_CLEAN).collect()]
         finally:
             seen.unpersist()
-        names = bags.sparkSession.createDataFrame([(r["token"],) for r in top], "token string")
-        has = each.where("y = 1").join(F.broadcast(names), "token").groupBy("d").agg(F.collect_list("token").alias("tokens")).collect()
-        bad = explain([set(r["tokens"]) for r in has], {r["token"]: r["bad"] / (r["bad"] + r["good"] + 0.3) for r in top})
+        # at most MAX_CANDIDATES names; of each toxic text their numbers, as Arrow
+        words = [r["token"] for r in top]
+        names = bags.sparkSession.createDataFrame(list(enumerate(words)), "i int, token string")
+        has = each.where("y = 1").join(F.broadcast(names), "token").groupBy("d").agg(F.collect_list("i").alias("i")).orderBy("d").select("i").toArrow()["i"]
+        bad = explain([{words[i] for i in x.values.to_numpy()} for x in has], {r["token"]: r["bad"] / (r["bad"] + r["good"] + 0.3) for r in top})
         if not bad:
             return None
         model = _train(bad, clean)
@@ -237,8 +249,10 @@ def explain(bags: list[set[str]], odds: dict[str, float], least: float = 0.9, sh
 
 def _mapped(tokens: list[str], phi: np.ndarray, white: np.ndarray) -> np.ndarray:
     """The tokens' Nyström features and a 1, a few tokens at a time."""
-    parts = [linear(tokens[i : i + 2000], phi) @ white for i in range(0, len(tokens), 2000)]
-    return np.c_[np.concatenate(parts), np.ones(len(tokens))]
+    out = np.ones((len(tokens), white.shape[1] + 1), np.float32)
+    for i in range(0, len(tokens), TOKENS):
+        out[i : i + TOKENS, :-1] = linear(tokens[i : i + TOKENS], phi) @ white
+    return out
 
 
 def _train(bad: list[str], clean: list[str], rounds: int = 3) -> Model:
@@ -256,14 +270,12 @@ def _train(bad: list[str], clean: list[str], rounds: int = 3) -> Model:
             odd.append(t[:i] + chr(97 + int(rng.integers(26))) + t[i:])
             odd.append(t[:i] + t[i - 1] + t[i:])
     value, vector = np.linalg.eigh((phi.T @ phi).astype(float) + 1e-4 * np.eye(len(marks)))
-    white = vector / np.sqrt(np.maximum(value, 1e-4))
+    white = (vector / np.sqrt(np.maximum(value, 1e-4))).astype(np.float32)
     positive, rest = _mapped(bad + odd, phi, white), _mapped(clean[:20_000], phi, white)
     met = list(dict.fromkeys(hard))
     for turn in range(rounds):
-        x = np.concatenate([positive, _mapped(met, phi, white), rest])
-        y = np.r_[np.ones(len(positive)), -np.ones(len(x) - len(positive))]
-        cost = np.where(y > 0, len(y) / 2 / (y > 0).sum(), len(y) / 2 / (y < 0).sum()) / len(y)
-        w = _svm(x, y, cost)
+        more = _mapped(met, phi, white)
+        w = _svm([(positive, 1.0, 0.5 / len(positive)), (more, -1.0, 0.5 / (len(more) + len(rest))), (rest, -1.0, 0.5 / (len(more) + len(rest)))])
         table = (phi @ (white @ w[:-1])).astype(np.float32)
         if turn < rounds - 1:
             worst = np.argsort(-linear(clean, table), kind="stable")[:2000]
