@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from halyard.llm.bpe import byte_alphabet
 from halyard.llm.common import shared_dir, written
 from halyard.llm.files import create, reopen, rows_of, spread
 
@@ -32,7 +33,7 @@ HEAD = struct.Struct("<IBH")
 FOOT = struct.Struct("<QQQQQ")
 #: Blocks that a writer packs, or a reader unpacks, at a time.
 RUN = 512
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 300_000
 
 
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
@@ -159,43 +160,77 @@ class ByteBPE:
     space, or with a special token, are encoded whole.
     """
 
-    ODD = re.compile(r"[ ]\s|\s[ ]|^ | $|<\|")
+    #: A word after a space whose text is encoded whole, and one whose text is, unless it ends there.
+    WHOLE, ENDS = re.compile(r"^$|^\s|<\|"), re.compile(r"\s$")
+    SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*()|-]{0,4})").fullmatch
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        special = self.tok.get_added_tokens_decoder()
-        self.cut, self.mark = next((i, t.content) for i, t in special.items())
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
+        #: ids of the chunk of a word after a space; None where a text is encoded whole, unless the word is its last
+        self.known: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+        self.last: dict[str, bytes] = {}
+        self.model, self.heads, self.tails = self.tok.model, {}, {}
+        self.letters = dict(enumerate(byte_alphabet()))
+
+    def _marks(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = pack_whole(self.tok, tail)
+        return self.tails[tail]
+
+    def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE_CHUNKS:
-            self.known, self.before = {}, self.known
-        new = chunks.difference(self.known)
-        old = {c: self.before[c] for c in new if c in self.before}
-        self.known.update(old)
-        new = list(new.difference(old))
-        runs = [new[i : i + 256] for i in range(0, len(new), 256)]
-        for run, e in zip(runs, self.tok.encode_batch_fast([self.mark.join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.cut).tolist(), len(ids)]
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(run, ends, strict=True):
-                self.known[c] = raw[4 * a : 4 * b]
-                a = b + 1
+            self.known, self.before, self.last = {}, self.known, {}
+            self.heads, self.tails = {}, {}
+        new = words.difference(self.known)
+        if self.before:
+            old = {w: x for w in new.intersection(self.before) if (x := self.before[w]) is not None}
+            self.known.update(old)
+            new.difference_update(old)
+        todo = []
+        for w in new:
+            # letters and the marks after them are pieces of their own, so each is looked up once for many words
+            m = self.SIMPLE(w)
+            if m and (head := m[1]).isalpha():
+                ids = self.heads.get(head)
+                if ids is None:
+                    piece = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
+                    ids = self.heads[head] = np.array([t.id for t in self.model.tokenize("\u0120" + piece)], "<u4").tobytes()
+                self.known[w] = ids + self._marks(m[2]) if m[2] else ids
+            else:
+                todo.append(w)
+        for i in range(0, len(todo), 4096):
+            run = todo[i : i + 4096]
+            found = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([" " + w for w in run], add_special_tokens=False)]
+            self.known.update(zip(run, found, strict=True))
+            for w, x in zip(run, found, strict=True):
+                if self.WHOLE.search(w):
+                    self.known[w] = None
+                elif self.ENDS.search(w):
+                    self.known[w], self.last[w] = None, x
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 512):
-            some = texts[i : i + 512]
-            cut = [None if self.ODD.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in some]
-            self._learn({c for cs in cut if cs for c in cs} - {""})
-            for t, cs in zip(some, cut, strict=True):
-                if cs is None:
-                    yield np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    yield b"".join([self.known[c] for c in cs]) if t else b""
+            cut = [t.split(" ") for t in texts[i : i + 512]]
+            self._learn(set().union(*[ws[1:] for ws in cut]))
+            known = self.known.__getitem__
+            for t, (first, *ws) in zip(texts[i : i + 512], cut, strict=True):
+                if not ws or not first or self.WHOLE.search(first) or self.ENDS.search(first):
+                    yield pack_whole(self.tok, t) if t else b""
+                    continue
+                try:
+                    if ws[-1] in self.last:
+                        yield pack_whole(self.tok, first) + b"".join(map(known, ws[:-1])) + self.last[ws[-1]]
+                    else:
+                        yield pack_whole(self.tok, first) + b"".join(map(known, ws))
+                except TypeError:  # a word that joins with what stands beside it
+                    yield pack_whole(self.tok, t)
+
+
+def pack_whole(tok: Tokenizer, text: str) -> bytes:
+    return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
