@@ -19,14 +19,15 @@ def pooled(panels: DataFrame) -> DataFrame:
 def realized(panels: DataFrame, units: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """unit_id, asset, horizon, value: the h-th row after the as-of, a return summed over them, or the month due by then.
 
-    An asset is taken from the panel that lists it first, else from the first that has it. A unit with a horizon without an outcome, or a gap in a return, has none.
+    An asset is taken from the first declared panel that lists it; if none does, from the first by name of the unit's panels. A unit with a horizon without an outcome, or a gap in a return, has none.
     """
     meta = units.select("unit_id", F.posexplode("panel_meta").alias("pos", "m")).select("unit_id", "pos", "m.panel", "m.asset_ids", "m.frequency")
     asked = units.select("unit_id", "asof", "target_type", F.explode("assets").alias("asset"))
-    rows = asked.join(meta, "unit_id").join(pooled(panels), ["panel", "asset"])
-    listed = F.array_contains("asset_ids", F.col("asset"))
+    listed = asked.join(meta, "unit_id").where(F.array_contains("asset_ids", F.col("asset"))).drop("asset_ids")
+    own = panels.select("unit_id", "panel").distinct().join(meta.select("unit_id", "panel", "frequency"), ["unit_id", "panel"], "left")
+    unlisted = asked.join(listed.select("unit_id", "asset").distinct(), ["unit_id", "asset"], "left_anti").join(own, "unit_id").withColumn("pos", F.lit(0))
     each = Window.partitionBy("unit_id", "asset")
-    rows = rows.withColumn("rank", F.struct((~listed).cast("int").alias("a"), F.col("pos").alias("b"))).withColumn("best", F.min("rank").over(each)).where("rank = best")
+    rows = listed.unionByName(unlisted).join(pooled(panels), ["panel", "asset"]).withColumn("rank", F.struct("pos", "panel")).withColumn("best", F.min("rank").over(each)).where("rank = best")
     cells = units.select("unit_id", F.explode("assets").alias("asset"), "horizons").withColumn("horizon", F.explode("horizons")).drop("horizons")
 
     monthly = F.coalesce(F.lower("frequency"), F.lit("")).contains("month")

@@ -75,22 +75,28 @@ def cited(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     return evidence.select("unit_id", "scenario", "doc_id").distinct().join(docs.select("unit_id", "doc_id").distinct(), ["unit_id", "doc_id"], "left_semi")
 
 
-def cleaned(raw: DataFrame, evidence: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def cleaned(raw: DataFrame, evidence: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT, assets: DataFrame | None = None) -> DataFrame:
     """Raw scenarios with numbers cast, shrunk and clipped, the count n_cited of evidence that exists, established by code, weights that sum to 1.
 
-    Established: every cited document states a fact and no drift is a bet. Others may not narrow.
+    assets: unit_id, asset; without it those that the unit's scenarios name. What a scenario does not say of one is drift 0
+    and width 1. Units whose weights are all 0 have no rows. Established: every cited document states a fact and no drift is a bet. Others may not narrow.
     """
     facts = cards.groupBy("unit_id", "doc_id").agg(F.bool_or("facts").alias("facts"))
     few = raw.where(F.col("scenario") < config.max_scenarios)
     backed = cited(evidence, docs).join(facts, ["unit_id", "doc_id"], "left").groupBy("unit_id", "scenario").agg(F.count("*").cast("int").alias("cited"), F.bool_and(F.coalesce("facts", F.lit(False))).alias("all_facts"))
     drift = clip(config.drift_shrink * number(F.col("drift")), -config.drift_clamp, config.drift_clamp)
     vm = 1.0 + config.vol_shrink * (clip(number(F.col("vol_mult"), 1.0), config.vol_low, config.vol_high) - 1.0)
-    rows = few.select("unit_id", "scenario", F.substring("name", 1, 40).alias("name"), F.greatest(number(F.col("weight")), F.lit(0.0)).alias("weight"), "asset", drift.alias("drift"), vm.alias("vm"))
+    # every scenario says something of every asset of its unit; weights are shares of the unit's scenarios
+    unit = Window.partitionBy("unit_id")
+    each = few.groupBy("unit_id", "scenario").agg(F.substring(F.min("name"), 1, 40).alias("name"), F.max(F.greatest(number(F.col("weight")), F.lit(0.0))).alias("weight"))
+    each = each.withColumn("weight", F.col("weight") / F.nullif(F.sum("weight").over(unit), F.lit(0.0)))
+    names = few.select(*PAIR).where("asset is not null").distinct() if assets is None else assets.select(*PAIR).distinct()
+    rows = each.join(names, "unit_id").join(few.select("unit_id", "scenario", "asset", "drift", "vol_mult"), ["unit_id", "scenario", "asset"], "left")
+    rows = rows.select("unit_id", "scenario", "name", "weight", "asset", drift.alias("drift"), vm.alias("vm"))
     rows = rows.join(backed, ["unit_id", "scenario"], "left")
     one = Window.partitionBy("unit_id", "scenario")
     rows = rows.withColumn("established", F.coalesce("all_facts", F.lit(False)) & (F.max(F.abs("drift")).over(one) <= 0.15))
     floor = F.when(F.col("established"), F.greatest("vm", F.lit(0.8))).otherwise(F.greatest("vm", F.lit(1.0)))
-    rows = rows.withColumn("weight", F.col("weight") / F.nullif(F.sum("weight").over(mixture()), F.lit(0.0)))
     return rows.where("weight is not null").select("unit_id", "scenario", "name", "weight", "asset", "drift", floor.alias("vol_mult"), "established", F.coalesce("cited", F.lit(0)).alias("n_cited"))
 
 
@@ -138,10 +144,17 @@ def tail_and_stress(raw: DataFrame, stats: DataFrame, event: DataFrame, n_assets
     return rows.select("unit_id", tail.cast("double").alias("tail_df"), p.cast("double").alias("stress_prob"))
 
 
-def adjustments(raw: DataFrame, evidence: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The whole chain: unit_id, scenario, weight, asset, drift, vol_mult, established."""
+def adjustments(raw: DataFrame, evidence: DataFrame, cards: DataFrame, docs: DataFrame, config: Config = DEFAULT, assets: DataFrame | None = None) -> DataFrame:
+    """The whole chain: unit_id, scenario, weight, asset, drift, vol_mult, established.
+
+    Units with cards whose scenarios are missing, or all of weight 0, get the fallback from their cards instead.
+    """
     stats, event = card_stats(cards), events(cards, config)
-    return guarded_width(guarded_drift(cleaned(raw, evidence, cards, docs, config), stats, config), event, config)
+    names = ("unit_id", "scenario", "weight", "asset", "drift", "vol_mult", "established")
+    rows = cleaned(raw, evidence, cards, docs, config, assets)
+    lost = fallback(cards, stats, event).join(rows.select("unit_id").distinct(), "unit_id", "left_anti")
+    lost = lost.select("unit_id", F.lit(0).alias("scenario"), F.lit(1.0).alias("weight"), "asset", F.coalesce("drift", F.lit(0.0)).alias("drift"), F.coalesce("vol_mult", F.lit(1.0)).alias("vol_mult"), F.lit(False).alias("established"))
+    return guarded_width(guarded_drift(rows, stats, config), event, config).select(*names).unionByName(lost.select(*names))
 
 
 def violations(scenarios: DataFrame, units: DataFrame) -> DataFrame:

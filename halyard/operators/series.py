@@ -87,7 +87,8 @@ def reference_moves(panels: DataFrame, units: DataFrame) -> DataFrame:
 def peg_proxies(moves: DataFrame, references: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Assets that hardly move beside the other quotes of their unit: unit_id, asset, own, med, ref_panel, proxy, factor.
 
-    The proxy's deviation is nearest the median of the others', ties to the first name.
+    The proxy's deviation is nearest the median of the others', ties to the first name. Distances count to ten decimals: of
+    an even number of others two are equally near, which the order of addition must not decide.
     """
     own = moves.where("space = 'log' and freq = 'daily'").groupBy(*KEYS).agg(F.first("panel").alias("panel"), F.stddev_samp("x").alias("own"))
     spread = references.groupBy("unit_id", F.col("panel").alias("ref_panel"), F.col("asset").alias("other")).agg(F.first("sd").alias("sd"))
@@ -95,7 +96,7 @@ def peg_proxies(moves: DataFrame, references: DataFrame, config: Config = DEFAUL
     own = own.join(first, "unit_id").withColumn("ref_panel", F.when(F.lower("panel").contains("fx"), F.col("panel")).otherwise(F.col("first_panel")))
     pairs = own.join(spread, ["unit_id", "ref_panel"]).where("other != asset")
     pairs = pairs.withColumn("med", F.expr("median(sd)").over(asset_rows()))
-    best = pairs.groupBy(*KEYS, "ref_panel", "own", "med").agg(F.min_by(F.struct("other", "sd"), F.struct(F.abs(F.col("sd") - F.col("med")).alias("d"), F.col("other"))).alias("b"))
+    best = pairs.groupBy(*KEYS, "ref_panel", "own", "med").agg(F.min_by(F.struct("other", "sd"), F.struct(F.round(F.abs(F.col("sd") - F.col("med")), 10).alias("d"), F.col("other"))).alias("b"))
     return best.where(F.col("own") < config.peg_trigger * F.col("med")).select(*KEYS, "own", "med", "ref_panel", F.col("b.other").alias("proxy"), (config.peg_floor * F.col("med") / F.col("b.sd")).alias("factor"))
 
 
@@ -112,10 +113,11 @@ def volatility(moves: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds vol (EWMA that holds the row, null in the first four), lagged, z, vol_full and vol0.
 
     The EWMA is a ratio of running sums with weights 2^(row / half-life), centred on the middle row: exact in doubles up to
-    2,000 half-lives, 40,000 rows of a daily series.
+    2,000 half-lives, 40,000 rows of a daily series; a longer one raises an error.
     """
     halflife = by_freq(config.halflife_daily, config.halflife_monthly)
     rows = moves.withColumn("rn", F.row_number().over(by_date())).withColumn("n", F.count("*").over(asset_rows()))
+    rows = rows.withColumn("n", F.when(F.col("n") <= 2000 * halflife, F.col("n")).otherwise(F.raise_error(F.concat(F.col("asset"), F.lit(": more increments than an exact EWMA can take")))))
     rows = rows.withColumn("weight", F.pow(F.lit(2.0), (F.col("rn") - F.col("n") / 2) / halflife))
     rows = rows.withColumn("vol", F.when(F.col("rn") >= 5, F.sqrt(F.sum(F.col("weight") * F.col("x") * F.col("x")).over(so_far()) / F.sum("weight").over(so_far()))))
     rows = rows.withColumn("vol_full", F.when(F.col("n") > 2, F.stddev_samp("x").over(asset_rows())).otherwise(F.avg(F.abs("x")).over(asset_rows())))

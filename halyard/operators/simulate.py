@@ -114,6 +114,9 @@ def block_index(plan: DataFrame, pool: DataFrame, spec: DataFrame, steps: DataFr
     A step begins a block with probability 1 / mean; the row is that of the block's start, moved on by the steps since.
     """
     sizes = pool.groupBy("unit_id", "salt", "pool").agg(F.max("n").alias("n")).join(pool.select("unit_id", "salt", "asset").distinct().join(spec.select(*KEYS, "freq"), KEYS).groupBy("unit_id", "salt").agg(F.first("freq").alias("freq")), ["unit_id", "salt"])
+    # an asset without a shock walks alone, on normal ones
+    bare = spec.join(pool.select(*KEYS).distinct(), KEYS, "left_anti").select("unit_id", F.col("asset").alias("salt"), F.explode(F.array(F.lit("full"), F.lit("recent"))).alias("pool"), F.lit(0).cast("bigint").alias("n"), "freq")
+    sizes = sizes.unionByName(bare)
     longest = steps.groupBy("unit_id").agg(F.max("step").alias("longest"))
     rows = plan.join(sizes, ["unit_id", "pool"]).join(longest, "unit_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("longest"))))
     keys = ("unit_id", "draw", "salt", "step")
@@ -121,7 +124,7 @@ def block_index(plan: DataFrame, pool: DataFrame, spec: DataFrame, steps: DataFr
     rows = rows.withColumn("begins", begins).withColumn("at", F.when(F.col("begins"), F.floor(uniform(config.seed, "start", *keys) * F.col("n")))).withColumn("from", F.when(F.col("begins"), F.col("step")))
     path = Window.partitionBy("unit_id", "draw", "salt").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     start, since = F.last("at", ignorenulls=True).over(path), F.last("from", ignorenulls=True).over(path)
-    return rows.withColumn("row_id", F.pmod(start + F.col("step") - since, F.col("n"))).drop("begins", "at", "from", "longest")
+    return rows.withColumn("row_id", F.pmod(start + F.col("step") - since, F.nullif(F.col("n"), F.lit(0)))).drop("begins", "at", "from", "longest")
 
 
 def paths(index: DataFrame, pool: DataFrame, spec: DataFrame, vol: DataFrame, steps: DataFrame, overlays: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -130,8 +133,8 @@ def paths(index: DataFrame, pool: DataFrame, spec: DataFrame, vol: DataFrame, st
     overlays: unit_id, scenario, asset, drift, vol_mult; what is missing is 0 and 1. Pools of fewer than 30 rows give way
     to normal shocks.
     """
-    members = pool.select("unit_id", "salt", "asset").distinct()
-    rows = index.join(members, ["unit_id", "salt"]).join(pool.drop("n", "salt"), ["unit_id", "pool", "asset", "row_id"])
+    members = pool.select("unit_id", "salt", "asset").distinct().unionByName(spec.join(pool.select(*KEYS).distinct(), KEYS, "left_anti").select("unit_id", F.col("asset").alias("salt"), "asset"))
+    rows = index.join(members, ["unit_id", "salt"]).join(pool.drop("n", "salt"), ["unit_id", "pool", "asset", "row_id"], "left")
     first = steps.groupBy(*KEYS).agg(F.min_by("step", "horizon").alias("first_step"))
     first = first.join(vol.withColumnRenamed("step", "first_step").select(*KEYS, "first_step", F.sqrt("cum_var").alias("first_sd")), [*KEYS, "first_step"])
     per_asset = spec.select(*KEYS, "prior_drift").join(first, KEYS)

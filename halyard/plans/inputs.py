@@ -123,7 +123,7 @@ owns AS (SELECT unit_id, asset, any_value(panel) AS panel, stddev_samp(x) AS own
 firsts AS (SELECT unit_id, min(ref_panel) AS first_panel FROM spreads GROUP BY ALL),
 pairs AS (SELECT o.unit_id, o.asset, o.own, s.ref_panel, s.other, s.sd, median(s.sd) OVER (PARTITION BY o.unit_id, o.asset) AS med
   FROM owns o JOIN firsts f USING (unit_id) JOIN spreads s ON s.unit_id = o.unit_id AND s.ref_panel = CASE WHEN lower(o.panel) LIKE '%fx%' THEN o.panel ELSE f.first_panel END WHERE s.other <> o.asset),
-nearest AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY unit_id, asset ORDER BY abs(sd - med), other) = 1),
+nearest AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY unit_id, asset ORDER BY round(abs(sd - med), 10), other) = 1),
 proxies AS (SELECT unit_id, asset, own, med, ref_panel, other AS proxy, 0.5 * med / sd AS factor FROM nearest WHERE own < 0.25 * med),
 facts AS (SELECT unit_id, asset, any_value(panel) AS panel, any_value(freq) AS freq, any_value(space) AS space, any_value(anchor) AS anchor, any_value(last_date) AS last_date, any_value(mean_level) AS mean_level FROM own_moves GROUP BY ALL),
 moves AS (
@@ -270,7 +270,7 @@ evs AS (SELECT unit_id, bool_or(flagged) AS flagged, bool_or(flagged AND CASE WH
 langs AS (SELECT DISTINCT lang AS unit_id FROM documents),
 rawbase AS (SELECT unit_id, unnest([0, 1, 2, 3, 4]) AS scenario FROM langs),
 raw AS (SELECT {', '.join(RAW_COLUMNS).format(s='VARCHAR')} FROM (SELECT *, unnest(['X', 'Y']) AS asset FROM rawbase)),
-cites AS (SELECT lang AS unit_id, d.doc_id % 40 AS scenario, d.doc_id::VARCHAR AS doc_id, coalesce(quality = 1, false) AS facts FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 40 < 5 AND (d.doc_id % 40 <> 2 OR quality = 1)),
+cites AS (SELECT lang AS unit_id, d.doc_id % 5 AS scenario, d.doc_id::VARCHAR AS doc_id, coalesce(quality = 1, false) AS facts FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 5 <> 2 OR quality = 1),
 cited AS (SELECT unit_id, scenario, list(doc_id ORDER BY doc_id) AS cited, bool_and(facts) AS all_facts FROM cites GROUP BY ALL),
 clean0 AS (SELECT r.unit_id, r.scenario, r.name, r.asset, greatest(coalesce(try_cast(weight AS DOUBLE), 0.0), 0.0) AS weight, greatest(-0.75, least(0.75, 0.7 * coalesce(try_cast(drift AS DOUBLE), 0.0))) AS drift,
   1.0 + 0.5 * (greatest(0.6, least(3.0, coalesce(try_cast(vol_mult AS DOUBLE), 1.0))) - 1.0) AS vm, cited, coalesce(all_facts, false) AS all_facts FROM raw r LEFT JOIN cited c ON c.unit_id = r.unit_id AND c.scenario = r.scenario WHERE r.scenario < 4),
@@ -294,8 +294,8 @@ def raw_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that back each scenario, a row for each: those whose id modulo 40 is its number, as in the SQL."""
+    """The documents that back each scenario, a row for each: those whose id modulo 5 is its number, as in the SQL."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").join(labels, "doc_id", "left")
-    labelled = labelled.withColumn("scenario", (F.col("doc_id") % 40).cast("int")).where("scenario < 5 and (scenario <> 2 or quality = 1)")
+    labelled = labelled.withColumn("scenario", (F.col("doc_id") % 5).cast("int")).where("scenario <> 2 or quality = 1")
     return labelled.select(F.col("lang").alias("unit_id"), "scenario", F.col("doc_id").cast("string").alias("doc_id"))

@@ -36,6 +36,23 @@ def r(places: int, *cols: str) -> str:
     return ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in cols)
 
 
+def significant(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """Doubles to so many significant digits, by exact powers of ten."""
+
+    def cut(c: str):
+        e = F.floor(F.log10(F.abs(F.col(c)))) - (digits - 1)
+        p = F.pow(F.lit(10.0), F.abs(e))
+        return F.when(F.col(c) == 0, 0.0).when(e <= 0, F.round(F.col(c) * p) / p).otherwise(F.round(F.col(c) / p) * p) + F.lit(0.0)
+
+    return df.withColumns({c: cut(c) for c in cols})
+
+
+def s(digits: int, *cols: str) -> str:
+    e = f"floor(log10(abs({{c}}))) - {digits - 1}"
+    cut = f"CASE WHEN {{c}} = 0 THEN 0.0 WHEN {e} <= 0 THEN round({{c}} * pow(10.0, abs({e}))) / pow(10.0, abs({e})) ELSE round({{c}} / pow(10.0, abs({e}))) * pow(10.0, abs({e})) END + 0.0 AS {{c}}"
+    return ", ".join(cut.format(c=c) for c in cols)
+
+
 IN, EV, NEUTRAL, ADJUSTED = inputs.INPUTS, inputs.EVIDENCE, inputs.NEUTRAL, inputs.ADJUSTED
 
 
@@ -189,19 +206,19 @@ def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.simulate(_rows(spark, sf_dir), inputs.adjusted_units(spark), inputs.N_DRAWS, scenarios, overlays)
 
 
-@query("SELECT unit_id, draw, asset, horizon, round(value, 4) + 0.0 AS value FROM samples", IN, NEUTRAL)
+@query(f"SELECT unit_id, draw, asset, horizon, {s(6, 'value')} FROM samples", IN, NEUTRAL)
 def forecast_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_neutral(spark, sf_dir), 4, "value")
+    return significant(_neutral(spark, sf_dir), 6, "value")
 
 
-@query("SELECT unit_id, draw, asset, horizon, round(value, 4) + 0.0 AS value FROM samples", IN, ADJUSTED)
+@query(f"SELECT unit_id, draw, asset, horizon, {s(6, 'value')} FROM samples", IN, ADJUSTED)
 def forecast_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_adjusted(spark, sf_dir), 4, "value")
+    return significant(_adjusted(spark, sf_dir), 6, "value")
 
 
-@query(f"SELECT unit_id, asset, horizon, n, {r(4, 'q05', 'q50', 'q95')} FROM quants", IN, NEUTRAL)
+@query(f"SELECT unit_id, asset, horizon, n, {s(6, 'q05', 'q50', 'q95')} FROM quants", IN, NEUTRAL)
 def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(simulate.quantiles(_neutral(spark, sf_dir)), 4, "q05", "q50", "q95")
+    return significant(simulate.quantiles(_neutral(spark, sf_dir)), 6, "q05", "q50", "q95")
 
 
 @query(None)
@@ -328,10 +345,12 @@ LEFT JOIN daily_out d ON d.unit_id = c.unit_id AND d.asset = c.asset AND d.horiz
 LEFT JOIN month_out m ON m.unit_id = c.unit_id AND m.asset = c.asset AND m.horizon = c.horizon)) WHERE whole)"""
 REALIZED = f"""
 pooled AS ({POOLED}),
-outrank AS (SELECT a.unit_id, a.cutoff, a.target_type, p.*, m.declared, rank() OVER (PARTITION BY a.unit_id, a.asset ORDER BY CASE WHEN list_contains(m.asset_ids, p.asset) THEN 0 ELSE 1 END, m.pos) AS rk
-  FROM asked a JOIN meta m ON m.unit_id = a.unit_id JOIN pooled p ON p.panel = m.panel AND p.asset = a.asset),
+stems AS (SELECT a.*, m.panel, m.pos, m.declared FROM asked a JOIN meta m ON m.unit_id = a.unit_id AND list_contains(m.asset_ids, a.asset)
+  UNION ALL SELECT a.*, o.panel, 0, coalesce(m.declared, '') FROM asked a JOIN (SELECT DISTINCT unit_id, panel FROM panels) o ON o.unit_id = a.unit_id LEFT JOIN meta m ON m.unit_id = o.unit_id AND m.panel = o.panel
+  WHERE NOT EXISTS (SELECT 1 FROM meta x WHERE x.unit_id = a.unit_id AND list_contains(x.asset_ids, a.asset))),
+outrank AS (SELECT a.unit_id, a.cutoff, a.target_type, p.*, a.declared, rank() OVER (PARTITION BY a.unit_id, a.asset ORDER BY a.pos, a.panel) AS rk FROM stems a JOIN pooled p ON p.panel = a.panel AND p.asset = a.asset),
 outrows AS (SELECT * FROM outrank WHERE rk = 1),
-daily_out AS (SELECT unit_id, asset, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date) AS horizon, value FROM outrows WHERE declared NOT LIKE '%month%' AND date > cutoff),
+daily_out AS (SELECT unit_id, asset, row_number() OVER (PARTITION BY unit_id, asset ORDER BY date) AS horizon, CASE WHEN target_type = 'log_return' THEN sum(CASE WHEN target_type = 'log_return' THEN ln(1 + value) END) OVER (PARTITION BY unit_id, asset ORDER BY date) ELSE value END AS value FROM outrows WHERE declared NOT LIKE '%month%' AND date > cutoff),
 month_out AS (SELECT o.unit_id, o.asset, d.horizon, o.value FROM outrows o JOIN dues d ON d.unit_id = o.unit_id AND date_trunc('month', d.due)::DATE = o.date WHERE declared LIKE '%month%'),
 {OUTCOMES}"""
 

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the folder of spark.checkpoint.dir and read again: computed once, its lineage cut.
 
-    Only where the setting is missing, as in tests, a folder of this machine serves.
+    Only where the setting is missing and Spark runs in this process, as in tests, a folder of this machine serves.
     """
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    conf = df.sparkSession.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base and not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -107,3 +107,54 @@ def test_evidence_comes_as_rows(spark):
     known = spark.createDataFrame([("u", str(i), i < 3) for i in range(5)], "unit_id string, doc_id string, facts boolean")
     got = {r.scenario: (r.n_cited, r.established) for r in cleaned(raw, given, known, known).collect()}
     assert got == {0: (2, True), 1: (1, False)}
+
+
+def units_of(spark, *rows):
+    return spark.createDataFrame([(u, "F", t, "", day, 200, a, h, p, None, None) for u, t, day, a, h, p in rows], UNIT_SCHEMA)
+
+
+PANEL = "unit_id string, panel string, asset string, date date, value double, tie int"
+
+
+def test_the_peg_proxy_does_not_depend_on_partitions(spark):
+    """Four others: two are equally near their median, and the first name is taken."""
+    from halyard.operators.series import peg_proxies
+
+    rng = np.random.default_rng(1)
+    moves = spark.createDataFrame([("u", "peg", "fx", "log", "daily", float(x)) for x in rng.normal(0, 1e-5, 50)], "unit_id string, asset string, panel string, space string, freq string, x double")
+    refs = spark.createDataFrame([("u", "fx", a, sd, float(x) * sd) for a, sd in (("D", 0.01), ("C", 0.02), ("B", 0.03), ("A", 0.04)) for x in rng.normal(size=20)], "unit_id string, panel string, asset string, sd double, x double")
+    got = {peg_proxies(moves.repartition(n), refs.repartition(n)).first()["proxy"] for n in (1, 2, 3, 7)}
+    assert got == {"B"}
+
+
+def test_an_asset_with_five_increments_walks_on_normal_shocks(spark):
+    days = [date(2020, 1, 1) + timedelta(days=k) for k in range(150)]
+    rng = np.random.default_rng(2)
+    rows = [("u", "px", "A", d, 100 + float(v), 1) for d, v in zip(days, rng.normal(size=150).cumsum() * 0.1, strict=True)]
+    rows += [("u", "px", "B", d, 50.0 + k % 3, 1) for k, d in enumerate(days[-6:])]
+    units = units_of(spark, ("u", "level", days[-1], ["A", "B"], [1, 3], [("px", ["A", "B"], "business_daily")]))
+    got = simulate.simulate(series.prepared(spark.createDataFrame(rows, PANEL), units), units, 200).groupBy("asset", "horizon").agg(F.count("*").alias("n"), F.stddev("value").alias("sd")).collect()
+    assert {(r.asset, r.horizon): r.n for r in got} == {(a, h): 200 for a in "AB" for h in (1, 3)} and all(r.sd > 0 for r in got)
+
+
+def test_outcomes_of_units_whose_card_lists_no_panel(spark):
+    from halyard.operators.calibrate import realized
+
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(10)]
+    rows = [("u", "b", "A", d, 0.01, 1) for d in days] + [("v", "a", "A", d, 9.0, 1) for d in days]
+    units = units_of(spark, ("u", "log_return", days[4], ["A"], [1, 3], []))
+    got = {r.horizon: r.value for r in realized(spark.createDataFrame(rows, PANEL), units).collect()}
+    assert np.allclose([got[1], got[3]], [np.log(1.01), 3 * np.log(1.01)])  # of the unit's own panel, not of another's
+
+
+def test_sparse_scenarios_cover_all_assets_of_a_unit(spark):
+    from halyard.operators.evidence import adjustments, cleaned
+
+    raw = spark.createDataFrame([("u", 0, "a", "X", "3", "0.5", "1"), ("u", 1, "b", "Y", "1", "0", "2"), ("w", 0, "a", "X", "0", "1", "1")], "unit_id string, scenario int, name string, asset string, weight string, drift string, vol_mult string")
+    none = spark.createDataFrame([], "unit_id string, scenario int, doc_id string")
+    cards = spark.createDataFrame([("w", "1", "X", "1", "1", "higher", "1", True, "yes", "binary", "vote")], "unit_id string, doc_id string, asset string, direction string, strength string, uncertainty string, relevance string, facts boolean, event_exists string, event_type string, event_words string")
+    assets = spark.createDataFrame([("u", "X"), ("u", "Y"), ("u", "Z"), ("w", "X")], "unit_id string, asset string")
+    got = {(r.scenario, r.asset): (r.weight, round(r.drift, 6), r.vol_mult) for r in cleaned(raw, none, cards, cards, assets=assets).collect()}
+    assert got == {(0, "X"): (0.75, 0.35, 1.0), (0, "Y"): (0.75, 0.0, 1.0), (0, "Z"): (0.75, 0.0, 1.0), (1, "X"): (0.25, 0.0, 1.0), (1, "Y"): (0.25, 0.0, 1.5), (1, "Z"): (0.25, 0.0, 1.0)}
+    back = adjustments(raw, none, cards, cards, assets=assets).where("unit_id = 'w'").collect()
+    assert [(r.scenario, r.weight, r.asset, r.drift) for r in back] == [(0, 1.0, "X", 0.5)]
