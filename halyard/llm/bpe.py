@@ -15,7 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 
 _NONE = np.int64(1 << 62)
-_POS = 24
+#: Bits of a place in a word: words of up to 2^40 bytes beside ranks of up to 2^22.
+_POS = 40
 #: Words whose ids a Python worker keeps; all others are encoded again when they come back.
 CACHE_WORDS = 250_000
 #: White space that Python's str.split knows and the tokenizer's \s does not.

@@ -24,8 +24,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base and not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def hash_below(share: float) -> Column:
+    """The bound below which so large a share, less than 1, of all 64-bit hashes lies; it never rounds to nothing."""
+    return F.lit(-(1 << 63) + max(1, int((1 << 64) * share)))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

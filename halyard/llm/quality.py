@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.common import hash_below
+
 BAD, GOOD, NONE = 0, 1, 2
 FEATURE_BITS = 16
 #: The feature for doubled words, after those of shapes.
@@ -96,7 +98,7 @@ def expectation_maximisation(patterns: np.ndarray, count: np.ndarray, rounds: in
         chance = chance + HABIT * (PRIOR * count.sum() + 1)
         model = LabelModel(chance / chance.sum(2, keepdims=True), float(np.clip(weight[1].sum() / max(1, weight.sum()), 0.01, 0.99)))
         new = model.posterior(patterns)
-        if np.abs(new - good).max() < 1e-6:
+        if np.abs(new - good).max(initial=0) < 1e-6:
             break
         good = new
     return model
@@ -152,7 +154,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Labe
     count = np.array([r["n"] for r in table], float)
     model = expectation_maximisation(patterns, count)
     share = MAX_TEXTS / max(1.0, count.sum())
-    sample = source if share >= 1 else source.where(F.pmod(F.xxhash64("d", "t"), F.lit(1 << 20)) < int((1 << 20) * share))
+    sample = source if share >= 1 else source.where(F.xxhash64("d", "t") < hash_below(share))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}

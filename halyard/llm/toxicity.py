@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.common import hash_below
+
 DECAY, SPAN = 0.7, 5
 #: (second letter, third letter) offsets of the subsequences.
 GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -174,7 +176,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = df.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null").join(known, F.col("d") == F.col("_l")).select(F.xxhash64("t").alias("h"), "t", "y")
     n = rows.select("h").distinct().count() if known.count() > MAX_TEXTS else 0
     if n > MAX_TEXTS:
-        rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int((1 << 20) * MAX_TEXTS / n))
+        rows = rows.where(F.xxhash64("h") < hash_below(MAX_TEXTS / n))
     rows = rows.groupBy("h").agg(F.first("t").alias("t"), F.sum("y").cast("long").alias("y"), F.count("*").alias("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

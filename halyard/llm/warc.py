@@ -177,7 +177,8 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
     """Every record of the archives that the manifest's `path` lists.
 
     Returns path, offset, record_type, record_id, uri, refers_to_id, payload_bytes, payload_digest, payload (if asked
-    for) and error; of a record that fails a check only path, offset and error are set. An archive is read as a stream.
+    for) and error; of a record that fails a check only path, offset and error are set. An archive that holds another number
+    of records than the manifest's `records` says gives one more row with an error. An archive is read as a stream.
     """
     names = ["path", "offset", "record_type", "record_id", "uri", "refers_to_id", "payload_bytes", "payload_digest", *["payload"] * payload, "error"]
     kinds = {"offset": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
@@ -187,9 +188,9 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
         return pa.RecordBatch.from_pydict({n: [r.get(n) for r in rows] for n in names}, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (path,) in rows_of(batches, "path"):
+        for path, records in rows_of(batches, "path", "records"):
             rows: list[dict] = []
-            size = 0
+            size = n = 0
             with reopen(path) as f:
                 for at, raw in frames(f):
                     try:
@@ -199,14 +200,17 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
                     except ValueError as e:
                         row = {"error": str(e)}
                     rows.append({**row, "path": path, "offset": at})
+                    n += 1
                     size += len(row.get("payload") or b"") * payload
                     if len(rows) == 1000 or size > 8 << 20:
                         yield batch(rows)
                         rows, size = [], 0
+            if n != records:
+                rows.append({"path": path, "error": f"{n} records where the manifest has {records}"})
             if rows:
                 yield batch(rows)
 
-    return spread(manifest.select("path")).mapInArrow(run, ", ".join(f"`{n}` {'bigint' if n in ('offset', 'payload_bytes') else 'binary' if n == 'payload' else 'string'}" for n in names))
+    return spread(manifest.select("path", "records")).mapInArrow(run, ", ".join(f"`{n}` {'bigint' if n in ('offset', 'payload_bytes') else 'binary' if n == 'payload' else 'string'}" for n in names))
 
 
 def page_id(record_id: str) -> Column:

@@ -207,6 +207,29 @@ def test_warc(spark):
     assert all(r.error is None for r in got.values()) and got[1].payload_digest == hashlib.sha1(big.encode()).hexdigest() and got[2].payload_bytes == 0
 
 
+def test_warc_misses_no_record(spark, tmp_path):
+    """An archive that is cut between two frames or within one, or that is damaged, is not taken for whole."""
+    pages = spark.createDataFrame([(i, "u", f"<p>{i} " + "word " * (200 + i)) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages).coalesce(1)
+    row = manifest.first()
+    raw = open(row.path.removeprefix("file:"), "rb").read()
+    offsets = [r.offset for r in warc.read(manifest, payload=False).orderBy("offset").collect()]
+    assert len(offsets) == 20
+    flipped = bytearray(raw)
+    flipped[(offsets[5] + offsets[6]) // 2] ^= 255
+    for name, cut in (("between", raw[: offsets[12]]), ("within", raw[: offsets[12] + 9]), ("flipped", bytes(flipped))):
+        (tmp_path / name).write_bytes(cut)
+        bad = spark.createDataFrame([(f"file://{tmp_path}/{name}", row.records)], "path string, records long")
+        assert warc.read(bad, payload=False).where("error is not null").count() >= 1
+
+
+def test_samples_never_empty(spark):
+    from halyard.llm.common import hash_below
+
+    n = spark.range(20_000).where(F.xxhash64("id") < hash_below(0.1)).count()
+    assert 1700 < n < 2300 and spark.range(1).select(hash_below(1e-30) > F.lit(-(1 << 63))).first()[0]
+
+
 def test_media(docs, texts):
     read = media.read(*media.store(docs), media.features, media.FEATURES).collect()
     assert len(read) == len(texts)
@@ -259,6 +282,14 @@ def test_quality_scores_every_row(docs, texts):
 
 def test_empty_tables(spark, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read(warc.write(pages)).count() == 0 and quality.score(empty, quality.fit(empty)).count() == 0
+    assert media.read(*media.store(empty), media.features, media.FEATURES).count() == 0
+    assert token_files.read(token_files.write(empty, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.search(vectors, vectors).count() == 0
     for found in (bpe.encode(empty, path, tokens=False), jaccard.near_duplicates(empty), substring.dedup(empty), mixing.mix(empty), mixing.mixed_documents(empty)):
         assert found.count() == 0
 
