@@ -174,6 +174,8 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     joined = rows.join(alike, (F.col("_id") == F.col("_d")) & (F.col("_key") == F.col("_k")))
     joined = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))).withColumn("_c", F.explode(F.get("_all", F.col("_n") - 1)["copies"]))
     words = F.split(F.regexp_replace(F.col(text), rf"^{WORD_GAP}|{WORD_GAP}$", ""), WORD_GAP)
-    cut = F.array_join(F.flatten(F.transform("_c.parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    # the outer lambda binds the words, which else would be cut anew for each part
+    pick = lambda w: F.array_join(F.flatten(F.transform("_c.parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    cut = F.element_at(F.transform(F.array(words), pick), 1)
     out = joined.withColumn("_t", F.when(F.col("_c.take") == word_count(F.col(text)), F.col(text)).otherwise(cut))
     return out.select(*[F.col("_t").alias(c) if c == text else F.length("_t").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in df.columns])

@@ -158,6 +158,16 @@ def test_mix(docs, texts):
     assert ((by["taken"].sum() - by["target"].first()).abs() <= 96).all()
 
 
+def test_mixed_documents_hold_what_the_mix_takes(docs, texts):
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    found = {}
+    for r in mixing.mixed_documents(docs).collect():
+        got, whole = words(r.text), words(texts[r.doc_id])
+        assert set(got) <= set(whole) and len(got) <= len(whole)
+        found[r.doc_id] = found.get(r.doc_id, 0) + len(got)
+    assert found == {i: n for i, n in taken.items() if n}
+
+
 def test_ann(spark):
     rng = np.random.default_rng(5)
     vectors = [[float(x) for x in v] for v in rng.normal(size=(300, 16))]
