@@ -30,6 +30,8 @@ CODES = 1 << 15
 #: Training bounds: labelled texts, candidate tokens, clean tokens, landmarks.
 MAX_TEXTS, MAX_CANDIDATES, MAX_CLEAN, LANDMARKS = 20_000, 5_000, 60_000, 384
 THRESHOLD = 0.7
+#: Labels that are broadcast at most, so that texts stay where they are; more of them meet the texts in a shuffle.
+SENT = 1 << 19
 CACHE_TOKENS = 300_000
 MIN_LETTERS, MAX_LETTERS = 3, 40
 
@@ -173,8 +175,10 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_l")).agg(F.max(toxic).alias("y"))
     if fold is not None:
         known = known.where(F.pmod(F.crc32(F.col("_l").cast("string").cast("binary")), F.lit(3)) != fold)
+    n_known = known.count()
+    known = F.broadcast(known) if n_known <= SENT else known
     rows = df.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null").join(known, F.col("d") == F.col("_l")).select(F.xxhash64("t").alias("h"), "t", "y")
-    n = rows.select("h").distinct().count() if known.count() > MAX_TEXTS else 0
+    n = rows.select("h").distinct().count() if n_known > MAX_TEXTS else 0
     if n > MAX_TEXTS:
         rows = rows.where(F.xxhash64("h") < hash_below(MAX_TEXTS / n))
     rows = rows.groupBy("h").agg(F.first("t").alias("t"), F.sum("y").cast("long").alias("y"), F.count("*").alias("n"))
