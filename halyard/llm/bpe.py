@@ -19,6 +19,8 @@ _NONE = np.int64(1 << 62)
 _POS = 40
 #: Words whose ids a Python worker keeps; all others are encoded again when they come back.
 CACHE_WORDS = 250_000
+#: Cells of the trees that are filled at once, but a longer word has its own: some 100 bytes each.
+CELLS = 1 << 18
 #: White space that Python's str.split knows and the tokenizer's \s does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile(r"[^\S\x1c-\x1f]+")
@@ -70,7 +72,7 @@ class SegmentTreeBPE:
         while len(order):
             wide = 1 << max(1, int(size[order[0]] - 1).bit_length())
             n = int(np.searchsorted(size[order], wide, "right"))
-            n = max(1, min(n, (1 << 20) // wide))
+            n = max(1, min(n, CELLS // wide))
             rows, order = order[:n], order[n:]
             ids, counts = self._block([words[i] for i in rows], size[rows], wide)
             raw, flat, a = ids.tobytes(), ids.tolist(), 0
