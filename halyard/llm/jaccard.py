@@ -75,23 +75,32 @@ def sketch(df: DataFrame, text: str, n: int) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for _, sets in _slices(batches, text, n):
             np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-        parts = np.minimum(total, 2**16 - 1).astype(np.uint16).reshape(-1, _CHUNK)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "part": pa.array([TaskContext.get().partitionId() % 64 // 16] * len(parts), pa.int32()), "counts": [p.tobytes() for p in parts]})
+        counts = np.minimum(total, 2**16 - 1).astype(np.uint16).reshape(-1, _CHUNK)
+        # a small partition meets few n-grams: their places and counts are far less than all counters
+        chunk = np.flatnonzero(counts.any(axis=1))
+        some = [np.flatnonzero(counts[c]) for c in chunk]
+        few = [2 * len(at) < _CHUNK for at in some]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunk, pa.int32()), pa.array(np.full(len(chunk), TaskContext.get().partitionId() % 64 // 16), pa.int32()),
+             pa.array([at.astype(np.uint16).tobytes() if f else b"" for at, f in zip(some, few, strict=True)], pa.binary()),
+             pa.array([(counts[c][at] if f else counts[c]).tobytes() for c, at, f in zip(chunk, some, few, strict=True)], pa.binary())],
+            names=["chunk", "part", "at", "counts"],
+        )
 
     def add(kind: type, low: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(_CHUNK, np.float32)
-            for c in pdf["counts"]:
-                total += np.frombuffer(c, kind)
+            for at, c in zip(pdf["at"], pdf["counts"], strict=True):
+                total[np.frombuffer(at, np.uint16) if at else slice(None)] += np.frombuffer(c, kind)
             out = np.minimum(16 * np.log2(1 + total), 255).astype(np.uint8) if low else total
-            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": -1, "counts": [out.tobytes()]})
+            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": -1, "at": [b""], "counts": [out.tobytes()]})
 
         return run
 
-    schema = "chunk int, part int, counts binary"
+    schema = "chunk int, part int, at binary, counts binary"
     parts = df.select(text).mapInArrow(count, schema).groupBy("chunk", "part").applyInPandas(add(np.uint16, False), schema)
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for chunk, _, levels in parts.groupBy("chunk").applyInPandas(add(np.float32, True), schema).toLocalIterator():
+    for chunk, _, _, levels in parts.groupBy("chunk").applyInPandas(add(np.float32, True), schema).toLocalIterator():
         out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(levels, np.uint8)
     return out
 
