@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import ann, bpe, jaccard, media, mixing, quality, substring, token_files, toxicity, warc
+from halyard.llm import ann, bpe, jaccard, media, mixing, negatives, periodic, quality, substring, token_counts, token_files, toxicity, warc
+from halyard.llm.common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +89,45 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, ids=False)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-count-cache"), limit=1024)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, window=(50, 95))
+
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+def repeat_tail(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The words that op13 is to look at: of a tenth of the documents, the words from a place on repeat with a period."""
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    unit = words[a : a + 1 + (len(words) - a) // (3 + g % 8)]
+    tail = len(words) - a
+    return words[:a] + (unit * -(-tail // len(unit)))[:tail]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs(_table(spark, sf_dir, "documents"), prepare=repeat_tail, whole=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_mix, op3_toxicity, op4_bpe, op5_jaccard, op6_quality, op7_ann, op8_substring, op9_media, op10_token_files)
+    f.__name__: f for f in (op1_warc, op2_mix, op3_toxicity, op4_bpe, op5_jaccard, op6_quality, op7_ann, op8_substring, op9_media, op10_token_files, op11_token_counts, op12_hard_negatives, op13_periodic_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op8_substring": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op8_substring": OP8_SQL, "op12_hard_negatives": OP12_SQL}
