@@ -48,6 +48,7 @@ class Config:
     event_strict: bool = True
     tail_enabled: bool = False
     stress_enabled: bool = False
+    fallback_knobs: bool = True
     seed: int = 0
 
 

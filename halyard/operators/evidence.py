@@ -7,11 +7,14 @@ scenarios: unit_id, scenario, name, weight, asset, drift, vol_mult (strings); ev
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from halyard.config import DEFAULT, Config
 from halyard.functions.columns import clip, direction_hint, number, real_event, truthy
+from halyard.sources.shared import settled
 
 PAIR = ["unit_id", "asset"]
 
@@ -157,6 +160,73 @@ def adjustments(raw: DataFrame, evidence: DataFrame, cards: DataFrame, docs: Dat
     return guarded_width(guarded_drift(rows, stats, config), event, config).select(*names).unionByName(lost.select(*names))
 
 
+@dataclass(frozen=True)
+class Stage:
+    """What documents say of units.
+
+    scenarios: unit_id, scenario, name, weight, established, evidence (array of doc_id). overlays: unit_id, scenario, asset,
+    drift, vol_mult. knobs: a row for each unit with unit_id, tail_df, stress_prob, source (text: the model's scenarios;
+    cards: built from the cards; neutral) and note.
+    """
+
+    scenarios: DataFrame
+    overlays: DataFrame
+    knobs: DataFrame
+
+
+def short_docs(docs: DataFrame, config: Config = DEFAULT, text: str = "text") -> DataFrame:
+    """Documents as a model is to read them: their first characters."""
+    return docs.withColumn(text, F.substring(text, 1, config.max_doc_chars))
+
+
+def text_stage(units: DataFrame, docs: DataFrame, cards: DataFrame, raw: DataFrame, cited_docs: DataFrame, answers: DataFrame | None = None, config: Config = DEFAULT) -> Stage:
+    """From cards and raw scenarios to what a simulation takes, for every unit, whatever is missing.
+
+    A unit with raw scenarios of positive weight has them, cleaned and guarded. One with cards only has a scenario built from
+    the cards, with their tail and stress where config.fallback_knobs. One without either is neutral. answers: unit_id,
+    tail_df, stress_prob as the model gave them (strings). Nothing that a model answers stops a unit.
+    """
+    stats, event = card_stats(cards), events(cards, config)
+    asked = units.select("unit_id", F.explode("assets").alias("asset"))
+    # what cards say of assets that nobody asked for moves nothing; assets that no card names have no drift and no share
+    stats = asked.join(stats, PAIR, "left").fillna(0.0, ["implied", "share"]).fillna(0, ["agree"])
+    # units of which a card exists, though it may name none of their assets
+    seen = cards.select("unit_id").distinct()
+    clean = settled(cleaned(raw.join(seen, "unit_id", "left_semi"), cited_docs, cards, docs, config, asked), "clean-scenarios")
+    guarded = guarded_width(guarded_drift(clean, stats, config), event, config)
+    told = clean.select("unit_id").distinct()
+
+    every = stats.join(seen.join(told, "unit_id", "left_anti"), "unit_id", "left_semi")
+    lost = fallback(cards, every, event).withColumns({"drift": F.coalesce("drift", F.lit(0.0)), "vol_mult": F.coalesce("vol_mult", F.lit(1.0))})
+    lost = settled(lost, "fallback-scenarios")
+
+    base = F.array().cast("array<string>")
+    proof = cited(cited_docs, docs).groupBy("unit_id", "scenario").agg(F.array_sort(F.collect_set("doc_id")).alias("evidence"))
+    named = clean.groupBy("unit_id", "scenario").agg(F.min("name").alias("name"), F.max("weight").alias("weight"), F.bool_and("established").alias("established"))
+    named = named.withColumn("name", F.coalesce("name", F.concat(F.lit("scenario-"), (F.col("scenario") + 1).cast("string")))).join(proof, ["unit_id", "scenario"], "left").withColumn("evidence", F.coalesce("evidence", base))
+    by_cards = lost.select("unit_id", "evidence").distinct()
+    one = (F.lit(0).alias("scenario"), F.lit(1.0).alias("weight"), F.lit(False).alias("established"))
+    by_cards = by_cards.select("unit_id", F.lit("cards-consensus").alias("name"), *one, "evidence")
+    bare = units.select("unit_id").join(seen, "unit_id", "left_anti").select("unit_id", F.lit("baseline").alias("name"), *one, base.alias("evidence"))
+    scenarios = named.unionByName(by_cards).unionByName(bare)
+
+    overlay = ("unit_id", "scenario", "asset", "drift", "vol_mult")
+    overlays = without_noops(guarded.select(*overlay).unionByName(lost.withColumn("scenario", F.lit(0)).select(*overlay)))
+
+    n_assets = units.select("unit_id", F.size("assets").alias("n_assets"))
+    nothing = told.select("unit_id", F.lit(None).cast("string").alias("tail_df"), F.lit(None).cast("string").alias("stress_prob"))
+    given = nothing if answers is None else told.join(answers.select("unit_id", "tail_df", "stress_prob"), "unit_id", "left")
+    gates = tail_and_stress(given, stats, event, n_assets, config)
+    dull = lost.select("unit_id", *[F.when(F.lit(config.fallback_knobs), F.col(c)).alias(c) for c in ("tail_df", "stress_prob")]).distinct()
+    null = F.lit(None).cast("double")
+    knobs = (
+        gates.select("unit_id", "tail_df", "stress_prob", F.lit("text").alias("source"), F.lit(None).cast("string").alias("note"))
+        .unionByName(dull.select("unit_id", "tail_df", "stress_prob", F.lit("cards").alias("source"), F.lit("no usable scenarios; one was built from the cards").alias("note")))
+        .unionByName(bare.select("unit_id", null.alias("tail_df"), null.alias("stress_prob"), F.lit("neutral").alias("source"), F.lit("no card of any document; neutral").alias("note")))
+    )
+    return Stage(scenarios, overlays, knobs)
+
+
 def violations(scenarios: DataFrame, units: DataFrame) -> DataFrame:
     """What an adjustment set breaks: unit_id, scenario, asset, problem. scenarios: drift, vol_mult (null: not given), established."""
     known = units.select("unit_id", F.explode("assets").alias("asset"), F.lit(True).alias("known"))

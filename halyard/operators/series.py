@@ -109,23 +109,64 @@ def with_proxies(moves: DataFrame, references: DataFrame, proxies: DataFrame) ->
     return kept.unionByName(lent.join(facts, KEYS).select(*moves.columns))
 
 
+#: Rows of a bucket of the decayed sums; its weights reach from 2^(-SCAN / 2 h) to 2^(SCAN / 2 h), h being the half-life.
+SCAN = 4096
+
+
+def scan_size(config: Config = DEFAULT) -> int:
+    """Rows of a bucket within which weights 2^(row / half-life) stay far from the limits of doubles."""
+    return max(8, min(SCAN, 1000 * min(config.halflife_daily, config.halflife_monthly)))
+
+
+def scan_reach(config: Config = DEFAULT) -> int:
+    """Buckets before which a row's weight is 0 in doubles (2^-1075), so that no more need be carried."""
+    return int(1075 * max(config.halflife_daily, config.halflife_monthly) // scan_size(config)) + 2
+
+
+def decayed(last: Column, carried: list[Column], place: Column, halflife: Column, size: int) -> Column:
+    """A decayed sum up to a row: that of its bucket, and those of the buckets before at their ends, nearest first.
+
+    place: the row's number in its bucket, from 0. The sums combine from left to right: a bucket's weighs 2^(-1 / half-life)
+    for every row since.
+    """
+    for k, c in enumerate(carried):
+        last = last + F.coalesce(c, F.lit(0.0)) * F.pow(F.lit(2.0), -(place + 1 + k * size) / halflife)
+    return last
+
+
+def decayed_count(rows: Column, halflife: Column) -> Column:
+    """What so many rows weigh together, the last of them 1."""
+    d = F.pow(F.lit(2.0), F.lit(-1.0) / halflife)
+    return (F.lit(1.0) - F.pow(F.lit(2.0), -rows / halflife)) / (F.lit(1.0) - d)
+
+
 def volatility(moves: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Adds vol (EWMA that holds the row, null in the first four), lagged, z, vol_full and vol0.
 
-    The EWMA is a ratio of running sums with weights 2^(row / half-life), centred on the middle row: exact in doubles up to
-    2,000 half-lives, 40,000 rows of a daily series; a longer one raises an error.
+    The EWMA is a scan over buckets of rows: decayed sums within a bucket, plus the sums of the buckets before, decayed.
+    Series of any length are exact to rounding. All of a series' rows are in one task here; see `buckets` for long ones.
     """
+    size = scan_size(config)
     halflife = by_freq(config.halflife_daily, config.halflife_monthly)
     rows = moves.withColumn("rn", F.row_number().over(by_date())).withColumn("n", F.count("*").over(asset_rows()))
-    rows = rows.withColumn("n", F.when(F.col("n") <= 2000 * halflife, F.col("n")).otherwise(F.raise_error(F.concat(F.col("asset"), F.lit(": more increments than an exact EWMA can take")))))
-    rows = rows.withColumn("weight", F.pow(F.lit(2.0), (F.col("rn") - F.col("n") / 2) / halflife))
-    rows = rows.withColumn("vol", F.when(F.col("rn") >= 5, F.sqrt(F.sum(F.col("weight") * F.col("x") * F.col("x")).over(so_far()) / F.sum("weight").over(so_far()))))
+    rows = rows.withColumn("bucket", F.floor((F.col("rn") - 1) / size)).withColumn("place", F.col("rn") - 1 - F.col("bucket") * size)
+    one = Window.partitionBy(*KEYS, "bucket")
+    weight = F.pow(F.lit(2.0), (F.col("place") - size / 2) / halflife)
+    rows = rows.withColumn("weight", weight).withColumn("w", F.col("weight") * F.col("x") * F.col("x"))
+    # a full bucket's sum at its end; rows one bucket on see it at the same place
+    rows = rows.withColumn("total", F.sum("w").over(one) / F.pow(F.lit(2.0), (F.lit(size - 1) - size / 2) / halflife))
+    inside = F.sum("w").over(one.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) / F.col("weight")
+    rows = rows.withColumn("inside", inside)
+    carried = [F.lag("total", (k + 1) * size).over(by_date()) for k in range(scan_reach(config))]
+    square = decayed(F.col("inside"), carried, F.col("place"), halflife, size)
+    rows = rows.withColumn("vol", F.when(F.col("rn") >= 5, F.sqrt(square / decayed_count(F.col("rn"), halflife))))
     rows = rows.withColumn("vol_full", F.when(F.col("n") > 2, F.stddev_samp("x").over(asset_rows())).otherwise(F.avg(F.abs("x")).over(asset_rows())))
     # the first five rows have no volatility before them and take the first there is
     rows = rows.withColumn("before", F.coalesce(F.lag("vol").over(by_date()), F.when(F.col("n") > 5, F.max(F.when(F.col("rn") == 5, F.col("vol"))).over(asset_rows()))))
     rows = rows.withColumn("lagged", F.when(F.col("before").isNotNull(), F.greatest("before", config.z_floor * F.col("vol_full"))))
     final = F.max_by("vol", "date").over(asset_rows())
-    return rows.withColumn("z", F.col("x") / F.nullif(F.col("lagged"), F.lit(0.0))).withColumn("vol0", F.when(final > 0, final).otherwise(F.col("vol_full"))).drop("weight", "before")
+    rows = rows.withColumn("z", F.col("x") / F.nullif(F.col("lagged"), F.lit(0.0))).withColumn("vol0", F.when(final > 0, final).otherwise(F.col("vol_full")))
+    return rows.drop("weight", "w", "bucket", "place", "total", "inside", "before")
 
 
 def stress(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -140,14 +181,54 @@ def stress(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return rows.withColumn("limit", limit).withColumn("stress", F.coalesce(F.col("roll") >= F.col("limit"), F.lit(False)))
 
 
-def prepared(panels: DataFrame, units: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The whole chain: a row for each increment. Assets with fewer than five raise an error."""
+def sound_assets(counted: DataFrame, units: DataFrame) -> DataFrame:
+    """Every asked asset with n, its increments (null: none), and sound, whether its unit can be forecast.
+
+    counted: unit_id, asset, n. A unit can be if each of its assets has five increments or more, and it asks for some asset,
+    some horizon and a date.
+    """
+    asked = units.select("unit_id", F.explode_outer("assets").alias("asset"), (F.col("asof").isNotNull() & (F.size("horizons") > 0)).alias("whole"))
+    rows = asked.join(counted.select(*KEYS, "n"), KEYS, "left")
+    good = F.coalesce(F.col("n") >= 5, F.lit(False)) & F.coalesce("whole", F.lit(False))
+    return rows.withColumn("sound", F.min(good).over(Window.partitionBy("unit_id"))).drop("whole")
+
+
+def problems(panels: DataFrame, units: DataFrame, assets: DataFrame) -> DataFrame:
+    """Why units can't be forecast: unit_id, asset, problem, known (the assets that the unit's panels do hold, in order).
+
+    assets: what sound_assets gives. Only panels of units in trouble are read for `known`.
+    """
+    bad = assets.where("not sound").select("unit_id").distinct()
+    rows = panels.join(bad, "unit_id", "left_semi").join(units.select("unit_id", "asof"), "unit_id").where("date <= asof")
+    held = rows.groupBy("unit_id").agg(F.array_sort(F.collect_set("asset")).alias("known"))
+    card = units.select("unit_id", F.col("asof").isNull().alias("undated"), (F.size("horizons") <= 0).alias("no_horizon"))
+    out = assets.where("not sound").join(card, "unit_id").join(held, "unit_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    few = F.coalesce("n", F.lit(0)) < 5
+    told = (
+        F.when(F.col("undated"), "no as-of date")
+        .when(F.coalesce("no_horizon", F.lit(True)), "no horizon")
+        .when(F.col("asset").isNull(), "no asset")
+        .when(few & ~F.array_contains("known", F.coalesce("asset", F.lit(""))), "not in any panel up to the as-of")
+        .when(few, F.concat(F.lit("fewer than five increments: "), F.coalesce("n", F.lit(0)).cast("string")))
+    )
+    # what holds of the whole unit is said once
+    whole = told.isin("no as-of date", "no horizon", "no asset")
+    return out.withColumn("problem", told).where("problem is not null").select("unit_id", F.when(~whole, F.col("asset")).alias("asset"), "problem", "known").distinct()
+
+
+def prepare(panels: DataFrame, units: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(a row for each increment of the units that can be forecast, every asked asset with n and sound)."""
     moves = settled(increments(working(frequency(series(panels, units)))), "moves")
     references = settled(reference_moves(panels, units), "reference-moves")
     moves = with_proxies(moves, references, peg_proxies(moves, references, config))
-    rows = stress(volatility(moves, config), config)
-    too_few = F.raise_error(F.concat(F.col("asset"), F.lit(": fewer than five increments")))
-    return settled(rows.withColumn("n", F.when(F.col("n") >= 5, F.col("n")).otherwise(too_few)), "prepared")
+    rows = settled(stress(volatility(moves, config), config), "prepared")
+    assets = settled(sound_assets(rows.where("rn = 1"), units), "asked-assets")
+    return rows.join(assets.where("sound").select(*KEYS), KEYS, "left_semi"), assets
+
+
+def prepared(panels: DataFrame, units: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The whole chain: a row for each increment of every unit that can be forecast (see problems for the others)."""
+    return prepare(panels, units, config)[0]
 
 
 def window_sums(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +70,24 @@ def pools(together: DataFrame, mode: DataFrame, spec: DataFrame, config: Config
 
 
 def scenario_ranges(scenarios: DataFrame) -> DataFrame:
-    """unit_id, scenario, low, high: each scenario's share of [0, 1). Negative weights count as 0; with none left, all count alike."""
+    """unit_id, scenario, low, high: each scenario's share of [0, 1). Negative weights count as 0; with none left, all count alike.
+
+    A range begins where the one before ends, so that they leave no gap.
+    """
     unit = Window.partitionBy("unit_id")
     w = F.greatest(F.col("weight"), F.lit(0.0))
     out = scenarios.withColumn("w", F.when(F.sum(w).over(unit) > 0, w).otherwise(1.0))
     out = out.withColumn("w", F.col("w") / F.sum("w").over(unit))
     high = F.sum("w").over(unit.orderBy("scenario").rowsBetween(Window.unboundedPreceding, 0))
     last = F.max("scenario").over(unit) == F.col("scenario")
-    return out.select("unit_id", "scenario", F.col("w").alias("weight"), (high - F.col("w")).alias("low"), F.when(last, 1.0).otherwise(high).alias("high"))
+    out = out.withColumn("high", F.when(last, 1.0).otherwise(high))
+    return out.select("unit_id", "scenario", F.col("w").alias("weight"), F.coalesce(F.lag("high").over(unit.orderBy("scenario")), F.lit(0.0)).alias("low"), "high")
+
+
+def with_neutral(scenarios: DataFrame, units: DataFrame) -> DataFrame:
+    """unit_id, scenario, weight, and the neutral scenario for every unit that has none."""
+    rows = scenarios.select("unit_id", F.col("scenario").cast("int").alias("scenario"), F.col("weight").cast("double").alias("weight"))
+    return rows.unionByName(neutral(units.join(rows, "unit_id", "left_anti")))
 
 
 def tail_factor(config: Config = DEFAULT, any_df: bool = False) -> Column:
@@ -91,17 +103,22 @@ def tail_factor(config: Config = DEFAULT, any_df: bool = False) -> Column:
     return F.when(F.col("tail_df").isNull(), 1.0).otherwise(F.sqrt(F.col("tail_df") / chi))
 
 
+def draw_count(n_draws: int) -> Column:
+    """How many draws a unit gets: what is asked for, its minimum and 200, but 20,000 at most."""
+    return F.least(F.greatest(F.lit(n_draws), F.col("n_draws_min"), F.lit(200)), F.lit(20_000))
+
+
 def draw_plan(units: DataFrame, scenarios: DataFrame, pool: DataFrame, spec: DataFrame, n_draws: int, config: Config = DEFAULT, any_df: bool = False) -> DataFrame:
     """unit_id, draw, scenario, pool, vol_factor, tail. Stress is drawn only where every pool of the unit has rows enough.
 
-    units: also stress_prob and tail_df, null where the defaults hold.
+    Units without a scenario draw the neutral one. units: also stress_prob and tail_df, null where the defaults hold.
     """
     ready = pool.where("pool = 'stress'").groupBy(*KEYS).agg(F.count("*").alias("rows"))
     ready = spec.select(*KEYS).join(ready, KEYS, "left").groupBy("unit_id").agg((F.min(F.coalesce("rows", F.lit(0))) >= config.min_pool_rows).alias("ready"))
-    n = F.least(F.greatest(F.lit(n_draws), F.col("n_draws_min"), F.lit(200)), F.lit(20_000))
+    n = draw_count(n_draws)
     draws = units.select("unit_id", "stress_prob", "tail_df", F.explode(F.sequence(F.lit(0), n - 1)).alias("draw")).join(ready, "unit_id")
     draws = draws.withColumn("u", uniform(config.seed, "scenario", "unit_id", "draw"))
-    draws = draws.join(scenario_ranges(scenarios), "unit_id").where("u >= low and u < high")
+    draws = draws.join(scenario_ranges(with_neutral(scenarios, units)), "unit_id").where("u >= low and u < high")
     p = F.when(F.col("ready"), F.coalesce("stress_prob", F.lit(config.p_stress))).otherwise(0.0)
     kind = F.when(uniform(config.seed, "regime", "unit_id", "draw") < p, "stress").when(uniform(config.seed, "recent", "unit_id", "draw") < config.w_recent, "recent").otherwise("full")
     v = config.vol_uncertainty
@@ -157,21 +174,42 @@ def neutral(units: DataFrame) -> DataFrame:
     return units.select("unit_id", F.lit(0).alias("scenario"), F.lit(1.0).alias("weight"))
 
 
-def simulate(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataFrame | None = None, overlays: DataFrame | None = None, config: Config = DEFAULT, any_df: bool = False) -> DataFrame:
-    """Draws of every unit from prepared rows (see series.prepared)."""
+@dataclass(frozen=True)
+class Simulation:
+    """Draws and the tables that they were made of, all keyed by unit_id."""
+
+    units: DataFrame
+    spec: DataFrame
+    steps: DataFrame
+    vol: DataFrame
+    mode: DataFrame
+    pool: DataFrame
+    plan: DataFrame
+    draws: DataFrame
+
+
+def run(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataFrame | None = None, overlays: DataFrame | None = None, config: Config = DEFAULT, any_df: bool = False) -> Simulation:
+    """Simulates every unit from prepared rows (see series.prepared). Units without scenarios have the neutral one."""
     for name, kind in (("stress_prob", "double"), ("tail_df", "double")):
         units = units if name in units.columns else units.withColumn(name, F.lit(None).cast(kind))
     spec = settled(asset_spec(rows, config), "spec")
     steps = settled(horizon_steps(spec, units, config), "steps")
     vol = vol_path(spec, steps, config)
     together = aligned(rows, spec)
-    pool = settled(pools(together, modes(together, spec, config), spec, config), "pools")
+    mode = modes(together, spec, config)
+    pool = settled(pools(together, mode, spec, config), "pools")
     scenarios = neutral(units) if scenarios is None else scenarios
     if overlays is None:
         overlays = spec.limit(0).select("unit_id", F.lit(0).alias("scenario"), "asset", F.lit(0.0).alias("drift"), F.lit(1.0).alias("vol_mult"))
     plan = settled(draw_plan(units, scenarios, pool, spec, n_draws, config, any_df), "draw-plan")
     index = block_index(plan, pool, spec, steps, config)
-    return samples(paths(index, pool, spec, vol, steps, overlays, config), spec, steps)
+    draws = samples(paths(index, pool, spec, vol, steps, overlays, config), spec, steps)
+    return Simulation(units, spec, steps, vol, mode, pool, plan, draws)
+
+
+def simulate(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataFrame | None = None, overlays: DataFrame | None = None, config: Config = DEFAULT, any_df: bool = False) -> DataFrame:
+    """Draws of every unit."""
+    return run(rows, units, n_draws, scenarios, overlays, config, any_df).draws
 
 
 def quantiles(drawn: DataFrame) -> DataFrame:

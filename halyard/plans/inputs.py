@@ -176,7 +176,8 @@ scen AS ({scenarios}),
 overlays AS ({overlays}),
 tails AS ({tails}),
 shares AS (SELECT unit_id, scenario, weight / sum(weight) OVER (PARTITION BY unit_id) AS w, max(scenario) OVER (PARTITION BY unit_id) = scenario AS is_last FROM scen),
-ranges AS (SELECT unit_id, scenario, sum(w) OVER s - w AS low, CASE WHEN is_last THEN 1.0 ELSE sum(w) OVER s END AS high FROM shares WINDOW s AS (PARTITION BY unit_id ORDER BY scenario)),
+ends AS (SELECT unit_id, scenario, CASE WHEN is_last THEN 1.0 ELSE sum(w) OVER s END AS high FROM shares WINDOW s AS (PARTITION BY unit_id ORDER BY scenario)),
+ranges AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY unit_id ORDER BY scenario), 0.0) AS low FROM ends),
 readies AS (SELECT s.unit_id, min(coalesce(c, 0)) >= 30 AS ready FROM spec s LEFT JOIN (SELECT unit_id, asset, count(*) AS c FROM pools WHERE pool = 'stress' GROUP BY ALL) q ON q.unit_id = s.unit_id AND q.asset = s.asset GROUP BY ALL),
 drawn AS (SELECT unit_id, unnest(range({N_DRAWS}))::INTEGER AS draw FROM units),
 us AS (SELECT d.*, ready, {u_sql('scenario', 'unit_id', 'draw')} AS us, {u_sql('regime', 'unit_id', 'draw')} AS ur, {u_sql('recent', 'unit_id', 'draw')} AS uc, exp(0.25 * {n_sql('vol', 'unit_id', 'draw')} - 0.03125) AS vol_factor FROM drawn d JOIN readies USING (unit_id)),
@@ -270,7 +271,7 @@ evs AS (SELECT unit_id, bool_or(flagged) AS flagged, bool_or(flagged AND CASE WH
 langs AS (SELECT DISTINCT lang AS unit_id FROM documents),
 rawbase AS (SELECT unit_id, unnest([0, 1, 2, 3, 4]) AS scenario FROM langs),
 raw AS (SELECT {', '.join(RAW_COLUMNS).format(s='VARCHAR')} FROM (SELECT *, unnest(['X', 'Y']) AS asset FROM rawbase)),
-cites AS (SELECT lang AS unit_id, d.doc_id % 5 AS scenario, d.doc_id::VARCHAR AS doc_id, coalesce(quality = 1, false) AS facts FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 5 <> 2 OR quality = 1),
+cites AS (SELECT lang AS unit_id, CASE WHEN d.doc_id % 5 = 2 AND coalesce(quality, 0) <> 1 THEN 3 ELSE d.doc_id % 5 END AS scenario, d.doc_id::VARCHAR AS doc_id, coalesce(quality = 1, false) AS facts FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 cited AS (SELECT unit_id, scenario, list(doc_id ORDER BY doc_id) AS cited, bool_and(facts) AS all_facts FROM cites GROUP BY ALL),
 clean0 AS (SELECT r.unit_id, r.scenario, r.name, r.asset, greatest(coalesce(try_cast(weight AS DOUBLE), 0.0), 0.0) AS weight, greatest(-0.75, least(0.75, 0.7 * coalesce(try_cast(drift AS DOUBLE), 0.0))) AS drift,
   1.0 + 0.5 * (greatest(0.6, least(3.0, coalesce(try_cast(vol_mult AS DOUBLE), 1.0))) - 1.0) AS vm, cited, coalesce(all_facts, false) AS all_facts FROM raw r LEFT JOIN cited c ON c.unit_id = r.unit_id AND c.scenario = r.scenario WHERE r.scenario < 4),
@@ -294,8 +295,9 @@ def raw_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that back each scenario, a row for each: those whose id modulo 5 is its number, as in the SQL."""
+    """The documents that back each scenario, a row for each: the scenario is a document's id modulo 5, but what states no fact backs 3, not 2."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").join(labels, "doc_id", "left")
-    labelled = labelled.withColumn("scenario", (F.col("doc_id") % 5).cast("int")).where("scenario <> 2 or quality = 1")
-    return labelled.select(F.col("lang").alias("unit_id"), "scenario", F.col("doc_id").cast("string").alias("doc_id"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").join(labels, "doc_id", "left")
+    number = (F.col("doc_id") % 5).cast("int")
+    plain = F.coalesce("quality", F.lit(0)) != 1
+    return rows.select(F.col("lang").alias("unit_id"), F.when((number == 2) & plain, 3).otherwise(number).alias("scenario"), F.col("doc_id").cast("string").alias("doc_id"))

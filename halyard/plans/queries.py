@@ -37,19 +37,19 @@ def r(places: int, *cols: str) -> str:
 
 
 def significant(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    """Doubles to so many significant digits, by exact powers of ten."""
+    """Doubles to so many significant digits, by exact powers of ten. Below 1e-12 there is only the noise of sums that cancel."""
 
     def cut(c: str):
         e = F.floor(F.log10(F.abs(F.col(c)))) - (digits - 1)
         p = F.pow(F.lit(10.0), F.abs(e))
-        return F.when(F.col(c) == 0, 0.0).when(e <= 0, F.round(F.col(c) * p) / p).otherwise(F.round(F.col(c) / p) * p) + F.lit(0.0)
+        return F.when(F.abs(F.col(c)) < 1e-12, 0.0).when(e <= 0, F.round(F.col(c) * p) / p).otherwise(F.round(F.col(c) / p) * p) + F.lit(0.0)
 
     return df.withColumns({c: cut(c) for c in cols})
 
 
 def s(digits: int, *cols: str) -> str:
     e = f"floor(log10(abs({{c}}))) - {digits - 1}"
-    cut = f"CASE WHEN {{c}} = 0 THEN 0.0 WHEN {e} <= 0 THEN round({{c}} * pow(10.0, abs({e}))) / pow(10.0, abs({e})) ELSE round({{c}} / pow(10.0, abs({e}))) * pow(10.0, abs({e})) END + 0.0 AS {{c}}"
+    cut = f"CASE WHEN abs({{c}}) < 1e-12 THEN 0.0 WHEN {e} <= 0 THEN round({{c}} * pow(10.0, abs({e}))) / pow(10.0, abs({e})) ELSE round({{c}} / pow(10.0, abs({e}))) * pow(10.0, abs({e})) END + 0.0 AS {{c}}"
     return ", ".join(cut.format(c=c) for c in cols)
 
 
