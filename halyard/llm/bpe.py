@@ -18,7 +18,7 @@ _NONE = np.int64(1 << 62)
 #: Bits of a place in a word: words of up to 2^40 bytes beside ranks of up to 2^22.
 _POS = 40
 #: Words whose ids a Python worker keeps; all others are encoded again when they come back.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Cells of the trees that are filled at once, but a longer word has its own: some 100 bytes each.
 CELLS = 1 << 18
 #: White space that Python's str.split knows and the tokenizer's \s does not.
