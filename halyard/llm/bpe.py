@@ -13,12 +13,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+
+from halyard.llm.common import tidy
 
 _NONE = np.int64(1 << 62)
 #: Bits of a place in a word: words of up to 2^40 bytes beside ranks of up to 2^22.
 _POS = 40
 #: Words whose ids a Python worker keeps; all others are encoded again when they come back.
-CACHE_WORDS = 100_000
+CACHE_WORDS, KEPT_WORDS = 100_000, 30_000
 #: Cells of the trees that are filled at once, but a longer word has its own: some 100 bytes each.
 CELLS = 1 << 18
 #: White space that Python's str.split knows and the tokenizer's \s does not.
@@ -123,23 +126,81 @@ class SegmentTreeBPE:
         return sym[:, :wide][alive].astype("<u4"), alive.sum(1)
 
 
+#: Characters that stand for any letter, digit, other character or white space, none of them part of a contraction.
+_STANDS = {"L": "é", "N": "7", "O": "§", "S": " "}
+
+
+#: Planes in which Unicode has assigned characters.
+_PLANES = (*range(0x80, 0x40000), *range(0xE0000, 0xF0000))
+
+
+def _normal(chunk: str) -> str:
+    if chunk.isascii():
+        return chunk.lower()
+    return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+
+
+@lru_cache(maxsize=4)
+def odd_points(path: str) -> tuple[tuple[tuple[int, str], ...], tuple[tuple[int, str], ...]]:
+    """Where the library's tables of Unicode differ from those here: (code points that it takes for another kind, and that kind; those that it writes otherwise in lower case).
+
+    The library tells: between two letters a letter makes one piece, between two marks another mark does, white space none.
+    """
+    tok = Tokenizer.from_file(path)
+    cut, normal = tok.pre_tokenizer.pre_tokenize_str, tok.normalizer.normalize_str
+    kind = regex.compile(r"(\p{L})|(\p{N})|(\s)")
+    kinds: list[tuple[int, str]] = []
+    cases: list[tuple[int, str]] = []
+    points = [i for i in _PLANES if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 1 << 15):
+        some = points[at : at + (1 << 15)]
+        # three characters and a space for each
+        letters = {a // 4 for _, (a, b) in cut(" ".join([f"a{chr(i)}a" for i in some])) if b - a == 3}
+        rest = [k for k in range(len(some)) if k not in letters]
+        beside = cut(" ".join([f"!{chr(some[k])}!" for k in rest]))
+        marks = {rest[a // 4] for _, (a, b) in beside if b - a == 3}
+        alone = {rest[a // 4] for _, (a, b) in beside if a % 4 == 1 and b - a == 1}
+        lower = normal("!".join(map(chr, some))).split("!")
+        for k, i in enumerate(some):
+            is_now = "L" if k in letters else "O" if k in marks else "N" if k in alone else "S"
+            m = kind.match(chr(i))
+            if is_now != ("O" if m is None else "LNS"[m.lastindex - 1]):
+                kinds.append((i, is_now))
+            if is_now != "S" and lower[k] != _normal(chr(i)):
+                cases.append((i, lower[k]))
+    return tuple(kinds), tuple(cases)
+
+
 class WordBPE:
     """A tokenizer whose words end in a suffix: NFC, white space dropped, lower case, then BPE within each word."""
 
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: tuple[tuple[tuple[int, str], ...], tuple[tuple[int, str], ...]] = ((), ())):
         self.bpe = SegmentTreeBPE(path)
+        self.odd, self.cases = {i: _STANDS[k] for i, k in odd[0]}, dict(odd[1])
         if not self.bpe.suffix:
             raise ValueError(f"{path}: its tokens have no word ends, which this encoder needs")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")") if self.bpe.special else None
         self.known: dict[str, tuple[bytes, str]] = {}
         self.before: dict[str, tuple[bytes, str]] = {}
 
+    def forget(self) -> None:
+        """Between tasks a worker keeps few words."""
+        self.before = {}
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+
     def _normal(self, chunk: str) -> str:
-        if chunk.isascii():
-            return chunk.lower()
-        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return _normal(chunk if chunk.isascii() else chunk.translate(self.cases))
+
+    def parts(self, chunk: str) -> list[str]:
+        """The pieces of a normal chunk that are merged apart."""
+        if not chunk.isascii() and self.odd:
+            same = chunk.translate(self.odd)
+            if same != chunk:
+                return [chunk[m.start() : m.end()] for m in self.PARTS.finditer(same)]
+        return self.PARTS.findall(chunk)
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at white space, which no token crosses; special tokens stand alone."""
@@ -160,7 +221,7 @@ class WordBPE:
         old = {c: self.before[c] for c in new if c in self.before}
         self.known.update(old)
         new = list(new.difference(old))
-        parts = [self.PARTS.findall(self._normal(c)) if c not in self.bpe.special else () for c in new]
+        parts = [self.parts(self._normal(c)) if c not in self.bpe.special else () for c in new]
         words = list({p for ps in parts for p in ps})
         token = self.bpe.token
         ids = {w: (raw, " ".join([token[i] for i in x])) for w, (raw, x) in zip(words, self.bpe.encode([w.encode() for w in words]), strict=True)}
@@ -188,8 +249,8 @@ class WordBPE:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordBPE:
-    return WordBPE(path)
+def tokenizer(path: str, odd: tuple[tuple[tuple[int, str], ...], tuple[tuple[int, str], ...]] = ((), ())) -> WordBPE:
+    return WordBPE(path, odd)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tokens: bool = True) -> DataFrame:
@@ -202,8 +263,10 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     schema = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     schema += ["ids array<int>", "decoded string"] * tokens + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]
 
+    odd = odd_points(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = tokenizer(path, odd)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -213,5 +276,6 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                     cols += [pa.array([np.frombuffer(x, "<i4") for x, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())]
                 cols += [pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x, _ in got], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *["ids", "decoded"] * tokens, "n_tokens", "ids_sha256", "decoded_sha256"])
+        tok.forget()
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, ", ".join(schema))
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), ", ".join(schema))

@@ -22,7 +22,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import bitmap, in_bitmap, mix64, word_hashes, written
+from halyard.llm.common import bitmap, in_bitmap, mix64, tidy, word_hashes, written
 from halyard.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -98,7 +98,7 @@ def sketch(df: DataFrame, text: str, n: int) -> np.ndarray:
         return run
 
     schema = "chunk int, part int, at binary, counts binary"
-    parts = df.select(text).mapInArrow(count, schema).groupBy("chunk", "part").applyInPandas(add(np.uint16, False), schema)
+    parts = df.select(text).mapInArrow(tidy(count), schema).groupBy("chunk", "part").applyInPandas(add(np.uint16, False), schema)
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for chunk, _, _, levels in parts.groupBy("chunk").applyInPandas(add(np.float32, True), schema).toLocalIterator():
         out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(levels, np.uint8)
@@ -130,7 +130,7 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array(other, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.float64())], names=["doc_id", "n", "cid", "other", "prefix_id", "prefix", "common"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    rows = written(source.mapInArrow(prefixes, f"doc_id {kind}, n bigint, cid bigint, other bigint, prefix_id bigint, prefix array<bigint>, common double"), "jaccard-prefixes")
+    rows = written(source.mapInArrow(tidy(prefixes), f"doc_id {kind}, n bigint, cid bigint, other bigint, prefix_id bigint, prefix array<bigint>, common double"), "jaccard-prefixes")
     documents = rows.select("doc_id", "cid", "n")
     each = rows.where("cid is not null").groupBy("cid", "other", "n", "prefix_id").agg(F.max("common").alias("common"), F.min("doc_id").alias("rep"))
     members = written(each.select("cid", "n", "prefix_id", "common", F.xxhash64("rep").alias("rep")), "jaccard-classes")
@@ -243,7 +243,7 @@ def _keyed(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(m, pid)), pa.array(np.full(m, n)), pa.array(np.r_[at, at].astype(np.int32))], names=["key", "prefix_id", "n", "pos"])
 
     lo, hi = _range("n", "n", "pos", percent)
-    found = rows.mapInArrow(_batched(keys), "key bigint, prefix_id bigint, n bigint, pos int").withColumns({"lo": lo, "hi": hi}).drop("pos")
+    found = rows.mapInArrow(tidy(_batched(keys)), "key bigint, prefix_id bigint, n bigint, pos int").withColumns({"lo": lo, "hi": hi}).drop("pos")
     inside = _in_reach(written(found, "jaccard-found"), "jaccard-reach")
     several = inside.groupBy("key").agg(F.min("prefix_id").alias("a"), F.max("prefix_id").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a != b or c != d").select("key")
     met = written(inside.join(several, "key").join(groups, ["prefix_id", "n"]), "jaccard-keys")
@@ -287,7 +287,7 @@ def _sets(source: DataFrame, words: int, asked: DataFrame, members: DataFrame) -
             yield pa.RecordBatch.from_arrays([pa.array(cids[out]), pa.array([sets[i].view(np.int64) for i in out], pa.list_(pa.int64()))], names=["cid", "grams"])
 
     first = _among(source.select("text", F.xxhash64("doc_id").alias("rep")), wanted.select("rep")).select("text")
-    return first.mapInArrow(pick, "cid bigint, grams array<bigint>").dropDuplicates(["cid"])
+    return first.mapInArrow(tidy(pick), "cid bigint, grams array<bigint>").dropDuplicates(["cid"])
 
 
 def _verified(pairs: DataFrame, source: DataFrame, words: int, members: DataFrame, percent: int) -> DataFrame:

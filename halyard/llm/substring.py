@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import bitmap, in_bitmap, mix64, word_hashes, written
+from halyard.llm.common import bitmap, in_bitmap, mix64, tidy, word_hashes, written
 
 WINDOW = 13
 ROUNDS = 1
@@ -185,7 +185,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(of))], names=["name", "doc"])
 
-    found = source.mapInArrow(anchors, "name bigint, doc bigint").groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    found = source.mapInArrow(tidy(anchors), "name bigint, doc bigint").groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     often = spark.sparkContext.broadcast(bitmap(written(found.where("a < b").select("name"), "substring-anchors"), "name"))
 
     def located(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[tuple[pa.RecordBatch, Stretches, int, int, int, list[bytes]]]:
@@ -220,7 +220,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         if out:
             yield made()
 
-    held = written(source.withColumn("key", F.xxhash64("text")).mapInArrow(places, "name bigint, check bigint, doc bigint, key bigint, span bigint"), "substring-stretches")
+    held = written(source.withColumn("key", F.xxhash64("text")).mapInArrow(tidy(places), "name bigint, check bigint, doc bigint, key bigint, span bigint"), "substring-stretches")
     # stretches of one name and equal words; names with several are compared window by window
     equal = written(held.groupBy("name", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "substring-equal")
     several = equal.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("n > 1 and a < b").select("name")
@@ -252,7 +252,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
             yield made()
 
     # equal windows have equal names; of a stretch whose words come first here, windows may still stand in other stretches
-    single = source.mapInArrow(windows, "name bigint, check bigint, k int, doc bigint, window bigint")
+    single = source.mapInArrow(tidy(windows), "name bigint, check bigint, k int, doc bigint, window bigint")
     single = single.withColumn("first", F.min("doc").over(Window.partitionBy("name", "window"))).where("first < doc")
     known = single.groupBy("name", "check", F.col("doc").alias("first")).agg(F.array_sort(F.collect_set("k")).alias("ks"))
     decided = equal.join(known, ["name", "check", "first"], "left").where("first < last or ks is not null")
@@ -279,7 +279,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
             for b in batches:
                 yield b.filter(pa.array(in_bitmap(hit.value, b.column("_key").to_numpy()) == hits))
 
-        return rows.mapInArrow(pick, rows.schema)
+        return rows.mapInArrow(tidy(pick), rows.schema)
 
     # texts without repeats, as the bitmap says, stay where they are
     far = some(True).join(spans, F.expr("_doc = _d and _key = _k"), "left").select(*names, "_spans")
@@ -306,4 +306,4 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), *[pa.array(kept, pa.string())] * whole], names=[*keep, "n_words", "n_removed", "kept_sha256", *["kept"] * whole])
 
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], "n_words bigint, n_removed bigint, kept_sha256 string", *["kept string"] * whole])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import hash_below
+from halyard.llm.common import hash_below, tidy
 
 DECAY, SPAN = 0.7, 5
 #: (second letter, third letter) offsets of the subsequences.
@@ -189,7 +189,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
                 s = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([pa.array([sorted(tokens_of(t)) for t in s.column(0).to_pylist()], pa.list_(pa.string())), s.column(1), s.column(2)], names=["tokens", "y", "n"])
 
-    cuts = rows.select("t", "y", "n").mapInArrow(cut, "tokens array<string>, y bigint, n bigint").withColumn("d", F.xxhash64("tokens"))
+    cuts = rows.select("t", "y", "n").mapInArrow(tidy(cut), "tokens array<string>, y bigint, n bigint").withColumn("d", F.xxhash64("tokens"))
     bags = cuts.groupBy("d").agg(F.first("tokens").alias("tokens"), (2 * F.sum("y") >= F.sum("n")).cast("int").alias("y")).persist()
     try:
         total = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -218,7 +218,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
                 got = [max(scorer.model.margins(t).tolist(), default=scorer.model.bias) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], names=["m", "y"])
 
-        got = bags.select("tokens", "y").mapInArrow(margin, "m double, y int").toPandas()
+        got = bags.select("tokens", "y").mapInArrow(tidy(margin), "m double, y int").toPandas()
     finally:
         bags.unpersist()
     return _calibrated(model, got["m"].to_numpy(), got["y"].to_numpy())
@@ -321,4 +321,4 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
                 got = model.score(np.array(scorer.margins([t or "" for t in b.column(text).to_pylist()])))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)

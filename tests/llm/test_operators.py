@@ -56,6 +56,24 @@ def test_bpe(docs, texts):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_takes_kinds_of_characters_from_the_library(spark):
+    """Texts of characters that tables of Unicode disagree on, and of any others."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    kinds, cases = bpe.odd_points(path)
+    rng = np.random.default_rng(8)
+    odd, every = [i for i, _ in (*kinds, *cases)], [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    rows = []
+    for k in range(600):
+        pool = odd if k % 2 else every
+        rows.append((k, "".join(chr(int(rng.choice(pool))) if rng.random() < 0.5 else "ab'st 7!é "[int(rng.integers(10))] for _ in range(12))))
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, tokens=False).collect()
+    want = {k: hashlib.sha256(np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for k, x in rows}
+    assert {r.doc_id: r.ids_sha256 for r in got} == want
+
+
 def test_jaccard(docs, texts):
     sets = []
     for t in texts:
