@@ -60,7 +60,7 @@ def _rejected(given: DataFrame, units: DataFrame) -> DataFrame:
     return rules.join(held, "unit_id").select("unit_id", "asset", F.concat(F.lit("adjustments: "), F.coalesce(F.concat(F.lit("scenario "), F.col("scenario").cast("string"), F.lit(": ")), F.lit("")), "problem").alias("problem"), "known")
 
 
-def forecast(panels: DataFrame, units: DataFrame, n_draws: int = 2000, given: DataFrame | None = None, stage: evidence.Stage | None = None, config: Config = DEFAULT, any_df: bool = True) -> Forecasts:
+def forecast(panels: DataFrame, units: DataFrame, n_draws: int = 2000, given: DataFrame | None = None, stage: evidence.Stage | None = None, config: Config = DEFAULT) -> Forecasts:
     """Forecasts every unit from its panels and what documents say.
 
     given: adjustment files; they go before what the text stage says. stage: see evidence.text_stage. Without either, units
@@ -84,7 +84,7 @@ def forecast(panels: DataFrame, units: DataFrame, n_draws: int = 2000, given: Da
         stage = given_stage(units, units.limit(0).select("unit_id", F.lit(0).alias("scenario"), F.lit("").alias("name"), F.lit(1.0).alias("weight"), F.lit("").alias("asset"), F.lit(0.0).alias("drift"), F.lit(1.0).alias("vol_mult"), F.lit(False).alias("established"), F.lit(None).cast("double").alias("tail_df")))
     good = assets.where("sound").select("unit_id").distinct().join(rejected.select("unit_id").distinct(), "unit_id", "left_anti")
     sound = settled(units.drop("stress_prob", "tail_df").join(good, "unit_id", "left_semi").join(stage.knobs.select("unit_id", "tail_df", "stress_prob"), "unit_id", "left"), "sound-units")
-    simulation = simulate.run(rows.join(good, "unit_id", "left_semi") if given is not None else rows, sound, n_draws, stage.scenarios, stage.overlays, config, any_df)
+    simulation = simulate.run(rows.join(good, "unit_id", "left_semi") if given is not None else rows, sound, n_draws, stage.scenarios, stage.overlays, config)
     seen = Observation("draws")
     bad = F.count_if(~finite(F.col("value")))
     draws = settled(simulation.draws.observe(seen, F.count("*").alias("rows"), bad.alias("bad")), "draws")

@@ -90,16 +90,15 @@ def with_neutral(scenarios: DataFrame, units: DataFrame) -> DataFrame:
     return rows.unionByName(neutral(units.join(rows, "unit_id", "left_anti")))
 
 
-def tail_factor(config: Config = DEFAULT, any_df: bool = False) -> Column:
+def tail_factor(config: Config = DEFAULT) -> Column:
     """One factor for each draw: sqrt(df / chi-square) where the unit has tail_df, else 1.
 
-    Whole degrees of freedom up to 8 stay in the JVM; any_df allows others, whose numbers are drawn in Python.
+    A chi-square of whole degrees of freedom up to 8 is a sum of squares, others are drawn by rejection.
     """
     squares = [F.pow(normal(config.seed, f"chi{k}", "unit_id", "draw"), F.lit(2)) for k in range(8)]
     chi = sum((F.when(F.col("tail_df") > k, x).otherwise(0.0) for k, x in enumerate(squares)), F.lit(0.0))
-    if any_df:
-        whole = (F.col("tail_df") <= 8) & (F.col("tail_df") == F.floor("tail_df"))
-        chi = F.when(whole, chi).otherwise(chi_square(config.seed, F.coalesce("tail_df", F.lit(6.0)), "unit_id", "draw"))
+    whole = (F.col("tail_df") <= 8) & (F.col("tail_df") == F.floor("tail_df"))
+    chi = F.when(whole, chi).otherwise(chi_square(config.seed, F.col("tail_df"), "unit_id", "draw"))
     return F.when(F.col("tail_df").isNull(), 1.0).otherwise(F.sqrt(F.col("tail_df") / chi))
 
 
@@ -108,7 +107,7 @@ def draw_count(n_draws: int) -> Column:
     return F.least(F.greatest(F.lit(n_draws), F.col("n_draws_min"), F.lit(200)), F.lit(20_000))
 
 
-def draw_plan(units: DataFrame, scenarios: DataFrame, pool: DataFrame, spec: DataFrame, n_draws: int, config: Config = DEFAULT, any_df: bool = False) -> DataFrame:
+def draw_plan(units: DataFrame, scenarios: DataFrame, pool: DataFrame, spec: DataFrame, n_draws: int, config: Config = DEFAULT) -> DataFrame:
     """unit_id, draw, scenario, pool, vol_factor, tail. Stress is drawn only where every pool of the unit has rows enough.
 
     Units without a scenario draw the neutral one. units: also stress_prob and tail_df, null where the defaults hold.
@@ -122,7 +121,7 @@ def draw_plan(units: DataFrame, scenarios: DataFrame, pool: DataFrame, spec: Dat
     p = F.when(F.col("ready"), F.coalesce("stress_prob", F.lit(config.p_stress))).otherwise(0.0)
     kind = F.when(uniform(config.seed, "regime", "unit_id", "draw") < p, "stress").when(uniform(config.seed, "recent", "unit_id", "draw") < config.w_recent, "recent").otherwise("full")
     v = config.vol_uncertainty
-    return draws.select("unit_id", "draw", "scenario", kind.alias("pool"), F.exp(v * normal(config.seed, "vol", "unit_id", "draw") - 0.5 * v * v).alias("vol_factor"), tail_factor(config, any_df).alias("tail"))
+    return draws.select("unit_id", "draw", "scenario", kind.alias("pool"), F.exp(v * normal(config.seed, "vol", "unit_id", "draw") - 0.5 * v * v).alias("vol_factor"), tail_factor(config).alias("tail"))
 
 
 def block_index(plan: DataFrame, pool: DataFrame, spec: DataFrame, steps: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -188,7 +187,7 @@ class Simulation:
     draws: DataFrame
 
 
-def run(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataFrame | None = None, overlays: DataFrame | None = None, config: Config = DEFAULT, any_df: bool = False) -> Simulation:
+def run(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataFrame | None = None, overlays: DataFrame | None = None, config: Config = DEFAULT) -> Simulation:
     """Simulates every unit from prepared rows (see series.prepared). Units without scenarios have the neutral one."""
     for name, kind in (("stress_prob", "double"), ("tail_df", "double")):
         units = units if name in units.columns else units.withColumn(name, F.lit(None).cast(kind))
@@ -201,15 +200,15 @@ def run(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataF
     scenarios = neutral(units) if scenarios is None else scenarios
     if overlays is None:
         overlays = spec.limit(0).select("unit_id", F.lit(0).alias("scenario"), "asset", F.lit(0.0).alias("drift"), F.lit(1.0).alias("vol_mult"))
-    plan = settled(draw_plan(units, scenarios, pool, spec, n_draws, config, any_df), "draw-plan")
+    plan = settled(draw_plan(units, scenarios, pool, spec, n_draws, config), "draw-plan")
     index = block_index(plan, pool, spec, steps, config)
     draws = samples(paths(index, pool, spec, vol, steps, overlays, config), spec, steps)
     return Simulation(units, spec, steps, vol, mode, pool, plan, draws)
 
 
-def simulate(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataFrame | None = None, overlays: DataFrame | None = None, config: Config = DEFAULT, any_df: bool = False) -> DataFrame:
+def simulate(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataFrame | None = None, overlays: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """Draws of every unit."""
-    return run(rows, units, n_draws, scenarios, overlays, config, any_df).draws
+    return run(rows, units, n_draws, scenarios, overlays, config).draws
 
 
 def quantiles(drawn: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.functions.columns import BINARY, SCHEDULED
+from halyard.functions.columns import BINARY, GAMMA_TRIES, SCHEDULED
 from halyard.sources.readers import UNIT_SCHEMA
 
 ASOF = date(2001, 6, 29)
@@ -21,11 +21,25 @@ UNITS = [
     ("rates", "F4", "level", FLAGS[2:5], [2, 10], [("rates_daily", FLAGS, "")]),
     ("quotes", "F2", "level", ["PEG", "NO"], [5], [("fx_daily", ["PEG", *FLAGS], "business_daily")]),
 ]
+#: Further units of a batch: series of two frequencies, months with outcomes.
+SOUND = [
+    *UNITS,
+    ("mixed", "F1", "level", ["1-URGENT", "NF"], [5, 21], [("orders_monthly", PRIORITIES, "monthly"), ("rates_daily", FLAGS, "")]),
+    ("months", "F2", "level", PRIORITIES[1:3], [21, 42], [("orders_monthly", PRIORITIES, "monthly")]),
+]
+#: Units in trouble: an asset that no panel holds, three increments, no horizon, no date.
+BATCH = [
+    *SOUND,
+    ("ghost", "F1", "level", ["1-URGENT", "9-NONE"], [5], [("orders_daily", PRIORITIES, "")]),
+    ("brief", "F1", "level", ["B"], [5], [("brief", ["B"], "")]),
+    ("aimless", "F1", "level", ["1-URGENT"], [], []),
+    ("undated", "F1", "level", ["1-URGENT"], [5], []),
+]
 N_DRAWS = 200
 
 
-def units(spark: SparkSession) -> DataFrame:
-    rows = [(u, f, t, "", ASOF, N_DRAWS, a, h, p, None, None) for u, f, t, a, h, p in UNITS]
+def units(spark: SparkSession, of: list | None = None) -> DataFrame:
+    rows = [(u, f, t, "", None if u == "undated" else ASOF, N_DRAWS, a, h, p, None, None) for u, f, t, a, h, p in of or UNITS]
     return spark.createDataFrame(rows, UNIT_SCHEMA)
 
 
@@ -34,7 +48,8 @@ def _cents(col: str):
     return F.sum(F.round(F.col(col) * 100).cast("long")) / (100.0 * F.count("*"))
 
 
-def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panels(spark: SparkSession, sf_dir: str, batch: bool = False) -> DataFrame:
+    """Panels of UNITS, and of the units of BATCH."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("asset"), F.to_date("o_orderdate").alias("date"), "o_totalprice")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus").alias("asset"), F.to_date("l_shipdate").alias("date"), "l_extendedprice", "l_discount")
     daily = orders.groupBy("asset", "date").agg(_cents("o_totalprice").alias("value"))
@@ -56,6 +71,11 @@ def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows(shipped, "quotes", "fx_daily", F.col("price")),
         rows(shipped.where("asset = 'RF'"), "quotes", "fx_daily", peg, asset=F.lit("PEG")),
     ]
+    if batch:
+        parts += [
+            rows(monthly, "mixed", "orders_monthly", F.col("value")), rows(shipped.where(~hole), "mixed", "rates_daily", F.col("price") / 997 - 30), rows(monthly, "months", "orders_monthly", F.col("value")),
+            rows(daily, "ghost", "orders_daily", F.col("value")), rows(monthly.where("asset = '1-URGENT' and date < '1995-05-01'"), "brief", "brief", F.col("value"), asset=F.lit("B")),
+        ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -66,8 +86,12 @@ def _list(xs: list) -> str:
     return "[" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in xs) + "]" + ("::VARCHAR[]" if not xs else "")
 
 
-_UNIT_ROWS = ", ".join(f"('{u}', '{f}', '{t}', DATE '{ASOF}', {N_DRAWS}, {_list(a)}, {_list(h)})" for u, f, t, a, h, _ in UNITS)
-_META_ROWS = ", ".join(f"('{u}', {i}, '{n}', {_list(a)}, '{f}')" for u, *_, p in UNITS for i, (n, a, f) in enumerate(p))
+def _unit_rows(of: list) -> str:
+    return ", ".join(f"('{u}', '{f}', '{t}', DATE '{ASOF}', {N_DRAWS}, {_list(a)}, {_list(h)})" for u, f, t, a, h, _ in of)
+
+
+def _meta_rows(of: list) -> str:
+    return ", ".join(f"('{u}', {i}, '{n}', {_list(a)}, '{f}')" for u, *_, p in of for i, (n, a, f) in enumerate(p))
 
 
 def _cents_sql(c: str) -> str:
@@ -83,9 +107,29 @@ def n_sql(stream: str, *keys: str) -> str:
     return f"(sqrt(-2.0 * ln(1.0 - {u_sql(stream + '.r', *keys)})) * cos(2 * pi() * {u_sql(stream + '.a', *keys)}))"
 
 
-INPUTS = f"""
-units AS (SELECT * FROM (VALUES {_UNIT_ROWS}) t(unit_id, family, target_type, cutoff, n_draws_min, assets, horizons)),
-meta AS (SELECT * FROM (VALUES {_META_ROWS}) t(unit_id, pos, panel, asset_ids, declared)),
+def chi_sql(*keys: str) -> str:
+    """The oracle's chi-square number of tail_df degrees of freedom."""
+    up = "(CASE WHEN tail_df / 2 < 1 THEN tail_df / 2 + 1 ELSE tail_df / 2 END - 1.0 / 3.0)"
+    tries = []
+    for k in range(GAMMA_TRIES):
+        x = n_sql(f"gamma{k}", *keys)
+        v = f"pow(1.0 + {x} / sqrt({up} * 9), 3)"
+        tries.append(f"CASE WHEN {v} > 0 AND ln(1.0 - {u_sql(f'gamma{k}.u', *keys)}) < {x} * {x} * 0.5 + {up} - {up} * {v} + {up} * ln(CASE WHEN {v} > 0 THEN {v} END) THEN {up} * {v} END")
+    low = f"CASE WHEN tail_df / 2 < 1 THEN pow(1.0 - {u_sql('gamma.low', *keys)}, 1.0 / (tail_df / 2)) ELSE 1.0 END"
+    return f"(coalesce({', '.join(tries)}, {up}) * {low} * 2)"
+
+
+_MORE_PANELS = """
+  UNION ALL SELECT 'mixed', 'orders_monthly', asset, date, value, 0 FROM monthly
+  UNION ALL SELECT 'mixed', 'rates_daily', asset, date, price / 997 - 30, 0 FROM shipped WHERE NOT date BETWEEN DATE '1998-03-01' AND DATE '1998-06-30'
+  UNION ALL SELECT 'months', 'orders_monthly', asset, date, value, 0 FROM monthly"""
+
+
+def inputs_sql(of: list, more: str = "") -> str:
+    """The CTEs of series, scales and pools of some units."""
+    return f"""
+units AS (SELECT * FROM (VALUES {_unit_rows(of)}) t(unit_id, family, target_type, cutoff, n_draws_min, assets, horizons)),
+meta AS (SELECT * FROM (VALUES {_meta_rows(of)}) t(unit_id, pos, panel, asset_ids, declared)),
 daily AS (SELECT o_orderpriority AS asset, o_orderdate::DATE AS date, {_cents_sql('o_totalprice')} AS value FROM orders GROUP BY 1, 2),
 monthly AS (SELECT o_orderpriority AS asset, date_trunc('month', o_orderdate)::DATE AS date, {_cents_sql('o_totalprice')} AS value FROM orders GROUP BY 1, 2),
 shipped AS (SELECT l_returnflag || l_linestatus AS asset, l_shipdate::DATE AS date, {_cents_sql('l_extendedprice')} AS price, {_cents_sql('l_discount')} AS discount FROM lineitem GROUP BY 1, 2),
@@ -97,7 +141,7 @@ panels AS (
   UNION ALL SELECT 'factors', 'factors', asset, date, discount - 0.05, 0 FROM shipped
   UNION ALL SELECT 'rates', 'rates_daily', asset, date, price / 997 - 30, 0 FROM shipped WHERE NOT date BETWEEN DATE '1998-03-01' AND DATE '1998-06-30'
   UNION ALL SELECT 'quotes', 'fx_daily', asset, date, price, 0 FROM shipped
-  UNION ALL SELECT 'quotes', 'fx_daily', 'PEG', date, 100.0 + day(date) / 10000.0, 0 FROM shipped WHERE asset = 'RF'),
+  UNION ALL SELECT 'quotes', 'fx_daily', 'PEG', date, 100.0 + day(date) / 10000.0, 0 FROM shipped WHERE asset = 'RF'{more}),
 asked AS (SELECT unit_id, cutoff, target_type, unnest(assets) AS asset FROM units),
 ranked AS (
   SELECT p.*, a.target_type, m.declared, rank() OVER (PARTITION BY p.unit_id, p.asset ORDER BY
@@ -167,10 +211,15 @@ pooln AS (SELECT *, count(*) OVER (PARTITION BY unit_id, asset, pool) AS n, row_
 pools AS (SELECT unit_id, pool, salt, asset, row_id, n, CASE WHEN pool = 'stress' THEN raw ELSE (raw - mean) / coalesce(CASE WHEN n > 2 THEN nullif(sd, 0) END, 1.0) END AS shock FROM pooln)"""
 
 
+INPUTS = inputs_sql(UNITS)
+BATCH_INPUTS = inputs_sql(SOUND, _MORE_PANELS)
+
+
 def simulation_sql(scenarios: str, overlays: str, tails: str) -> str:
     """The CTEs of draws; scenarios (unit_id, scenario, weight), overlays (unit_id, scenario, asset, drift, vol_mult) and tails (unit_id, tail_df) are queries."""
     path = ("unit_id", "draw", "salt", "step")
-    chi = " + ".join(f"CASE WHEN tail_df > {k} THEN pow({n_sql(f'chi{k}', 'unit_id', 'draw')}, 2) ELSE 0.0 END" for k in range(8))
+    sums = " + ".join(f"CASE WHEN tail_df > {k} THEN pow({n_sql(f'chi{k}', 'd.unit_id', 'd.draw')}, 2) ELSE 0.0 END" for k in range(8))
+    chi = f"CASE WHEN tail_df <= 8 AND tail_df = floor(tail_df) THEN {sums} ELSE {chi_sql('d.unit_id', 'd.draw')} END"
     return f"""
 scen AS ({scenarios}),
 overlays AS ({overlays}),
@@ -187,11 +236,12 @@ walk AS (SELECT p.*, z.salt, z.n, z.freq, unnest(range(1, longest + 1))::INTEGER
 jumps AS (SELECT *, step = 1 OR {u_sql('jump', *path)} < 1.0 / CASE WHEN freq = 'monthly' THEN 3 ELSE 7 END AS begins, floor({u_sql('start', *path)} * n)::BIGINT AS start FROM walk),
 blocks AS (SELECT *, (last_value(CASE WHEN begins THEN start END IGNORE NULLS) OVER b + step - last_value(CASE WHEN begins THEN step END IGNORE NULLS) OVER b) % n AS row_id FROM jumps
   WINDOW b AS (PARTITION BY unit_id, draw, salt ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+tailed AS (SELECT d.unit_id, d.draw, CASE WHEN tail_df IS NULL THEN 1.0 ELSE sqrt(tail_df / ({chi})) END AS tail FROM drawn d LEFT JOIN tails t ON t.unit_id = d.unit_id),
 firststep AS (SELECT s.unit_id, s.asset, s.step AS first_step, sqrt(v.cum_var) AS first_sd FROM (SELECT unit_id, asset, arg_min(step, horizon) AS step FROM steps GROUP BY ALL) s JOIN vol v USING (unit_id, asset, step)),
-shocked AS (SELECT b.unit_id, b.draw, b.scenario, b.pool, b.vol_factor, b.step, b.n, p.asset, p.shock, v.sigma, s.prior_drift, f.first_step, f.first_sd, t.tail_df
+shocked AS (SELECT b.unit_id, b.draw, b.scenario, b.pool, b.vol_factor, b.step, b.n, p.asset, p.shock, v.sigma, s.prior_drift, f.first_step, f.first_sd, t.tail
   FROM blocks b JOIN pools p ON p.unit_id = b.unit_id AND p.pool = b.pool AND p.salt = b.salt AND p.row_id = b.row_id JOIN vol v ON v.unit_id = p.unit_id AND v.asset = p.asset AND v.step = b.step
-  JOIN spec s ON s.unit_id = p.unit_id AND s.asset = p.asset JOIN firststep f ON f.unit_id = p.unit_id AND f.asset = p.asset LEFT JOIN tails t ON t.unit_id = b.unit_id),
-based AS (SELECT *, CASE WHEN pool = 'stress' THEN shock ELSE CASE WHEN n >= 30 THEN shock ELSE {n_sql('gauss', 'unit_id', 'draw', 'asset', 'step')} END * CASE WHEN tail_df IS NULL THEN 1.0 ELSE sqrt(tail_df / ({chi})) END * sigma * vol_factor END AS base FROM shocked),
+  JOIN spec s ON s.unit_id = p.unit_id AND s.asset = p.asset JOIN firststep f ON f.unit_id = p.unit_id AND f.asset = p.asset JOIN tailed t ON t.unit_id = b.unit_id AND t.draw = b.draw),
+based AS (SELECT *, CASE WHEN pool = 'stress' THEN shock ELSE CASE WHEN n >= 30 THEN shock ELSE {n_sql('gauss', 'unit_id', 'draw', 'asset', 'step')} END * tail * sigma * vol_factor END AS base FROM shocked),
 incs AS (SELECT b.unit_id, b.draw, b.asset, b.step, base * coalesce(o.vol_mult, 1.0) + prior_drift + coalesce(o.drift, 0.0) * first_sd / first_step AS inc FROM based b LEFT JOIN overlays o ON o.unit_id = b.unit_id AND o.scenario = b.scenario AND o.asset = b.asset),
 walked AS (SELECT *, sum(inc) OVER (PARTITION BY unit_id, draw, asset ORDER BY step) AS cum FROM incs),
 samples AS (SELECT w.unit_id, w.draw, w.asset, t.horizon, CASE s.space WHEN 'log' THEN anchor * exp(cum) WHEN 'diff' THEN anchor + cum ELSE cum END AS value
@@ -201,11 +251,29 @@ quants AS (SELECT unit_id, asset, horizon, count(*) AS n, quantile_cont(value, 0
 
 NEUTRAL = simulation_sql("SELECT unit_id, 0 AS scenario, 1.0 AS weight FROM units", "SELECT '' AS unit_id, 0 AS scenario, '' AS asset, 0.0 AS drift, 1.0 AS vol_mult WHERE false", "SELECT unit_id, NULL::DOUBLE AS tail_df FROM units")
 
+STUDENT_T = simulation_sql("SELECT unit_id, 0 AS scenario, 1.0 AS weight FROM units", "SELECT '' AS unit_id, 0 AS scenario, '' AS asset, 0.0 AS drift, 1.0 AS vol_mult WHERE false", "SELECT unit_id, CASE WHEN unit_id LIKE 'o%' THEN 4.5 WHEN unit_id LIKE 'r%' THEN 1.5 ELSE 12.0 END AS tail_df FROM units")
+
 SCENARIOS = [("orders_d", 0, 0.6), ("orders_d", 1, 0.4), ("orders_m", 0, 1.0), ("factors", 0, 1.0), ("rates", 0, 2.0), ("rates", 1, -1.0), ("rates", 2, 1.0), ("quotes", 0, 1.0)]
 OVERLAYS = [("orders_d", 1, "2-HIGH", 0.4, 1.5), ("orders_d", 0, "5-LOW", -0.2, 1.0), ("rates", 2, "NF", 0.0, 2.0), ("quotes", 0, "PEG", 0.3, 1.2)]
 TAILS = {"orders_d": 5.0, "factors": 4.0}
 
 
+def _values(rows: list, names: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in rows)}) t({names})"
+
+
+#: Adjustment files of some units of a batch: unit, scenario, name, weight, asset, drift, vol_mult, established, tail_df; the others are neutral.
+FILES = [
+    ("orders_d", 0, "calm", 0.6, "5-LOW", -0.2, 1.0, False, 5.0), ("orders_d", 1, "storm", 0.4, "2-HIGH", 0.4, 1.5, False, 5.0), ("rates", 0, "hold", 2.0, "NF", 0.0, 0.9, True, None),
+    ("rates", 1, "void", -1.0, "NF", 0.5, 2.0, False, None), ("rates", 2, "cut", 1.0, "NF", -0.3, 2.0, False, None), ("mixed", 0, "one", 1.0, "NF", 0.1, 1.1, False, None),
+]
+FILE_SCHEMA = "unit_id string, scenario int, name string, weight double, asset string, drift double, vol_mult double, established boolean, tail_df double"
+BATCH_DRAWS = simulation_sql(
+    f"SELECT unit_id, scenario, greatest(weight, 0.0) AS weight FROM ({_values([r[:2] + r[3:4] for r in FILES], 'unit_id, scenario, weight')}) UNION ALL SELECT unit_id, 0, 1.0 FROM units WHERE unit_id NOT IN ('orders_d', 'rates', 'mixed')",
+    _values([r[:2] + r[4:7] for r in FILES], "unit_id, scenario, asset, drift, vol_mult"), "SELECT unit_id, CASE WHEN unit_id = 'orders_d' THEN 5.0 END AS tail_df FROM units",
+)
+
+
 def adjusted_units(spark: SparkSession) -> DataFrame:
     df = F.lit(None).cast("double")
     for u, v in TAILS.items():
@@ -217,10 +285,6 @@ def scenario_rows(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(SCENARIOS, "unit_id string, scenario int, weight double"), spark.createDataFrame(OVERLAYS, "unit_id string, scenario int, asset string, drift double, vol_mult double")
 
 
-def _values(rows: list, names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(repr(x) for x in r) + ')' for r in rows)}) t({names})"
-
-
 ADJUSTED = simulation_sql(f"SELECT unit_id, scenario, greatest(weight, 0.0) AS weight FROM ({_values(SCENARIOS, 'unit_id, scenario, weight')})", _values(OVERLAYS, "unit_id, scenario, asset, drift, vol_mult"), f"SELECT unit_id, CASE unit_id {' '.join(f'WHEN {u!r} THEN {v}' for u, v in TAILS.items())} END AS tail_df FROM units")
 
 
@@ -286,6 +350,30 @@ goals AS (SELECT *, least(greatest(mix, 1.0), greatest(cap, 1.0)) AS goal FROM c
 adjusted AS (SELECT unit_id, scenario, weight, asset, drift, established, least(greatest(CASE WHEN NOT seen THEN 1.0 WHEN mix > 0 AND abs(goal - mix) > 1e-6 THEN greatest(0.6, least(3.0, vol_mult * goal / mix)) ELSE vol_mult END, CASE WHEN established THEN 0.8 ELSE 1.0 END), 3.0) AS vol_mult FROM goals)""".replace("@BINARY@", BINARY).replace("@SCHEDULED@", SCHEDULED)
 
 
+#: What a model might answer about a document, with the blemishes of such answers; SQL of both engines.
+_CARD_JSON = (
+    """concat('{"doc_id": "made up", "date": "1999-01-01", "relevance": ', CASE doc_id % 5 WHEN 0 THEN '"high"' WHEN 1 THEN 'true' WHEN 2 THEN '0.75' WHEN 3 THEN '"0.25"' ELSE 'null' END, """
+    """', "established_facts": ', CASE doc_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["a", "b", "c", "d"]' WHEN 2 THEN '["one"]' ELSE 'null' END, """
+    """', "event_in_window": {"exists": ', CASE doc_id % 3 WHEN 0 THEN '"Yes"' WHEN 1 THEN 'true' ELSE 'false' END, ', "type": "binary", "what": "vote"}', """
+    """', "per_asset": ', CASE WHEN doc_id % 7 = 0 THEN '["X"]' ELSE concat('{"X": {"direction": ', CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '"-1"' END, ', "strength": 0.5, "uncertainty": "higher"}, "Y": "up"}') END, '}')"""
+)
+_RAW_JSON = (
+    """concat('{"scenarios": ', CASE WHEN doc_id % 7 = 0 THEN '[]' ELSE concat('[{"name": "one", "weight": "0.5", "drift": {"X": 0.4}, "vol_mult": {"X": ', CASE doc_id % 3 WHEN 0 THEN '"1.5"' WHEN 1 THEN 'true' ELSE 'null' END, '}, "evidence": ["', doc_id, '", 7, null]}, "two", {"weight": ', """
+    """CASE WHEN doc_id % 2 = 0 THEN '2' ELSE '"lots"' END, '}, {"name": "four", "drift": {"Y": -1}}, {"name": "five"}]') END, ', "tail_df": ', CASE WHEN doc_id % 5 = 0 THEN '"5"' ELSE 'null' END, ', "stress_prob": 0.25}')"""
+)
+_WRAP = "CASE doc_id % 6 WHEN 0 THEN concat('Sure: ', {j}, ' I hope this helps.') WHEN 1 THEN concat('```json', {nl}, {j}, {nl}, '```') WHEN 2 THEN {j} WHEN 3 THEN concat({j}, '}}') WHEN 4 THEN 'I cannot say.' ELSE concat(' ', {j}) END"
+
+
+def answer_sql(kind: str, newline: str = "chr(10)") -> str:
+    return _WRAP.format(j={"card": _CARD_JSON, "raw": _RAW_JSON}[kind], nl=newline)
+
+
+def answers(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """unit_id, doc_id, day, answer: an answer about every document."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return rows.select(F.col("lang").alias("unit_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("2024-01-05").alias("day"), F.expr(answer_sql(kind)).alias("answer"))
+
+
 def raw_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for the scenarios that a model gives for each language; citations has their evidence."""
     langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("unit_id")).distinct()

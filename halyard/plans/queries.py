@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.functions.columns import direction_hint, json_object, number, truthy
-from halyard.operators import calibrate, evidence, series, simulate
+from halyard.config import Config
+from halyard.functions.columns import DOLLARS_PER, PER_DOLLAR, direction_hint, json_object, number, truthy
+from halyard.operators import answers, batch, buckets, calibrate, evidence, series, simulate
 from halyard.plans import inputs
+from halyard.sources import readers
 from halyard.sources.shared import settled
 from halyard.streaming.panels import daily_panel
 
@@ -56,12 +58,27 @@ def s(digits: int, *cols: str) -> str:
 IN, EV, NEUTRAL, ADJUSTED = inputs.INPUTS, inputs.EVIDENCE, inputs.NEUTRAL, inputs.ADJUSTED
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries begin with, settled once for a session and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = settled(make(), name)
+    return _TABLES[key]
+
+
+def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "panels", lambda: inputs.panels(spark, sf_dir))
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.prepared(inputs.panels(spark, sf_dir), inputs.units(spark))
+    return _once(spark, sf_dir, "prepared-rows", lambda: series.prepared(_panels(spark, sf_dir), inputs.units(spark)))
 
 
 def _working(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.working(series.frequency(series.series(inputs.panels(spark, sf_dir), inputs.units(spark))))
+    return series.working(series.frequency(series.series(_panels(spark, sf_dir), inputs.units(spark))))
 
 
 # ---- series ---------------------------------------------------------------------------------
@@ -75,13 +92,13 @@ def panel_asof_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT unit_id, asset, panel, count(*) AS n, min(date) AS first, max(date) AS last, round(sum(value), 3) AS total FROM series GROUP BY ALL", IN)
 def panel_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series.series(inputs.panels(spark, sf_dir), inputs.units(spark))
+    rows = series.series(_panels(spark, sf_dir), inputs.units(spark))
     return rows.groupBy("unit_id", "asset", "panel").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.round(F.sum("value"), 3).alias("total"))
 
 
 @query("SELECT DISTINCT unit_id, asset, freq, typical FROM freqs", IN)
 def freq_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.frequency(series.series(inputs.panels(spark, sf_dir), inputs.units(spark))).select("unit_id", "asset", "freq", "typical").distinct()
+    return series.frequency(series.series(_panels(spark, sf_dir), inputs.units(spark))).select("unit_id", "asset", "freq", "typical").distinct()
 
 
 @query("SELECT unit_id, asset, space, round(anchor, 6) AS anchor, last_date FROM works GROUP BY ALL", IN)
@@ -101,7 +118,7 @@ def gap_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT unit_id, asset, round(own, 8) AS own, round(med, 8) AS med, ref_panel, proxy, round(factor, 8) AS factor FROM proxies", IN)
 def peg_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panels, units = inputs.panels(spark, sf_dir), inputs.units(spark)
+    panels, units = _panels(spark, sf_dir), inputs.units(spark)
     return rounded(series.peg_proxies(series.increments(_working(spark, sf_dir)), series.reference_moves(panels, units)), 8, "own", "med", "factor")
 
 
@@ -221,11 +238,12 @@ def forecast_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return significant(simulate.quantiles(_neutral(spark, sf_dir)), 6, "q05", "q50", "q95")
 
 
-@query(None)
+@query(f"SELECT unit_id, asset, horizon, n, {s(6, 'q05', 'q50', 'q95')} FROM quants", IN, inputs.STUDENT_T)
 def forecast_student_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees of freedom that are no integer: no SQL has their chi-square."""
-    units = inputs.units(spark).withColumn("tail_df", F.lit(4.5))
-    return simulate.quantiles(simulate.simulate(_rows(spark, sf_dir), units, inputs.N_DRAWS, any_df=True))
+    """Degrees of freedom that are no integer, below 2, or more than 8."""
+    u = F.col("unit_id")
+    units = inputs.units(spark).withColumn("tail_df", F.when(u.startswith("o"), 4.5).when(u.startswith("r"), 1.5).otherwise(12.0))
+    return significant(simulate.quantiles(simulate.simulate(_rows(spark, sf_dir), units, inputs.N_DRAWS)), 6, "q05", "q50", "q95")
 
 
 # ---- evidence -------------------------------------------------------------------------------
@@ -307,14 +325,18 @@ def adjustments_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.violations(given, units)
 
 
-@query(f"""SELECT unit_id, asset, panel, {r(6, 'level')}, round(CASE WHEN space = 'log' THEN level * sd0 ELSE sd0 END, 4) AS sd_in_units, round(vol0 / greatest(vol_lr, 1e-12), 6) AS vol_ratio,
+TOLD = "CASE WHEN space = 'diff' THEN printf('%+.3f', {c}) ELSE printf('%+.2f%%', 100 * {c}) END AS change_{c}"
+
+
+@query(f"""SELECT unit_id, asset, panel, {r(6, 'level')}, round(CASE WHEN space = 'log' THEN level * sd0 ELSE sd0 END, 4) AS sd_in_units, {TOLD.format(c='month')}, {TOLD.format(c='quarter')}, round(vol0 / greatest(vol_lr, 1e-12), 6) AS vol_ratio,
 CASE WHEN space = 'cumlog' THEN '+1: positive return of ' || asset WHEN space = 'diff' THEN '+1: higher rate of ' || asset ELSE '+1: higher value of ' || asset END AS direction
-FROM (SELECT s.*, anchor AS level, first_sd AS sd0 FROM spec s JOIN firststep f ON f.unit_id = s.unit_id AND f.asset = s.asset)""", IN, NEUTRAL)
+FROM (SELECT s.*, anchor AS level, first_sd AS sd0, month, quarter FROM spec s JOIN firststep f ON f.unit_id = s.unit_id AND f.asset = s.asset
+JOIN (SELECT unit_id, asset, sum(x) FILTER (back <= CASE WHEN freq = 'monthly' THEN 1 ELSE 21 END) AS month, sum(x) FILTER (back <= CASE WHEN freq = 'monthly' THEN 3 ELSE 63 END) AS quarter FROM prepared GROUP BY ALL) q ON q.unit_id = s.unit_id AND q.asset = s.asset)""", IN, NEUTRAL)
 def asset_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     spec = series.asset_spec(rows)
     steps = simulate.horizon_steps(spec, inputs.units(spark))
-    out = evidence.asset_context(rows, spec, steps, simulate.vol_path(spec, steps), series.window_sums(rows)).drop("change_month", "change_quarter")
+    out = evidence.asset_context(rows, spec, steps, simulate.vol_path(spec, steps), series.window_sums(rows))
     return rounded(rounded(out, 6, "level", "vol_ratio"), 4, "sd_in_units")
 
 
@@ -326,14 +348,73 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", k.alias("k"), truthy(F.when(F.col("event_type") == "view", " YES ").otherwise(F.col("event_type"))).alias("yes"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'dollars per EUR, +1: EUR gains' WHEN c_custkey % 4 = 1 THEN 'JPY per dollar, +1: JPY loses' WHEN c_custkey % 4 = 2 THEN '+1: higher rate of y10' ELSE '+1: positive return of mom' END AS direction FROM customer""")
+CURRENCIES = (*DOLLARS_PER, *PER_DOLLAR)
+_CURRENCY_LIST = ", ".join(f"'{c}'" for c in CURRENCIES)
+_ASSET = "concat(lower(substr(n_name, 1, 2)), '-', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE {pick} END, CASE WHEN s_acctbal > 4000 THEN '_usd' ELSE '.idx' END)"
+
+
+@query(f"""WITH a AS (SELECT s_suppkey, {_ASSET.format(pick=f"[{_CURRENCY_LIST}][1 + s_suppkey % {len(CURRENCIES)}]")} AS asset, CASE WHEN s_acctbal < 0 THEN 'FX_spot' ELSE r_name END AS panel, CASE n_regionkey WHEN 0 THEN 'cumlog' WHEN 1 THEN 'diff' ELSE 'log' END AS space
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+t AS (SELECT *, regexp_replace(upper(asset), '[^A-Z]', '', 'g') AS token FROM a),
+q AS (SELECT *, regexp_matches(lower(panel), 'fx|transfer') OR substr(token, 1, 3) IN ({_CURRENCY_LIST}) AS quoted, regexp_extract(token, '{'|'.join(DOLLARS_PER)}') AS base, regexp_extract(token, '{'|'.join(PER_DOLLAR)}') AS quote FROM t)
+SELECT s_suppkey, CASE WHEN space = 'cumlog' THEN '+1: positive return of ' || asset WHEN quoted AND base <> '' THEN 'dollars per ' || base || ', +1: ' || base || ' gains' WHEN quoted AND quote <> '' THEN quote || ' per dollar, +1: ' || quote || ' loses'
+  WHEN space = 'diff' THEN '+1: higher rate of ' || asset ELSE '+1: higher value of ' || asset END AS direction FROM q""")
 def direction_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 4 + 1).cast("int").alias("k"))
+    """The convention of an asset's name, panel and space, made up from suppliers and their nations."""
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("supplier", "nation", "region")}
+    rows = t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    asset = F.expr(_ASSET.format(pick=f"element_at(array({_CURRENCY_LIST}), cast(1 + s_suppkey % {len(CURRENCIES)} as int))"))
+    rows = rows.select("s_suppkey", asset.alias("asset"), F.when(F.col("s_acctbal") < 0, "FX_spot").otherwise(F.col("r_name")).alias("panel"), F.expr("CASE n_regionkey WHEN 0 THEN 'cumlog' WHEN 1 THEN 'diff' ELSE 'log' END").alias("space"))
+    return rows.select("s_suppkey", direction_hint(F.col("asset"), F.col("panel"), F.col("space")).alias("direction"))
+
+
+GATES = Config(tail_enabled=True, stress_enabled=True)
+
+
+@query("""SELECT l.unit_id, CASE WHEN n > 1 AND NOT coalesce(bin, false) THEN NULL WHEN k % 3 = 0 THEN 5.0 WHEN k % 3 = 1 THEN 8.0 WHEN coalesce(bin, false) THEN 6.0 END::DOUBLE AS tail_df,
+round(CASE WHEN n > 1 AND NOT coalesce(bin, false) THEN NULL ELSE greatest(CASE k % 3 WHEN 0 THEN 0.05 WHEN 1 THEN 0.6 ELSE 0.1 END, least(0.6, 0.1 + CASE WHEN coalesce(bin, false) THEN 0.15 ELSE 0.0 END + 0.2 * coalesce(hi, 0.0))) END::DOUBLE, 8) AS stress_prob
+FROM (SELECT DISTINCT lang AS unit_id, length(lang) + ascii(lang) AS k, 1 + ascii(lang) % 2 AS n FROM documents) l LEFT JOIN evs e ON e.unit_id = l.unit_id LEFT JOIN (SELECT unit_id, max(share) AS hi FROM stats GROUP BY ALL) h ON h.unit_id = l.unit_id""", EV)
+def tail_and_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both gates open: answers of degrees of freedom and stress, floored by what the cards say."""
+    langs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("unit_id")).distinct().withColumn("k", F.length("unit_id") + F.ascii("unit_id"))
+    third = F.col("k") % 3
+    raw = langs.select("unit_id", F.when(third == 0, "5").when(third == 1, "20").otherwise("none").alias("tail_df"), F.when(third == 0, "0.05").when(third == 1, "7").alias("stress_prob"))
+    cards = inputs.cards(spark, sf_dir)
+    out = evidence.tail_and_stress(raw, evidence.card_stats(cards), evidence.events(cards), langs.select("unit_id", (1 + F.ascii("unit_id") % 2).alias("n_assets")), GATES)
+    return rounded(out, 8, "stress_prob")
+
+
+JSON_OF = "CASE WHEN json_valid(regexp_extract(answer, '\\{.*\\}', 0, 's')) THEN regexp_extract(answer, '\\{.*\\}', 0, 's')::JSON END"
+
+
+@query(f"""WITH a AS (SELECT lang AS unit_id, doc_id::VARCHAR AS doc_id, {inputs.answer_sql('card')} AS answer FROM documents),
+j AS (SELECT *, {JSON_OF} AS v FROM a)
+SELECT unit_id, doc_id, '2024-01-05' AS day, CASE WHEN json_type(v, '$.per_asset.X') = 'OBJECT' THEN 'X' END AS asset, v->>'$.per_asset.X.direction' AS direction, v->>'$.per_asset.X.strength' AS strength, coalesce(v->>'$.per_asset.X.uncertainty', '') AS uncertainty,
+  CASE WHEN json_type(v, '$.relevance') = 'BOOLEAN' THEN '1' ELSE v->>'$.relevance' END AS relevance, coalesce(json_array_length(v, '$.established_facts') > 0, false) AS facts, array_to_string(coalesce(list_slice((v->>'$.established_facts[*]')::VARCHAR[], 1, 3), []), ',') AS fact_list,
+  v->>'$.event_in_window.exists' AS event_exists, v->>'$.event_in_window.type' AS event_type, v->>'$.event_in_window.what' AS event_words FROM j WHERE json_type(v, '$.per_asset') = 'OBJECT'""")
+def model_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards out of answers with talk around them, broken JSON, fields of wrong types, and an id and date of their own."""
+    return answers.card_rows(inputs.answers(spark, sf_dir, "card")).drop("tone", "summary").withColumn("fact_list", F.array_join("fact_list", ","))
+
+
+@query(f"""WITH a AS (SELECT lang AS unit_id, doc_id::VARCHAR AS doc_id, {inputs.answer_sql('card')} AS answer FROM documents),
+j AS (SELECT *, {JSON_OF} AS v FROM a)
+SELECT unit_id, doc_id, CASE WHEN v IS NULL THEN 'no JSON object' ELSE 'per_asset is not an object' END AS problem FROM j WHERE v IS NULL OR json_type(v, '$.per_asset') <> 'OBJECT'""")
+def model_cards_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.refused(inputs.answers(spark, sf_dir, "card"))
 
-    def pick(*xs: str):
-        return F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("k"))
 
-    return c.select("c_custkey", direction_hint(pick("eur-usd", "jpy", "y10", "mom"), pick("fx_spot", "majors", "rates", "factors"), pick("log", "log", "diff", "cumlog")).alias("direction"))
+@query(f"""WITH a AS (SELECT doc_id::VARCHAR AS unit_id, {inputs.answer_sql('raw')} AS answer FROM documents),
+j AS (SELECT unit_id, {JSON_OF} AS v FROM a),
+s AS (SELECT unit_id, unnest(range(4))::INTEGER AS scenario, v FROM j WHERE json_array_length(v, '$.scenarios') > 0),
+x AS (SELECT unit_id, scenario, json_extract(v, '$.scenarios[' || scenario || ']') AS x FROM s),
+m AS (SELECT *, CASE scenario WHEN 0 THEN 'X' WHEN 3 THEN 'Y' END AS asset FROM x WHERE json_type(x) = 'OBJECT')
+SELECT unit_id, scenario, x->>'$.name' AS name, asset, x->>'$.weight' AS weight, CASE scenario WHEN 0 THEN x->>'$.drift.X' WHEN 3 THEN x->>'$.drift.Y' END AS drift,
+  CASE WHEN scenario = 0 THEN CASE WHEN json_type(x, '$.vol_mult.X') = 'BOOLEAN' THEN '1' ELSE x->>'$.vol_mult.X' END END AS vol_mult FROM m""")
+def model_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw scenarios out of answers; of five entries the first four count, and one of them is no object."""
+    given = inputs.answers(spark, sf_dir, "raw").select(F.col("doc_id").alias("unit_id"), "answer")
+    return answers.scenario_rows(given)[0]
 
 
 # ---- calibration ----------------------------------------------------------------------------
@@ -357,12 +438,12 @@ month_out AS (SELECT o.unit_id, o.asset, d.horizon, o.value FROM outrows o JOIN
 
 @query(f"SELECT panel, asset, date, round(value, 6) AS value FROM ({POOLED})", IN)
 def pooled_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(calibrate.pooled(inputs.panels(spark, sf_dir)), 6, "value")
+    return rounded(calibrate.pooled(_panels(spark, sf_dir)), 6, "value")
 
 
 @query("SELECT unit_id, asset, horizon, round(value, 6) AS value FROM outcomes", IN, REALIZED)
 def realized_forward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(calibrate.realized(inputs.panels(spark, sf_dir), inputs.units(spark)), 6, "value")
+    return rounded(calibrate.realized(_panels(spark, sf_dir), inputs.units(spark)), 6, "value")
 
 
 @query("""SELECT unit_id, count(*) AS n_cells, round_even(avg(pit), 3) AS pit_mean, round_even(avg((pit BETWEEN 0.25 AND 0.75)::INTEGER), 3) AS in50, round_even(avg((pit BETWEEN 0.05 AND 0.95)::INTEGER), 3) AS in90,
@@ -370,7 +451,7 @@ round_even(avg(below01::INTEGER), 3) AS below01, round_even(avg(below05::INTEGER
 FROM (SELECT s.unit_id, avg((s.value < o.value)::INTEGER) AS pit, (any_value(o.value) - avg(s.value)) / coalesce(nullif(stddev_pop(s.value), 0), 1e-12) AS z, any_value(o.value) < quantile_cont(s.value, 0.01) AS below01, any_value(o.value) < quantile_cont(s.value, 0.05) AS below05,
 any_value(o.value) > quantile_cont(s.value, 0.95) AS above95, any_value(o.value) > quantile_cont(s.value, 0.99) AS above99 FROM samples s JOIN outcomes o ON o.unit_id = s.unit_id AND o.asset = s.asset AND o.horizon = s.horizon GROUP BY s.unit_id, s.asset, s.horizon) GROUP BY ALL""", IN, NEUTRAL, REALIZED)
 def pit_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = calibrate.realized(inputs.panels(spark, sf_dir), inputs.units(spark))
+    outcomes = calibrate.realized(_panels(spark, sf_dir), inputs.units(spark))
     return calibrate.pit_stats(calibrate.pit_cells(_neutral(spark, sf_dir), outcomes))
 
 
@@ -418,3 +499,67 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = c.where("c_custkey % 2 = 0").select("unit_id", (F.col("c_acctbal") / 100).alias("elapsed_s"))
     rows = calibrate.run_rows(units, verdicts, usage, c.select("unit_id", F.col("c_acctbal").alias("composite_score")))
     return rounded(rows.groupBy("family").agg(F.count("*").alias("units"), F.count_if("admissible").alias("admissible"), F.avg("elapsed_s").alias("mean_elapsed")), 6, "mean_elapsed")
+
+
+@query(f"""SELECT count(*) AS cells, round(avg(abs(shift)), 6) AS mean_shift, round(median(width), 6) AS median_width FROM (SELECT (a.q50 - b.q50) / ((b.q95 - b.q05) / 3.29) AS shift, (a.q95 - a.q05) / nullif(b.q95 - b.q05, 0) AS width
+FROM ({f'WITH {IN},{ADJUSTED} SELECT * FROM quants'}) a JOIN ({f'WITH {IN},{NEUTRAL} SELECT * FROM quants'}) b ON a.unit_id = b.unit_id AND a.asset = b.asset AND a.horizon = b.horizon)""")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = calibrate.run_diff(simulate.quantiles(_adjusted(spark, sf_dir)), simulate.quantiles(_neutral(spark, sf_dir)))
+    return rounded(calibrate.diff_summary(diff), 6, "mean_shift", "median_width")
+
+
+# ---- many units in one call -----------------------------------------------------------------
+
+BATCH_IN, BATCH_DRAWS = inputs.BATCH_INPUTS, inputs.BATCH_DRAWS
+
+
+_FORECASTS: dict[tuple[str, str], batch.Forecasts] = {}
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> batch.Forecasts:
+    """Its tables are settled, so one run serves several queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FORECASTS:
+        panels = _once(spark, sf_dir, "batch-panels", lambda: inputs.panels(spark, sf_dir, batch=True))
+        _FORECASTS[key] = batch.forecast(panels, inputs.units(spark, inputs.BATCH), inputs.N_DRAWS, given=spark.createDataFrame(inputs.FILES, inputs.FILE_SCHEMA))
+    return _FORECASTS[key]
+
+
+@query(f"SELECT unit_id, asset, horizon, n, {s(6, 'q05', 'q50', 'q95')} FROM quants", BATCH_IN, BATCH_DRAWS)
+def batch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven units at once: four in trouble, one of two frequencies, adjustments for some."""
+    return significant(_batch(spark, sf_dir).quantiles, 6, "q05", "q50", "q95")
+
+
+@query("""SELECT * FROM (VALUES ('brief', 'B', 'fewer than five increments: 3', 'B'), ('aimless', NULL, 'no horizon', ''), ('undated', NULL, 'no as-of date', '')) t(unit_id, asset, problem, known)
+UNION ALL SELECT 'ghost', '9-NONE', 'not in any panel up to the as-of', (SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE o_orderdate::DATE <= DATE '2001-06-29')""")
+def batch_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why units could not be forecast, with the assets that their panels do hold."""
+    return _batch(spark, sf_dir).problems.withColumn("known", F.array_join("known", ","))
+
+
+@query("SELECT s.unit_id, s.scenario, count(p.draw) AS n_draws FROM scen s LEFT JOIN plans p ON p.unit_id = s.unit_id AND p.scenario = s.scenario GROUP BY ALL", BATCH_IN, BATCH_DRAWS)
+def scenario_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.scenario_draws(_batch(spark, sf_dir))
+
+
+@query("SELECT unit_id, asset, horizon, round(value, 6) AS value FROM outcomes", BATCH_IN, REALIZED)
+def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of daily and of monthly series."""
+    panels = _once(spark, sf_dir, "batch-panels", lambda: inputs.panels(spark, sf_dir, batch=True))
+    return rounded(calibrate.realized(panels.where("unit_id not in ('ghost', 'brief')"), inputs.units(spark, inputs.SOUND)), 6, "value")
+
+
+@query(f"SELECT p.unit_id, p.asset, p.date, {r(6, 'p.x', 'p.z', 'p.lagged', 'p.roll').replace('AS p.', 'AS ')}, p.stress FROM prepared p", IN)
+def bucketed_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of series, dealt out by buckets of 512 rows."""
+    rows = buckets.prepared(_panels(spark, sf_dir), inputs.units(spark), size=512, slot_days=730)
+    return rounded(rows.select("unit_id", "asset", "date", "x", "z", "lagged", "roll", "stress"), 6, "x", "z", "lagged", "roll")
+
+
+@query("SELECT unit_id, max(date) AS asof FROM panels GROUP BY ALL UNION ALL SELECT 'none', NULL", IN)
+def asof_or_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The as-of of cards without one is the last day of the unit's panels."""
+    units = inputs.units(spark).select("unit_id").withColumn("asof", F.lit(None).cast("date"))
+    none = units.limit(1).withColumn("unit_id", F.lit("none"))
+    return readers.asof_or_latest(units.unionByName(none), _panels(spark, sf_dir))

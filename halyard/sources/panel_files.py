@@ -9,14 +9,15 @@ to tasks in runs of so many bytes, and each task reads the footer of a file, pic
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import json
+from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from halyard.sources.files import listed, open_fs, packed
 
@@ -76,16 +77,8 @@ class Run(InputPartition):
 
 
 class PanelReader(DataSourceReader):
-    def __init__(self, root: str, most_bytes: int, most_files: int):
-        self.root, self.most_bytes, self.most_files, self.units = root, most_bytes, most_files, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Conditions on unit_id leave out whole units; Spark checks all of them again."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("unit_id",):
-                some = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.units = some if self.units is None else self.units & some
-            yield f
+    def __init__(self, root: str, most_bytes: int, most_files: int, units: set[str] | None):
+        self.root, self.most_bytes, self.most_files, self.units = root, most_bytes, most_files, units
 
     def partitions(self) -> Sequence[InputPartition]:
         files = list(unit_files(self.root, self.units))
@@ -97,7 +90,7 @@ class PanelReader(DataSourceReader):
 
 
 class PanelFiles(DataSource):
-    """Options: path, mostBytes (of a task's files, 64 MB), mostFiles (256)."""
+    """Options: path, mostBytes (of a task's files, 64 MB), mostFiles (256), units (JSON list: only these are listed)."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,4 +100,4 @@ class PanelFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> PanelReader:
-        return PanelReader(self.options["path"], int(self.options.get("mostBytes", 64 << 20)), int(self.options.get("mostFiles", 256)))
+        return PanelReader(self.options["path"], int(self.options.get("mostBytes", 64 << 20)), int(self.options.get("mostFiles", 256)), set(json.loads(self.options["units"])) if "units" in self.options else None)

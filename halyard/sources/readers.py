@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halyard.sources.files import open_fs
+from halyard.sources.panel_files import SCHEMA, PanelFiles, read_panel
+from halyard.sources.unit_files import read_unit_files
+
 UNIT_SCHEMA = (
     "unit_id string, family string, target_type string, value_unit string, asof date, n_draws_min int, assets array<string>, "
     "horizons array<int>, panel_meta array<struct<panel string, asset_ids array<string>, frequency string>>, stress_prob double, tail_df double"
@@ -35,12 +44,49 @@ def _unit(card: dict[str, Any]) -> dict[str, Any]:
     }
 
 
-def read_cards(spark: SparkSession, pattern: str) -> DataFrame:
-    """Units of all cards that the pattern finds, parsed in tasks; asof is null where a card has no cutoff (see asof_or_latest)."""
-    schema = T.StructType.fromDDL(UNIT_SCHEMA.replace("asof date", "asof string"))
-    parse = F.udf(lambda text: _unit(tomllib.loads(text)), schema)  # a card is a configuration file: one small parse each
-    units = spark.read.text(pattern, wholetext=True).select(parse("value").alias("u")).select("u.*")
-    return units.withColumn("asof", F.col("asof").cast("date"))
+CARD_SCHEMA = UNIT_SCHEMA.replace("asof date", "asof string") + ", problem string, file string"
+
+
+CARD_NAMES = ("unit_id", "family", "target_type", "value_unit", "asof", "n_draws_min", "assets", "horizons", "panel_meta", "stress_prob", "tail_df", "problem", "file")
+
+
+def _parse_cards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for path, text in frame.itertuples(index=False):
+            try:
+                row = _unit(tomllib.loads(text)) | {"problem": None}
+            except (KeyError, TypeError, ValueError, AttributeError) as e:  # no TOML, or no card
+                row = {"problem": f"{type(e).__name__}: {e}"}
+            rows.append([row.get(n) if n != "file" else path for n in CARD_NAMES])
+        yield pd.DataFrame(rows, columns=list(CARD_NAMES)).astype({"n_draws_min": "Int32", "stress_prob": "float64", "tail_df": "float64"})
+
+
+def read_cards(spark: SparkSession, *patterns: str) -> DataFrame:
+    """Units of all cards that the patterns find, parsed in tasks; asof is null where a card has no cutoff (see asof_or_latest).
+
+    A file that is no card gives a row with its problem and no unit_id.
+    """
+    found = [p for pattern in patterns for p in _paths(spark, pattern)]
+    if not found:
+        raise FileNotFoundError(f"no card at {', '.join(patterns)}")
+    texts = spark.read.text(found, wholetext=True).select("_metadata.file_path", "value")
+    units = texts.mapInPandas(_parse_cards, CARD_SCHEMA)
+    return units.withColumn("asof", F.col("asof").try_cast("date"))
+
+
+def find_card(spark: SparkSession, folder: str, explicit: str | None = None) -> str:
+    """The card that is named, else that of the folder, else that of the folder above."""
+    for at in [explicit] if explicit else [f"{folder}/card.toml", f"{PurePosixPath(folder).parent}/card.toml"]:
+        if _paths(spark, at):
+            return at
+    raise FileNotFoundError(f"no card for {folder}")
+
+
+def _unit_folder(depth: int) -> Column:
+    """The folder of a unit in the path of a file that lies so many folders below it."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    return F.url_decode(F.element_at(parts, -1 - depth))
 
 
 def asof_or_latest(units: DataFrame, panels: DataFrame) -> DataFrame:
@@ -50,34 +96,102 @@ def asof_or_latest(units: DataFrame, panels: DataFrame) -> DataFrame:
 
 def read_panels(spark: SparkSession, folder: str, unit_id: str) -> DataFrame:
     """Every Parquet file of a unit's folder, else of the folder above, with (date, asset or asset_id, value); the rest are passed over."""
-    found = _paths(spark, f"{folder}/*.parquet") or _paths(spark, f"{PurePosixPath(folder).parent}/*.parquet")
-    out: DataFrame | None = None
-    for pos, path in enumerate(found):
-        df = spark.read.parquet(path)
-        name = next((c for c in ("asset", "asset_id") if c in df.columns), None)
-        if name is None or not {"date", "value"} <= set(df.columns):
-            continue
-        df = df.select(
-            F.lit(unit_id).alias("unit_id"), F.lit(PurePosixPath(path).stem).alias("panel"), F.col(name).cast("string").alias("asset"),
-            F.to_date(F.substring(F.col("date").cast("string"), 1, 10)).alias("date"), F.col("value").cast("double").alias("value"), (F.monotonically_increasing_id() + F.lit(pos)).alias("tie"),
-        )
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        raise FileNotFoundError(f"no panel with date, asset and value in {folder}")
-    return out
+    for at in (folder, str(PurePosixPath(folder).parent)):
+        found = _paths(spark, f"{at}/*.parquet")
+        if found:
+            files = spark.createDataFrame([(p,) for p in found], "path string").repartition(len(found))
+            rows = files.mapInArrow(_read_files(unit_id), SCHEMA)
+            broken = rows.where("problem is not null").first()
+            if broken:
+                raise ValueError(f"{broken.file}: {broken.problem}")
+            if rows.isEmpty():
+                break
+            return rows.drop("file", "problem")
+    raise FileNotFoundError(f"no panel with date, asset and value in {folder}")
+
+
+def _read_files(unit_id: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                yield from read_panel(open_fs(path)[1], path, unit_id, PurePosixPath(path).stem)
+
+    return run
+
+
+def read_panel_files(spark: SparkSession, root: str, units: list[str] | None = None) -> DataFrame:
+    """Panels of every unit below root, or of some, in one scan, with the problem of a file that can't be read (see PanelFiles)."""
+    spark.dataSource.register(PanelFiles)
+    source = spark.read.format("halyard_panels")
+    return (source if units is None else source.option("units", json.dumps(units))).load(root)
+
+
+def read_corpora(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(index, files) of every unit below root, from its folder `text`, as read_corpus gives them for one; one scan each."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    none = spark.createDataFrame([], "unit_id string, file string, text string")
+    texts = f"{root}/*/text/*.txt"
+    files = spark.read.text(texts, wholetext=True).select(_unit_folder(2).alias("unit_id"), F.url_decode(name).alias("file"), F.col("value").alias("text")) if _paths(spark, texts) else none
+    indexes = f"{root}/*/text/corpus_index.json"
+    if not _paths(spark, indexes):
+        return spark.createDataFrame([], "unit_id string, file string, doc_id string, day string, kind string, pos int"), files
+    return _entries(spark.read.text(indexes, wholetext=True).select(_unit_folder(2).alias("unit_id"), "value")), files
+
+
+def _entries(texts: DataFrame) -> DataFrame:
+    """unit_id, file, doc_id, day, kind, pos of indexes (unit_id, value): an object with documents, or a list."""
+    entry = "array<struct<doc_id string, file string, timestamp string, doc_type string, source string>>"
+    listed = F.coalesce(F.from_json("value", f"struct<documents {entry}>")["documents"], F.from_json("value", entry))
+    index = texts.select("unit_id", F.posexplode_outer(listed).alias("pos", "d")).where("d.file is not null")
+    stem = F.regexp_replace("d.file", r"\.[^.]*$", "")
+    return index.select("unit_id", "d.file", F.coalesce("d.doc_id", stem).alias("doc_id"), F.coalesce(F.substring("d.timestamp", 1, 10), F.lit("")).alias("day"), F.coalesce("d.doc_type", "d.source", F.lit("")).alias("kind"), "pos")
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """Units below a folder with their panels and corpora, and what could not be read."""
+
+    units: DataFrame
+    panels: DataFrame
+    index: DataFrame
+    files: DataFrame
+    problems: DataFrame
+
+
+def load_units(spark: SparkSession, root: str) -> Loaded:
+    """Every unit below root: a folder for each, with card.toml in it or in its folder `panels` (which goes first), panels and `text`.
+
+    A card names its unit; rows of the files carry that name, not the folder's. Folders without a card, cards and panel files
+    that can't be read, and cards of one name are problems (unit_id, asset, problem, known), and the units of such cards are left out.
+    """
+    cards = read_cards(spark, f"{root}/*/card.toml", f"{root}/*/panels/card.toml")
+    parts = F.split("file", "/")
+    inner = F.element_at(parts, -2) == "panels"
+    cards = cards.withColumn("folder", F.url_decode(F.when(inner, F.element_at(parts, -3)).otherwise(F.element_at(parts, -2)))).withColumn("inner", inner)
+    first = Window.partitionBy("folder").orderBy(F.desc("inner"))
+    cards = cards.withColumn("k", F.row_number().over(first)).where("k = 1").withColumn("same", F.count("*").over(Window.partitionBy("unit_id"))).drop("k", "inner")
+    good = cards.where("problem is null and same = 1")
+    names = good.select("folder", "unit_id")
+    found = read_panel_files(spark, root).withColumnRenamed("unit_id", "folder")
+    rows = found.join(names, "folder")
+    index, files = (df.withColumnRenamed("unit_id", "folder").join(names, "folder").drop("folder") for df in read_corpora(spark, root))
+    panels = rows.where("problem is null").select("unit_id", "panel", "asset", "date", "value", "tie")
+    folders = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1],) for p in _paths(spark, f"{root}/*")], "folder string").where("folder not like '\\_%'")
+    null = F.lit(None).cast("string")
+    none = F.array().cast("array<string>").alias("known")
+    bad = cards.where("problem is not null or same > 1").select(F.coalesce("unit_id", "folder").alias("unit_id"), null.alias("asset"), F.coalesce(F.concat(F.lit("card: "), "problem"), F.lit("card: its name is another card's too")).alias("problem"), none)
+    bare = folders.join(cards.select("folder"), "folder", "left_anti").select(F.col("folder").alias("unit_id"), null.alias("asset"), F.lit("no card").alias("problem"), none)
+    broken = found.where("problem is not null").join(names, "folder", "left").select(F.coalesce("unit_id", "folder").alias("unit_id"), null.alias("asset"), F.concat(F.lit("panel "), "panel", F.lit(": "), "problem").alias("problem"), none)
+    units = asof_or_latest(good.drop("folder", "same", "problem", "file"), panels)
+    return Loaded(units, panels, index, files, bad.unionByName(bare).unionByName(broken).distinct())
 
 
 def read_corpus(spark: SparkSession, folder: str, unit_id: str) -> tuple[DataFrame, DataFrame]:
     """(index: unit_id, file, doc_id, day, kind, pos; files: unit_id, file, text). Without an index, or one that can't be parsed, the index is empty."""
     name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
     files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.lit(unit_id).alias("unit_id"), name.alias("file"), F.col("value").alias("text"))
-    entry = "array<struct<doc_id string, file string, timestamp string, doc_type string, source string>>"
     texts = spark.read.text(_paths(spark, f"{folder}/corpus_index.json") or [f"{folder}/*.txt"], wholetext=True)
-    listed = F.coalesce(F.from_json("value", f"struct<documents {entry}>")["documents"], F.from_json("value", entry))
-    index = texts.where(F.col("_metadata.file_name") == "corpus_index.json").select(F.posexplode_outer(listed).alias("pos", "d")).where("d.file is not null")
-    stem = F.regexp_replace("d.file", r"\.[^.]*$", "")
-    index = index.select(F.lit(unit_id).alias("unit_id"), "d.file", F.coalesce("d.doc_id", stem).alias("doc_id"), F.coalesce(F.substring("d.timestamp", 1, 10), F.lit("")).alias("day"), F.coalesce("d.doc_type", "d.source", F.lit("")).alias("kind"), "pos")
-    return index, files
+    return _entries(texts.where(F.col("_metadata.file_name") == "corpus_index.json").select(F.lit(unit_id).alias("unit_id"), "value")), files
 
 
 def read_adjustments(spark: SparkSession, pattern: str) -> DataFrame:
@@ -91,17 +205,49 @@ def read_adjustments(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with a score of a summary CSV; unit_id names a row."""
-    return spark.read.csv(path, header=True).withColumn("composite_score", F.expr("try_cast(composite_score as double)")).where("composite_score is not null")
+    """Rows with a score of a summary CSV; of a unit with several such rows, the last of them.
 
+    Rows are in order of the file's name, then of their place in it.
+    """
+    rows = spark.read.csv(path, header=True)
+    cols = rows.columns
+    scored = rows.withColumn("composite_score", F.expr("try_cast(composite_score as double)")).withColumn("at", F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id())).where("composite_score is not null")
+    return scored.groupBy("unit_id").agg(F.max_by(F.struct(*cols), "at").alias("r")).select("r.*")
 
-def read_ledgers(spark: SparkSession, pattern: str) -> DataFrame:
-    """unit_id, asset, horizon, q05, q50, q95 of run ledgers; files that can't be parsed are passed over."""
-    cell = "struct<assets map<string, struct<horizons map<string, struct<q05 double, q50 double, q95 double>>>>>"
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    rows = spark.read.text(pattern, wholetext=True).select(stem.alias("unit_id"), F.from_json("value", cell)["assets"].alias("a"))
+
+#: What a ledger holds of each asset and horizon, and of its scenarios.
+LEDGER = (
+    "struct<mode string, n_draws bigint, source string, scenarios array<struct<name string, weight double, n_draws bigint>>, "
+    "assets map<string, struct<vol0 double, vol_lr double, horizons map<string, struct<steps int, sd_working double, q05 double, q50 double, q95 double>>>>>"
+)
+
+
+def ledger_cells(ledgers: DataFrame) -> DataFrame:
+    """unit_id, asset, horizon, q05, q50, q95 of ledgers (unit_id, value: JSON); those that can't be parsed are passed over."""
+    rows = ledgers.select("unit_id", F.from_json("value", LEDGER)["assets"].alias("a"))
     rows = rows.select("unit_id", F.explode("a").alias("asset", "x")).select("unit_id", "asset", F.explode("x.horizons").alias("h", "q"))
-    return rows.select("unit_id", "asset", F.col("h").cast("int").alias("horizon"), "q.*")
+    return rows.select("unit_id", "asset", F.col("h").cast("int").alias("horizon"), "q.q05", "q.q50", "q.q95")
+
+
+def read_ledgers(spark: SparkSession, path: str, file: str = "info.json") -> DataFrame:
+    """The cells of the ledgers that sinks.write_ledgers has written."""
+    return ledger_cells(read_unit_files(spark, path, file))
+
+
+def read_ledger_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """The cells of loose ledger files; each is named by its unit."""
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    return ledger_cells(spark.read.text(pattern, wholetext=True).select(stem.alias("unit_id"), "value"))
+
+
+def read_draws(spark: SparkSession, path: str) -> DataFrame:
+    """Draws that sinks.write_draws has written."""
+    return read_unit_files(spark, path, "forecast.parquet", "unit_id string, draw int, asset string, horizon int, value double")
+
+
+def read_realized(spark: SparkSession, path: str) -> DataFrame:
+    """Outcomes that sinks.write_realized has written."""
+    return read_unit_files(spark, path, "realized.parquet", "unit_id string, asset string, horizon int, value double")
 
 
 def pick_units(units: DataFrame, part: str | None = None, limit: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -56,48 +56,43 @@ class UnitFileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
         fs, base = open_fs(self.path)
         folder = f"attempt-{uuid.uuid4().hex}"
-        unit, out, units, rows = None, None, 0, 0
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-
-        for batch in iterator:
-            ids = batch.column("unit_id").to_pylist()
-            rest = pa.Table.from_batches([batch]).drop_columns(["unit_id"])
-            start = 0
-            while start < len(ids):
-                end = start + 1
-                while end < len(ids) and ids[end] == ids[start]:
-                    end += 1
-                part = rest.slice(start, end - start)
-                if ids[start] is None:
-                    raise ValueError("a row without unit_id")
-                if ids[start] != unit or out is None:
-                    close()
-                    unit, units = ids[start], units + 1
-                    at = f"{base}/{folder}/{as_folder(unit)}"
-                    fs.create_dir(at, recursive=True)
-                    if fs.get_file_info(f"{at}/{self.file}").type != pafs.FileType.NotFound:
-                        raise ValueError(f"rows of {unit} are not together")
-                    stream = fs.open_output_stream(f"{at}/{self.file}", compression=None)
-                    out = pq.ParquetWriter(stream, part.schema) if self.file.endswith(".parquet") else stream
-                    if self.file.endswith(".parquet"):
-                        closing = out.close
-
-                        def shut(closing=closing, stream=stream) -> None:
-                            closing()
-                            stream.close()
-
-                        out.close = shut
-                if self.file.endswith(".parquet"):
-                    out.write_table(part)
-                else:
-                    out.write("".join((v or "") for v in part.column("value").to_pylist()).encode())
-                rows += end - start
-                start = end
-        close()
-        return Attempt(folder, units, rows)
+        seen: list[str] = []
+        rows, put, close = 0, None, []
+        try:
+            for batch in iterator:
+                table = pa.Table.from_batches([batch])
+                ids = table.column("unit_id").to_pylist()
+                rest = table.drop_columns(["unit_id"])
+                cuts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a == b:
+                        continue
+                    part = rest.slice(a, b - a)
+                    if not seen or ids[a] != seen[-1]:
+                        for c in reversed(close):
+                            c()
+                        put, close = self._begin(fs, f"{base}/{folder}", ids[a], part.schema)
+                        seen.append(ids[a])
+                    put(part)
+                    rows += b - a
+        finally:
+            for c in reversed(close):
+                c()
+        return Attempt(folder, len(seen), rows)
+
+    def _begin(self, fs: pafs.FileSystem, folder: str, unit: str | None, schema: pa.Schema) -> tuple[Callable[[pa.Table], None], list[Callable[[], None]]]:
+        """(what writes rows of a unit to its file, what closes it)."""
+        if unit is None:
+            raise ValueError("a row without unit_id")
+        at = f"{folder}/{as_folder(unit)}"
+        fs.create_dir(at, recursive=True)
+        if fs.get_file_info(f"{at}/{self.file}").type != pafs.FileType.NotFound:
+            raise ValueError(f"rows of {unit} are not together")
+        stream = fs.open_output_stream(f"{at}/{self.file}", compression=None)
+        if self.file.endswith(".parquet"):
+            out = pq.ParquetWriter(stream, schema)
+            return out.write_table, [stream.close, out.close]
+        return lambda part: stream.write("".join((v or "") for v in part.column("value").to_pylist()).encode()) and None, [stream.close]
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, base = open_fs(self.path)
@@ -169,11 +164,12 @@ class UnitFiles(DataSource):
         return UnitFileWriter(self.options["path"], self.options["file"], overwrite)
 
 
-def write_unit_files(rows: DataFrame, path: str, file: str, order: tuple[str, ...] = (), mode: str = "overwrite") -> None:
-    """One file for each unit_id, its rows ordered by `order`, all of them or none."""
+def write_unit_files(rows: DataFrame, path: str, file: str, order: tuple[str, ...] = (), mode: str = "overwrite", placed: bool = False) -> None:
+    """One file for each unit_id, its rows ordered by `order`, all of them or none. placed: each unit's rows are together and in order."""
     rows.sparkSession.dataSource.register(UnitFiles)
-    placed = rows.repartition("unit_id").sortWithinPartitions("unit_id", *order)
-    placed.write.format("halyard_unit_files").option("file", file).mode(mode).save(path)
+    if not placed:
+        rows = rows.repartition("unit_id").sortWithinPartitions("unit_id", *order)
+    rows.write.format("halyard_unit_files").option("file", file).mode(mode).save(path)
 
 
 def read_unit_files(spark: SparkSession, path: str, file: str, schema: str = "unit_id string, value string") -> DataFrame:
