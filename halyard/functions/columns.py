@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,16 +26,22 @@ PER_DOLLAR = (
 )
 
 
-def uniform(seed: int, stream: str, *keys: str) -> Column:
+def uniform(seed: int, stream: str | Column, *keys: str | Column) -> Column:
     """A number in [0, 1) that depends on seed, stream and the key columns only, not on partitions."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[F.col(k).cast("string") for k in keys])
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream) if isinstance(stream, str) else stream, *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def normal(seed: int, stream: str, *keys: str) -> Column:
+def normal(seed: int, stream: str | Column, *keys: str | Column) -> Column:
     """A standard normal number by Box and Muller."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(seed, f"{stream}.r", *keys)))
-    return radius * F.cos(F.lit(2 * np.pi) * uniform(seed, f"{stream}.a", *keys))
+    r, a = (f"{stream}.{x}" if isinstance(stream, str) else F.concat(stream, F.lit(f".{x}")) for x in "ra")
+    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(seed, r, *keys)))
+    return radius * F.cos(F.lit(2 * np.pi) * uniform(seed, a, *keys))
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.transform(F.array(x), f)[0]
 
 
 #: Tries of the rejection for a gamma number; each fails with a chance below 0.05, so all do in one of 10^15 draws.
@@ -43,21 +51,27 @@ GAMMA_TRIES = 12
 def chi_square(seed: int, df: Column, *keys: str) -> Column:
     """A chi-square number for any positive df: twice a gamma number, by rejection on hashed counters (Marsaglia and Tsang).
 
-    The tries are a coalesce, so that later ones are computed only where the earlier failed. Below 2 degrees of freedom a
+    A try is computed only where those before it failed. Below 2 degrees of freedom a
     number of two more is scaled down by a power of a uniform one.
     """
     shape = df / 2
     up = F.when(shape < 1, shape + 1).otherwise(shape)
     d = up - F.lit(1.0 / 3.0)
-    tries = []
-    for k in range(GAMMA_TRIES):
-        x = normal(seed, f"gamma{k}", *keys)
-        v = F.pow(F.lit(1.0) + x / F.sqrt(d * 9), F.lit(3))
-        u = F.lit(1.0) - uniform(seed, f"gamma{k}.u", *keys)
-        good = (v > 0) & (F.log(u) < x * x * 0.5 + d - d * v + d * F.log(F.when(v > 0, v)))
-        tries.append(F.when(good, d * v))
+
+    def attempt(k: Column) -> Column:
+        name = F.concat(F.lit("gamma"), k.cast("string"))
+
+        def judged(x: Column, v: Column) -> Column:
+            u = F.lit(1.0) - uniform(seed, F.concat(name, F.lit(".u")), *keys)
+            good = (v > 0) & (F.log(u) < x * x * 0.5 + d - d * v + d * F.log(F.when(v > 0, v)))
+            return F.when(good, d * v)
+
+        return bound(normal(seed, name, *keys), lambda x: bound(F.pow(F.lit(1.0) + x / F.sqrt(d * 9), F.lit(3)), lambda v: judged(x, v)))
+
+    none = F.lit(None).cast("double")
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(GAMMA_TRIES - 1)), none, lambda done, k: F.coalesce(done, attempt(k)))
     low = F.when(shape < 1, F.pow(F.lit(1.0) - uniform(seed, "gamma.low", *keys), F.lit(1.0) / shape)).otherwise(1.0)
-    return F.coalesce(*tries, d) * low * 2
+    return F.coalesce(found, d) * low * 2
 
 
 def add_business_days(day: Column, n: Column) -> Column:

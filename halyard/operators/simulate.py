@@ -129,10 +129,7 @@ def block_index(plan: DataFrame, pool: DataFrame, spec: DataFrame, steps: DataFr
 
     A step begins a block with probability 1 / mean; the row is that of the block's start, moved on by the steps since.
     """
-    sizes = pool.groupBy("unit_id", "salt", "pool").agg(F.max("n").alias("n")).join(pool.select("unit_id", "salt", "asset").distinct().join(spec.select(*KEYS, "freq"), KEYS).groupBy("unit_id", "salt").agg(F.first("freq").alias("freq")), ["unit_id", "salt"])
-    # an asset without a shock walks alone, on normal ones
-    bare = spec.join(pool.select(*KEYS).distinct(), KEYS, "left_anti").select("unit_id", F.col("asset").alias("salt"), F.explode(F.array(F.lit("full"), F.lit("recent"))).alias("pool"), F.lit(0).cast("bigint").alias("n"), "freq")
-    sizes = sizes.unionByName(bare)
+    sizes = _salts(pool, spec)[0]
     longest = steps.groupBy("unit_id").agg(F.max("step").alias("longest"))
     rows = plan.join(sizes, ["unit_id", "pool"]).join(longest, "unit_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("longest"))))
     keys = ("unit_id", "draw", "salt", "step")
@@ -149,7 +146,7 @@ def paths(index: DataFrame, pool: DataFrame, spec: DataFrame, vol: DataFrame, st
     overlays: unit_id, scenario, asset, drift, vol_mult; what is missing is 0 and 1. Pools of fewer than 30 rows give way
     to normal shocks.
     """
-    members = pool.select("unit_id", "salt", "asset").distinct().unionByName(spec.join(pool.select(*KEYS).distinct(), KEYS, "left_anti").select("unit_id", F.col("asset").alias("salt"), "asset"))
+    members = _salts(pool, spec)[1]
     rows = index.join(members, ["unit_id", "salt"]).join(pool.drop("n", "salt"), ["unit_id", "pool", "asset", "row_id"], "left")
     first = steps.groupBy(*KEYS).agg(F.min_by("step", "horizon").alias("first_step"))
     first = first.join(vol.withColumnRenamed("step", "first_step").select(*KEYS, "first_step", F.sqrt("cum_var").alias("first_sd")), [*KEYS, "first_step"])
@@ -169,6 +166,65 @@ def samples(walked: DataFrame, spec: DataFrame, steps: DataFrame) -> DataFrame:
     return rows.select("unit_id", F.col("draw").cast("int").alias("draw"), "asset", F.col("horizon").cast("int").alias("horizon"), value.alias("value"))
 
 
+def _salts(pool: DataFrame, spec: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unit_id, pool, salt, n, freq: what one index walks through; unit_id, salt, asset: the assets that it drives)."""
+    members = pool.select("unit_id", "salt", "asset").distinct()
+    freq = members.join(spec.select(*KEYS, "freq"), KEYS).groupBy("unit_id", "salt").agg(F.first("freq").alias("freq"))
+    sizes = pool.groupBy("unit_id", "salt", "pool").agg(F.max("n").alias("n")).join(freq, ["unit_id", "salt"])
+    # an asset without a shock walks alone, on normal ones
+    bare = spec.join(pool.select(*KEYS).distinct(), KEYS, "left_anti")
+    alone = bare.select("unit_id", F.col("asset").alias("salt"), F.explode(F.array(F.lit("full"), F.lit("recent"))).alias("pool"), F.lit(0).cast("bigint").alias("n"), "freq")
+    return sizes.unionByName(alone), members.unionByName(bare.select("unit_id", F.col("asset").alias("salt"), "asset"))
+
+
+def walks(plan: DataFrame, pool: DataFrame, spec: DataFrame, vol: DataFrame, steps: DataFrame, overlays: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """unit_id, draw, asset, horizon, value: what samples(paths(block_index(...))) gives, with a path as an array in one row.
+
+    Steps never become rows: a draw's index is folded into an array, which each asset's row uses to pick shocks out of its
+    pool, an array too, and to sum them up. So draws x steps are neither shuffled nor sorted; what is joined are draws, and
+    small tables of units and assets.
+    """
+    sizes, members = _salts(pool, spec)
+    shocks = pool.groupBy("unit_id", "pool", "asset").agg(F.array_sort(F.collect_list(F.struct("row_id", "shock"))).alias("s")).select("unit_id", "pool", "asset", F.col("s.shock").alias("shocks"))
+    scale = vol.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("step", "sigma", "cum_var"))).alias("v"))
+    ends = steps.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("horizon", "step"))).alias("ends"))
+    facts = spec.select(*KEYS, "prior_drift", "space", "anchor").join(ends, KEYS).join(scale, KEYS)
+    first = F.col("ends")[0]["step"]
+    facts = facts.select(*KEYS, "prior_drift", "space", "anchor", "ends", F.col("v.sigma").alias("sigmas"), (F.sqrt(F.element_at("v", first)["cum_var"]) / first).alias("drift_unit"))
+    shocks, facts, sizes, members = (settled(df, name) for df, name in ((shocks, "pool-arrays"), (facts, "asset-arrays"), (sizes, "salt-sizes"), (members, "salt-members")))
+
+    longest = steps.groupBy("unit_id").agg(F.max("step").alias("longest"))
+    rows = plan.join(sizes, ["unit_id", "pool"]).join(longest, "unit_id")
+    keys = ("unit_id", "draw", "salt")
+    chance = F.lit(1.0) / by_freq(config.block_daily, config.block_monthly)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("path"))
+
+    def move(done: Column, k: Column) -> Column:
+        begins = (k == 1) | (uniform(config.seed, "jump", *keys, k) < chance)
+        at = F.when(begins, F.floor(uniform(config.seed, "start", *keys, k) * F.col("n"))).otherwise(F.pmod(done["at"] + 1, F.nullif(F.col("n"), F.lit(0)))).cast("bigint")
+        return F.struct(at.alias("at"), F.array_append(done["path"], at).alias("path"))
+
+    index = F.aggregate(F.sequence(F.lit(1), F.col("longest")), start, move, lambda done: done["path"])
+    rows = rows.select("unit_id", "draw", "scenario", "pool", "vol_factor", "tail", "salt", "n", index.alias("index"))
+    rows = rows.join(members, ["unit_id", "salt"]).join(facts, KEYS).join(overlays, ["unit_id", "scenario", "asset"], "left").join(shocks, ["unit_id", "pool", "asset"], "left")
+    drift = F.col("prior_drift") + F.coalesce("drift", F.lit(0.0)) * F.col("drift_unit")
+    width = F.coalesce("vol_mult", F.lit(1.0))
+
+    def step(done: Column, k: Column) -> Column:
+        drawn = F.get(F.col("shocks"), F.element_at("index", k))
+        shock = F.when(F.col("n") >= config.min_pool_rows, drawn).otherwise(normal(config.seed, "gauss", "unit_id", "draw", "asset", k))
+        base = F.when(F.col("pool") == "stress", drawn).otherwise(shock * F.col("tail") * F.element_at("sigmas", k) * F.col("vol_factor"))
+        total = done["cum"] + (base * width + drift)
+        return F.struct(total.alias("cum"), F.array_append(done["path"], total).alias("path"))
+
+    begin = F.struct(F.lit(0.0).alias("cum"), F.array().cast("array<double>").alias("path"))
+    cum = F.aggregate(F.sequence(F.lit(1), F.size("index")), begin, step, lambda done: done["path"])
+    rows = rows.select("unit_id", F.col("draw").cast("int").alias("draw"), "asset", "space", "anchor", cum.alias("cum"), F.explode("ends").alias("end"))
+    x = F.element_at("cum", F.col("end.step"))
+    value = F.when(F.col("space") == "log", F.col("anchor") * F.exp(x)).when(F.col("space") == "diff", F.col("anchor") + x).otherwise(x)
+    return rows.select("unit_id", "draw", "asset", F.col("end.horizon").cast("int").alias("horizon"), value.alias("value"))
+
+
 def neutral(units: DataFrame) -> DataFrame:
     return units.select("unit_id", F.lit(0).alias("scenario"), F.lit(1.0).alias("weight"))
 
@@ -201,8 +257,7 @@ def run(rows: DataFrame, units: DataFrame, n_draws: int = 2000, scenarios: DataF
     if overlays is None:
         overlays = spec.limit(0).select("unit_id", F.lit(0).alias("scenario"), "asset", F.lit(0.0).alias("drift"), F.lit(1.0).alias("vol_mult"))
     plan = settled(draw_plan(units, scenarios, pool, spec, n_draws, config), "draw-plan")
-    index = block_index(plan, pool, spec, steps, config)
-    draws = samples(paths(index, pool, spec, vol, steps, overlays, config), spec, steps)
+    draws = walks(plan, pool, spec, settled(vol, "vol-path"), steps, overlays, config)
     return Simulation(units, spec, steps, vol, mode, pool, plan, draws)
 
 
