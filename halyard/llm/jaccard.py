@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.common import bitmap, in_bitmap, mix64, tidy, word_hashes, written
@@ -299,21 +299,40 @@ def _verified(pairs: DataFrame, source: DataFrame, words: int, members: DataFram
     return written(both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "jaccard-links")
 
 
-#: n-grams of members that meet a copy of their leader's set in one group.
+#: n-grams of members that meet a copy of their base in one group.
 MEET = 1 << 18
+#: Classes of a leader whose common n-grams are its base.
+VOTERS = 25
+
+
+def _bases(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """lead, base: the n-grams that most of a few of a leader's classes hold, drawn by a hash.
+
+    Copies of one text that each differ in places of their own have nothing in common against it, as they would have against
+    any one of them. Which base it is changes no link, only how many pairs are looked at.
+    """
+    order = Window.partitionBy("lead").orderBy(F.xxhash64("cid", "lead"))
+    drawn = stars.withColumn("r", F.row_number().over(order)).where(F.col("r") <= VOTERS).select("lead", "cid").join(sets, "cid")
+
+    def vote(some: pd.DataFrame) -> pd.DataFrame:
+        grams, held = np.unique(np.concatenate([np.asarray(x, np.int64) for x in some["grams"]]), return_counts=True)
+        return pd.DataFrame({"lead": some["lead"].iloc[:1], "base": [grams[2 * held > len(some)]]})
+
+    return drawn.groupBy("lead").applyInPandas(vote, "lead bigint, base array<bigint>")
 
 
 def _differences(stars: DataFrame, sets: DataFrame, counts: Broadcast, percent: int) -> DataFrame:
-    """lead, cid, n, d, slack, keys: how each class differs from its leader.
+    """lead, cid, n, d, slack, keys: how each class differs from its leader's base.
 
     d: n-grams that only one of both has. Two classes of a leader differ in d + d' n-grams at most, so they link if their
     slacks add up to 0 or more; the class of most slack links with every class of such a pair. All others that link have
     differences in common; keys holds the hashed first of them, those likely to be rare first, as in a prefix join.
     """
+    sets = written(sets, "jaccard-star-sets")
     sized = stars.join(sets, "cid").withColumn("n", F.size("grams"))
     parts = sized.groupBy("lead").agg(F.sum("n").cast("long").alias("words")).select("lead", F.ceil(F.col("words") / MEET).cast("int").alias("parts"))
     sized = sized.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    leaders = parts.join(sets, F.col("lead") == F.col("cid")).select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "grams").toDF("leader", "share", "base")
+    leaders = parts.join(_bases(stars, sets), "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "base").toDF("leader", "share", "base")
     rest, whole = 100 - percent, 100 + percent
 
     def differ(mine: pd.DataFrame, leader: pd.DataFrame) -> pd.DataFrame:
@@ -343,7 +362,13 @@ def _apart(far: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     inside = _in_reach(rows, "jaccard-reach")
     several = inside.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
     met = written(inside.join(several, "key"), "jaccard-apart")
-    return met.join(met.toDF("key", "b", "lo_b", "hi_b", "label_b"), "key").where("cid < b and label != label_b and lo <= hi_b and lo_b <= hi").select(F.col("cid").alias("a"), "b").distinct()
+    pairs = met.join(met.toDF("key", "b", "lo_b", "hi_b", "label_b"), "key").where("cid < b and label != label_b and lo <= hi_b and lo_b <= hi").select(F.col("cid").alias("a"), "b").distinct()
+    # of what two classes of one leader differ in they must share as much as the bound asks for, in their first differences or beyond
+    most = far.groupBy("lead", "cid").agg(F.first("n").alias("n"), F.first("d").alias("d"), F.first("keys").alias("keys"))
+    x, y = most.toDF("lead", "a", "n", "d", "x"), most.toDF("lead", "b", "m", "e", "y")
+    both = written(pairs, "jaccard-apart-pairs").join(x, "a").join(y, ["lead", "b"])
+    shared = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("d") - F.size("x"), F.col("e") - F.size("y"))
+    return both.where((100 + percent) * (F.col("d") + F.col("e") - 2 * shared) <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -141,7 +141,7 @@ def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, r
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[LabelModel, Scorer]:
-    """Counts the vote patterns of all texts, runs EM, trains the scorer on MAX_TEXTS texts at most, drawn by a hash."""
+    """Counts the vote patterns of all texts, runs EM, trains the scorer on about MAX_TEXTS texts at most, drawn by a hash; rows of one id and text count once there."""
     source = df.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,10 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Labe
     count = np.array([r["n"] for r in table], float)
     model = expectation_maximisation(patterns, count)
     share = MAX_TEXTS / max(1.0, count.sum())
-    sample = source if share >= 1 else source.where(F.xxhash64("d", "t") < hash_below(share))
+    key = F.xxhash64("d", "t")
+    sample = source if share >= 1 else source.where(key < hash_below(share))
+    # a hash takes all copies of a row or none: they count once, so that no row's copies fill the sample
+    sample = sample.groupBy(key.alias("key")).agg(F.first("t").alias("t"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}

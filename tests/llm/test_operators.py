@@ -120,6 +120,29 @@ def test_jaccard_of_many_near_copies(spark, n, percent):
     assert {r.doc_id: r.component_id for r in got} == want and 3 < len(set(want.values())) < len(texts)
 
 
+def test_jaccard_of_copies_of_an_absent_template(spark, monkeypatch):
+    """Copies that each change four words of their own: hardly a pair is verified, though all share most of their n-grams."""
+    seen, apart = [], jaccard._apart
+
+    def counted(*args):
+        pairs = apart(*args).cache()
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_apart", counted)
+    for n in (150, 450):
+        rng = np.random.default_rng(1)
+        texts = []
+        for i in range(n):
+            ws = [f"t{k}" for k in range(302)]
+            for k in rng.choice(302, 4, replace=False):
+                ws[k] = f"e{i}x{k}"
+            texts.append(" ".join(ws))
+        got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute_components(texts, 3, 90)
+    assert all(k <= n for k, n in zip(seen, (150, 450), strict=True))
+
+
 def test_jaccard_of_very_long_texts(spark):
     n, common = 380_000, 360_000  # 0.9 exactly
     rows = [(k, " ".join(f"{'c' if i < common else 'ab'[k]}{i}" for i in range(n))) for k in range(2)]
@@ -308,6 +331,15 @@ def test_quality_scores_every_row(docs, texts):
     assert got.count() == len(texts) and got.select("doc_id").distinct().count() == len(texts)
 
 
+def test_copies_do_not_fill_the_quality_sample(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(quality, "MAX_TEXTS", 50)
+    monkeypatch.setattr(quality, "train", lambda rows: met.append(len(rows)))
+    rows = [(None, "the same boilerplate text of a null id")] * 5000 + [(i, f"text {i} of its own") for i in range(1000)]
+    quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert met[0] <= 50
+
+
 def test_empty_tables(spark, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
