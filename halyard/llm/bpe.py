@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
 
-from halyard.llm.common import tidy
+from halyard.llm.common import release, tidy
 
 _NONE = np.int64(1 << 62)
 #: Bits of a place in a word: words of up to 2^40 bytes beside ranks of up to 2^22.
@@ -146,6 +145,8 @@ def odd_points(path: str) -> tuple[tuple[tuple[int, str], ...], tuple[tuple[int,
 
     The library tells: between two letters a letter makes one piece, between two marks another mark does, white space none.
     """
+    from tokenizers import Tokenizer  # only the driver asks the library, and only here
+
     tok = Tokenizer.from_file(path)
     cut, normal = tok.pre_tokenizer.pre_tokenize_str, tok.normalizer.normalize_str
     kind = regex.compile(r"(\p{L})|(\p{N})|(\s)")
@@ -168,6 +169,8 @@ def odd_points(path: str) -> tuple[tuple[tuple[int, str], ...], tuple[tuple[int,
                 kinds.append((i, is_now))
             if is_now != "S" and lower[k] != _normal(chr(i)):
                 cases.append((i, lower[k]))
+    del tok, cut, normal
+    release()
     return tuple(kinds), tuple(cases)
 
 

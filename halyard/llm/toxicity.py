@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import hash_below, tidy
+from halyard.llm.common import hash_below, release, tidy
 
 DECAY, SPAN = 0.7, 5
 #: (second letter, third letter) offsets of the subsequences.
@@ -221,6 +221,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
         got = bags.select("tokens", "y").mapInArrow(tidy(margin), "m double, y int").toPandas()
     finally:
         bags.unpersist()
+    release()
     return _calibrated(model, got["m"].to_numpy(), got["y"].to_numpy())
 
 
