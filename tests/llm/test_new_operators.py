@@ -126,6 +126,31 @@ def test_hard_negatives(spark, block):
     assert sorted(tuple(r) for r in got) == brute_negatives(rows, 5) and len(got) > 100
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_hard_negatives_shuffle_no_tiles(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=16)], i % 11, "", 0, 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, VECTORS)
+    before = shuffled(spark)
+    assert negatives.mine(df, F.col("vec_id") % 3 == 0).count() > 10_000
+    assert shuffled(spark) - before < 16_000_000  # the scores alone are 96 MB
+
+
+def test_hard_negatives_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "STRIP", (4, 9))
+    monkeypatch.setattr(negatives, "CHUNK", 3)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 8) / 5 + 0.3], int(rng.integers(0, 4))) for i in range(120)]
+    df = spark.createDataFrame([(*r, "z", 1, 2) for r in rows], VECTORS).repartition(3)
+    assert sorted(tuple(r) for r in negatives.mine(df, F.col("vec_id") % 5 == 0).collect()) == brute_negatives(rows, 5)
+
+
 def test_hard_negatives_of_large_components(spark):
     rows = [(i, [float((i * 7919 + k * 104729) % 1000003) * 1.5 for k in range(18)], i % 3) for i in range(40)]
     df = spark.createDataFrame([(*r, "z", 1, 2) for r in rows], VECTORS)
