@@ -141,8 +141,8 @@ class Scorer:
         return [max([known[t] for t in f], default=self.model.bias) for f in found]
 
 
-#: Tokens whose Nyström features are computed, or rows that enter a Newton step, at a time.
-TOKENS, ROWS = 250, 4096
+#: Tokens whose features are computed, landmarks that they meet, or rows that enter a Newton step, at a time.
+TOKENS, MARKS, ROWS = 500, 48, 4096
 
 
 def _svm(parts: list[tuple[np.ndarray, float, float]], reg: float = 1e-3, rounds: int = 40) -> np.ndarray:
@@ -200,7 +200,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
         try:
             ratio = (F.col("bad") / total[1]) / ((F.col("good") + 0.5) / total[0])
             top = seen.where("bad > 0").orderBy(F.desc(F.when(F.col("bad") > 1, ratio).otherwise(0)), F.desc("bad"), "token").limit(MAX_CANDIDATES).collect()
-            clean = [r["token"] for r in seen.where("good > 0 and bad * 4 < good * 3").orderBy(F.xxhash64("token")).select("token").limit(MAX_CLEAN).collect()]
+            clean = seen.where("good > 0 and bad * 4 < good * 3").orderBy(F.xxhash64("token")).select("token").limit(MAX_CLEAN).toArrow()["token"].to_pylist()
         finally:
             seen.unpersist()
         # at most MAX_CANDIDATES names; of each toxic text their numbers, as Arrow
@@ -218,7 +218,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
                 got = [max(scorer.model.margins(t).tolist(), default=scorer.model.bias) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], names=["m", "y"])
 
-        got = bags.select("tokens", "y").mapInArrow(tidy(margin), "m double, y int").toPandas()
+        got = bags.select("tokens", "y").mapInArrow(tidy(margin), "m double, y int").toArrow()
     finally:
         bags.unpersist()
     release()
@@ -254,20 +254,38 @@ def explain(bags: list[set[str]], odds: dict[str, float], least: float = 0.9, sh
     return out
 
 
-def _mapped(tokens: list[str], phi: np.ndarray, white: np.ndarray) -> np.ndarray:
-    """The tokens' Nyström features and a 1, a few tokens at a time."""
+def _margins(tokens: list[str], weights: np.ndarray) -> np.ndarray:
+    """linear, some tokens at a time: what many tokens need besides their sums stays small."""
+    return np.concatenate([linear(tokens[i : i + 4 * TOKENS], weights) for i in range(0, len(tokens), 4 * TOKENS)] or [linear(tokens, weights)])
+
+
+def _kernel(tokens: list[str], marks: list[str]) -> np.ndarray:
+    """The kernel of tokens and landmarks, some of each at a time; a landmark's features alone are CODES numbers."""
+    out = np.empty((len(tokens), len(marks)), np.float32)
+    for k in range(0, len(marks), MARKS):
+        phi = features(marks[k : k + MARKS])
+        for i in range(0, len(tokens), TOKENS):
+            out[i : i + TOKENS, k : k + MARKS] = linear(tokens[i : i + TOKENS], phi)
+    return out
+
+
+def _mapped(tokens: list[str], marks: list[str], white: np.ndarray) -> np.ndarray:
+    """The tokens' Nyström features and a 1."""
     out = np.ones((len(tokens), white.shape[1] + 1), np.float32)
-    for i in range(0, len(tokens), TOKENS):
-        out[i : i + TOKENS, :-1] = linear(tokens[i : i + TOKENS], phi) @ white
+    for i in range(0, len(tokens), 4 * TOKENS):
+        out[i : i + 4 * TOKENS, :-1] = _kernel(tokens[i : i + 4 * TOKENS], marks) @ white
     return out
 
 
 def _train(bad: list[str], clean: list[str], rounds: int = 3) -> Model:
     """Each round adds the clean tokens that the model so far finds worst, so that few of a long text's words stand out."""
-    near = linear(clean, features(bad[: LANDMARKS // 2]).max(1))
+    first = bad[: LANDMARKS // 2]
+    near = np.zeros(CODES, np.float32)
+    for k in range(0, len(first), MARKS):
+        near = np.maximum(near, features(first[k : k + MARKS]).max(1))
+    near = _margins(clean, near)
     hard = [clean[i] for i in np.argsort(-near, kind="stable")[:2000]]
-    marks = bad[: LANDMARKS // 2] + hard[: LANDMARKS - min(len(bad), LANDMARKS // 2)]
-    phi = features(marks)
+    marks = first + hard[: LANDMARKS - len(first)]
     # toxic tokens also with a letter inserted, doubled or lost, as they are written to get past word lists
     rng = np.random.Generator(np.random.PCG64(7))
     odd = []
@@ -276,16 +294,19 @@ def _train(bad: list[str], clean: list[str], rounds: int = 3) -> Model:
             i = int(rng.integers(1, len(t)))
             odd.append(t[:i] + chr(97 + int(rng.integers(26))) + t[i:])
             odd.append(t[:i] + t[i - 1] + t[i:])
-    value, vector = np.linalg.eigh((phi.T @ phi).astype(float) + 1e-4 * np.eye(len(marks)))
+    value, vector = np.linalg.eigh(_kernel(marks, marks).astype(float) + 1e-4 * np.eye(len(marks)))
     white = (vector / np.sqrt(np.maximum(value, 1e-4))).astype(np.float32)
-    positive, rest = _mapped(bad + odd, phi, white), _mapped(clean[:20_000], phi, white)
+    positive, rest = _mapped(bad + odd, marks, white), _mapped(clean[:20_000], marks, white)
     met = list(dict.fromkeys(hard))
     for turn in range(rounds):
-        more = _mapped(met, phi, white)
+        more = _mapped(met, marks, white)
         w = _svm([(positive, 1.0, 0.5 / len(positive)), (more, -1.0, 0.5 / (len(more) + len(rest))), (rest, -1.0, 0.5 / (len(more) + len(rest)))])
-        table = (phi @ (white @ w[:-1])).astype(np.float32)
+        share, table = white @ w[:-1], np.zeros(CODES)
+        for k in range(0, len(marks), MARKS):
+            table += features(marks[k : k + MARKS]) @ share[k : k + MARKS]
+        table = table.astype(np.float32)
         if turn < rounds - 1:
-            worst = np.argsort(-linear(clean, table), kind="stable")[:2000]
+            worst = np.argsort(-_margins(clean, table), kind="stable")[:2000]
             met = list(dict.fromkeys([*met, *(clean[i] for i in worst)]))
     return Model(table, float(w[-1]), 1.0, 0.0, tuple(marks))
 

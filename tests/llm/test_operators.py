@@ -1,6 +1,8 @@
 """The training-data operators against brute force, on small tables with nulls, empty and repeated rows and odd columns."""
 
 import hashlib
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -358,3 +360,16 @@ def test_repeated_rows_stay(spark, docs):
     twice = docs.where("doc_id in (0, 3, 6)").unionByName(docs.where("doc_id in (0, 3, 6)"))
     assert jaccard.near_duplicates(twice).count() == 6 and substring.dedup(twice).count() == 6 and mixing.mix(twice).count() == 6
     assert jaccard.representatives(twice).select(F.count("*")).first()[0] == 4  # of equal rows one stays; those without words all do
+
+
+def test_toxicity_training_fits_the_driver():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 13))) for _ in range(21_000)})
+    tracemalloc.start()
+    try:
+        model = toxicity._train([w + "zq" for w in words[:60]], words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.margins([words[0] + "zq"])[0] > model.margins([words[500]])[0]
+    assert peak < 90_000_000  # all landmarks' features at once take 50 MB, and 100 MB in doubles
