@@ -148,25 +148,30 @@ def volatility(moves: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """
     size = scan_size(config)
     halflife = by_freq(config.halflife_daily, config.halflife_monthly)
-    rows = moves.withColumn("rn", F.row_number().over(by_date())).withColumn("n", F.count("*").over(asset_rows()))
+    # windows of one order that need no other's result are one step of the task, with one store of rows
+    every = by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = moves.withColumns({"rn": F.row_number().over(by_date()), "n": F.count("*").over(every), "dev": F.stddev_samp("x").over(every), "size": F.avg(F.abs("x")).over(every)})
     rows = rows.withColumn("bucket", F.floor((F.col("rn") - 1) / size)).withColumn("place", F.col("rn") - 1 - F.col("bucket") * size)
-    one = Window.partitionBy(*KEYS, "bucket")
+    # one order for all that follows: buckets follow dates, so a series is sorted once more and no further
+    dated = Window.partitionBy(*KEYS).orderBy("bucket", "date")
+    whole = dated.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = Window.partitionBy(*KEYS, "bucket").orderBy("date")
     weight = F.pow(F.lit(2.0), (F.col("place") - size / 2) / halflife)
     rows = rows.withColumn("weight", weight).withColumn("w", F.col("weight") * F.col("x") * F.col("x"))
     # a full bucket's sum at its end; rows one bucket on see it at the same place
-    rows = rows.withColumn("total", F.sum("w").over(one) / F.pow(F.lit(2.0), (F.lit(size - 1) - size / 2) / halflife))
-    inside = F.sum("w").over(one.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) / F.col("weight")
+    rows = rows.withColumn("total", F.sum("w").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / F.pow(F.lit(2.0), (F.lit(size - 1) - size / 2) / halflife))
+    inside = F.sum("w").over(one.rowsBetween(Window.unboundedPreceding, 0)) / F.col("weight")
     rows = rows.withColumn("inside", inside)
-    carried = [F.lag("total", (k + 1) * size).over(by_date()) for k in range(scan_reach(config))]
+    carried = [F.lag("total", (k + 1) * size).over(dated) for k in range(scan_reach(config))]
     square = decayed(F.col("inside"), carried, F.col("place"), halflife, size)
     rows = rows.withColumn("vol", F.when(F.col("rn") >= 5, F.sqrt(square / decayed_count(F.col("rn"), halflife))))
-    rows = rows.withColumn("vol_full", F.when(F.col("n") > 2, F.stddev_samp("x").over(asset_rows())).otherwise(F.avg(F.abs("x")).over(asset_rows())))
+    rows = rows.withColumn("vol_full", F.when(F.col("n") > 2, F.col("dev")).otherwise(F.col("size")))
     # the first five rows have no volatility before them and take the first there is
-    rows = rows.withColumn("before", F.coalesce(F.lag("vol").over(by_date()), F.when(F.col("n") > 5, F.max(F.when(F.col("rn") == 5, F.col("vol"))).over(asset_rows()))))
+    before = F.coalesce(F.lag("vol").over(dated), F.when(F.col("n") > 5, F.max(F.when(F.col("rn") == 5, F.col("vol"))).over(whole)))
+    rows = rows.withColumns({"before": before, "final": F.max_by("vol", "date").over(whole)})
     rows = rows.withColumn("lagged", F.when(F.col("before").isNotNull(), F.greatest("before", config.z_floor * F.col("vol_full"))))
-    final = F.max_by("vol", "date").over(asset_rows())
-    rows = rows.withColumn("z", F.col("x") / F.nullif(F.col("lagged"), F.lit(0.0))).withColumn("vol0", F.when(final > 0, final).otherwise(F.col("vol_full")))
-    return rows.drop("weight", "w", "bucket", "place", "total", "inside", "before")
+    rows = rows.withColumn("z", F.col("x") / F.nullif(F.col("lagged"), F.lit(0.0))).withColumn("vol0", F.when(F.col("final") > 0, F.col("final")).otherwise(F.col("vol_full")))
+    return rows.drop("weight", "w", "bucket", "place", "total", "inside", "before", "final", "dev", "size")
 
 
 def stress(rows: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -220,8 +225,11 @@ def prepare(panels: DataFrame, units: DataFrame, config: Config = DEFAULT) -> tu
     """(a row for each increment of the units that can be forecast, every asked asset with n and sound)."""
     moves = settled(increments(working(frequency(series(panels, units)))), "moves")
     references = settled(reference_moves(panels, units), "reference-moves")
-    moves = with_proxies(moves, references, peg_proxies(moves, references, config))
-    rows = settled(stress(volatility(moves, config), config), "prepared")
+    # settled step by step, as every sort and window of a task holds pages until the task ends
+    proxies = settled(peg_proxies(moves, references, config), "proxies")
+    moves = settled(with_proxies(moves, references, proxies), "proxied-moves")
+    moved = settled(volatility(moves, config), "volatility")
+    rows = settled(stress(moved, config), "prepared")
     assets = settled(sound_assets(rows.where("rn = 1"), units), "asked-assets")
     return rows.join(assets.where("sound").select(*KEYS), KEYS, "left_semi"), assets
 

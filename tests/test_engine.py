@@ -158,3 +158,11 @@ def test_sparse_scenarios_cover_all_assets_of_a_unit(spark):
     assert got == {(0, "X"): (0.75, 0.35, 1.0), (0, "Y"): (0.75, 0.0, 1.0), (0, "Z"): (0.75, 0.0, 1.0), (1, "X"): (0.25, 0.0, 1.0), (1, "Y"): (0.25, 0.0, 1.5), (1, "Z"): (0.25, 0.0, 1.0)}
     back = adjustments(raw, none, cards, cards, assets=assets).where("unit_id = 'w'").collect()
     assert [(r.scenario, r.weight, r.asset, r.drift) for r in back] == [(0, 1.0, "X", 0.5)]
+
+
+def test_volatility_sorts_a_series_twice(spark):
+    """Every sort and every window of a task holds pages until it ends, so there are few of them."""
+    schema = "unit_id string, asset string, panel string, freq string, space string, date date, anchor double, last_date date, mean_level double, x double"
+    plan = series.volatility(spark.createDataFrame([], schema).repartition(2))._jdf.queryExecution().sparkPlan().toString()
+    executed = series.volatility(spark.createDataFrame([], schema).repartition(2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 4 and executed.count("Sort [") <= 2
