@@ -14,7 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from halyard.llm.common import release, tidy
+from halyard.llm.common import keep as kept
+from halyard.llm.common import release, small_batches, tidy
 
 _NONE = np.int64(1 << 62)
 #: Bits of a place in a word: words of up to 2^40 bytes beside ranks of up to 2^22.
@@ -267,12 +268,14 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     schema += ["ids array<int>", "decoded string"] * tokens + ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]
 
     odd = odd_points(path)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, odd)
+        kept("bpe", tokenizer.cache_clear)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
                 got = list(tok.encode([t or "" for t in b.column(text).to_pylist()]))
                 cols = [b.column(c) for c in keep]
                 if tokens:
@@ -281,4 +284,4 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *["ids", "decoded"] * tokens, "n_tokens", "ids_sha256", "decoded_sha256"])
         tok.forget()
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), ", ".join(schema))
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run, "bpe"), ", ".join(schema))

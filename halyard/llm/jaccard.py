@@ -22,7 +22,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import bitmap, in_bitmap, mix64, tidy, word_hashes, written
+from halyard.llm.common import bitmap, in_bitmap, mix64, small_batches, tidy, word_hashes, written
 from halyard.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -108,6 +108,7 @@ def sketch(df: DataFrame, text: str, n: int) -> np.ndarray:
 def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, cid, n; component of each linked class: node, label). cid is null for empty sets."""
     spark = df.sparkSession
+    small_batches(spark)
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = spark.sparkContext.broadcast(sketch(source, "text", words))
 

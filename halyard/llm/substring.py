@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import bitmap, in_bitmap, mix64, tidy, word_hashes, written
+from halyard.llm.common import bitmap, in_bitmap, mix64, small_batches, tidy, word_hashes, written
 
 WINDOW = 13
 ROUNDS = 1
@@ -269,6 +269,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     text as it is where nothing is removed (kept_sha256 is of the joined words always). Null texts have no words and stay
     null; texts of which all is removed are empty. See repeats() for null and repeated ids.
     """
+    small_batches(df.sparkSession)
     spans = written(repeats(df, doc_id, text, window).withColumnsRenamed({"doc": "_d", "key": "_k", "spans": "_spans"}), "substring-spans")
     hit = df.sparkSession.sparkContext.broadcast(bitmap(spans, "_k"))
     names = list(dict.fromkeys([*keep, text]))

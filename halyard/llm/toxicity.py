@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import hash_below, release, tidy
+from halyard.llm.common import hash_below, release, small_batches, tidy
 
 DECAY, SPAN = 0.7, 5
 #: (second letter, third letter) offsets of the subsequences.
@@ -172,6 +172,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     of one id the largest counts. Texts of equal tokens count once, toxic if half of their rows are. None if there is no
     toxic or no clean text to learn from.
     """
+    small_batches(df.sparkSession)
     known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("_l")).agg(F.max(toxic).alias("y"))
     if fold is not None:
         known = known.where(F.pmod(F.crc32(F.col("_l").cast("string").cast("binary")), F.lit(3)) != fold)
@@ -334,6 +335,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[st
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], "score double", "predicted int"])
     if model is None:
         return df.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
