@@ -8,6 +8,7 @@ exceptions, their places and whole differences. Lengths are little-endian.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from halyard.llm.bpe import byte_alphabet
-from halyard.llm.common import shared_dir, written
+from halyard.llm.common import shared_dir, small_batches, written
 from halyard.llm.files import create, reopen, rows_of, spread
 
 MAGIC = b"PFORIDS1"
@@ -162,9 +163,12 @@ class ByteBPE:
 
     #: A word after a space whose text is encoded whole, and one whose text is, unless it ends there.
     WHOLE, ENDS = re.compile(r"^$|^\s|<\|"), re.compile(r"\s$")
-    SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*()|-]{0,4})").fullmatch
+    #: Letters and marks after them, once or, around a line's end, twice.
+    SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*()|-]{0,4})(?:\n([^\W\d_]+)([.,;:!?#$%&*()|-]{0,4}))?").fullmatch
 
     def __init__(self, path: str):
+        # a task has a core; the library's own threads would only wait for each other there
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -172,7 +176,8 @@ class ByteBPE:
         self.known: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
         self.last: dict[str, bytes] = {}
-        self.model, self.heads, self.tails = self.tok.model, {}, {}
+        self.model, self.heads, self.bare, self.tails = self.tok.model, {}, {}, {}
+        self.line = pack_whole(self.tok, "\n")
         self.letters = dict(enumerate(byte_alphabet()))
 
     def _marks(self, tail: str) -> bytes:
@@ -180,10 +185,21 @@ class ByteBPE:
             self.tails[tail] = pack_whole(self.tok, tail)
         return self.tails[tail]
 
+    def _letters(self, head: str, space: str, known: dict[str, bytes]) -> bytes:
+        """The ids of letters after this space or none, of which known holds those met."""
+        ids = known.get(head)
+        if ids is None:
+            piece = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
+            got = [t.id for t in self.model.tokenize(space + piece)]
+            ids = known[head] = struct.pack(f"<{len(got)}I", *got)
+        return ids
+
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE_CHUNKS:
             self.known, self.before, self.last = {}, self.known, {}
-            self.heads, self.tails = {}, {}
+            self.tails = {}
+            if len(self.heads) + len(self.bare) > CACHE_CHUNKS:
+                self.heads, self.bare = {}, {}
         new = words.difference(self.known)
         if self.before:
             old = {w: x for w in new.intersection(self.before) if (x := self.before[w]) is not None}
@@ -193,14 +209,19 @@ class ByteBPE:
         for w in new:
             # letters and the marks after them are pieces of their own, so each is looked up once for many words
             m = self.SIMPLE(w)
-            if m and (head := m[1]).isalpha():
-                ids = self.heads.get(head)
-                if ids is None:
-                    piece = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
-                    ids = self.heads[head] = np.array([t.id for t in self.model.tokenize("\u0120" + piece)], "<u4").tobytes()
-                self.known[w] = ids + self._marks(m[2]) if m[2] else ids
-            else:
-                todo.append(w)
+            if m:
+                head, tail, below, end = m.groups()
+                if head.isalpha() and (below is None or below.isalpha()):
+                    ids = self._letters(head, "\u0120", self.heads)
+                    if tail:
+                        ids += self._marks(tail)
+                    if below:
+                        ids += self.line + self._letters(below, "", self.bare)
+                        if end:
+                            ids += self._marks(end)
+                    self.known[w] = ids
+                    continue
+            todo.append(w)
         for i in range(0, len(todo), 4096):
             run = todo[i : i + 4096]
             found = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([" " + w for w in run], add_special_tokens=False)]
@@ -245,6 +266,7 @@ def write(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: s
     other, ordered by a hash of the text. Null texts count as empty and hold only end_id. An empty table writes no file.
     Returns part, path, n_ids, start (ids in all files before).
     """
+    small_batches(df.sparkSession)
     folder = shared_dir(df.sparkSession, "token-files")
     end = int(end_id).to_bytes(4, "little")
     ordered = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
