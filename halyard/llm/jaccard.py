@@ -61,6 +61,15 @@ def _class_id(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
+def _group_id(prefix: np.ndarray, n: int) -> int:
+    """64 bits that name a prefix of sets of n n-grams.
+
+    One long, so that joins of groups have one long as key: the hash table of a broadcast with a longer key takes a whole
+    page of an executor's heap, however small it is, until the driver collects its garbage.
+    """
+    return int(mix64(np.array([_class_id(prefix)[0]], np.int64).view(np.uint64) + np.uint64(n)).view(np.int64)[0])
+
+
 def _slices(batches: Iterator[pa.RecordBatch], text: str, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
@@ -125,7 +134,7 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
                 a, o = _class_id(s)
                 cid.append(a)
                 other.append(o)
-                group.append(_class_id(p)[0])
+                group.append(_group_id(p, len(s)))
                 prefix.append(p.view(np.int64))
                 common.append(float(c.mean()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array(other, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(common, pa.float64())], names=["doc_id", "n", "cid", "other", "prefix_id", "prefix", "common"])
@@ -144,14 +153,14 @@ def classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     other = few.toDF("key", "prefix_b", "m", "lo_b", "hi_b")
     pairs = few.join(other, "key").where("(prefix_id, n) < (prefix_b, m) and lo <= hi_b and lo_b <= hi").select("prefix_id", "n", "prefix_b", "m").distinct()
     pairs = _likely(written(pairs, "jaccard-group-pairs"), rows, percent)
-    left, right = members.select("prefix_id", "n", F.col("cid").alias("a")), members.select(F.col("prefix_id").alias("prefix_b"), F.col("n").alias("m"), F.col("cid").alias("b"))
-    pairs = pairs.join(left, ["prefix_id", "n"]).join(right, ["prefix_b", "m"]).select("a", "b")
-    inside = members.join(groups.where(f"k between 2 and {FEW}").select("prefix_id", "n"), ["prefix_id", "n"])
-    inside = inside.select("prefix_id", "n", F.col("cid").alias("a")).join(right.toDF("prefix_id", "n", "b"), ["prefix_id", "n"]).where("a < b").select("a", "b")
+    left, right = members.select("prefix_id", F.col("cid").alias("a")), members.select(F.col("prefix_id").alias("prefix_b"), F.col("cid").alias("b"))
+    pairs = pairs.join(left, "prefix_id").join(right, "prefix_b").select("a", "b")
+    inside = members.join(groups.where(f"k between 2 and {FEW}").select("prefix_id"), "prefix_id")
+    inside = inside.select("prefix_id", F.col("cid").alias("a")).join(right.toDF("prefix_id", "b"), "prefix_id").where("a < b").select("a", "b")
     pairs = written(pairs.unionByName(inside), "jaccard-pairs")
     # of keys and groups with many classes each class meets the most typical one
-    led = met.where(hot).select("prefix_id", "n", "lead").unionByName(groups.where(f"k > {FEW}").select("prefix_id", "n", F.col("typical.cid").alias("lead"))).distinct()
-    stars = written(led.join(members, ["prefix_id", "n"]).select("lead", "cid").unionByName(led.select("lead", F.col("lead").alias("cid"))).distinct(), "jaccard-stars")
+    led = met.where(hot).select("prefix_id", "lead").unionByName(groups.where(f"k > {FEW}").select("prefix_id", F.col("typical.cid").alias("lead"))).distinct()
+    stars = written(led.join(members, "prefix_id").select("lead", "cid").unionByName(led.select("lead", F.col("lead").alias("cid"))).distinct(), "jaccard-stars")
 
     links = _verified(pairs, source, words, members, percent)
     if stars.isEmpty():
@@ -205,9 +214,9 @@ def _likely(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     Of two prefixes in one order, the one that ends first shares only prefix n-grams with the other; so sets share at most
     the prefixes' common n-grams and the rest of one set.
     """
-    ids = written(pairs.select("prefix_id", "n").union(pairs.select("prefix_b", "m")).distinct(), "jaccard-likely")
-    known = _among(rows.select("prefix_id", "n", "prefix"), ids).dropDuplicates(["prefix_id", "n"])
-    both = pairs.join(known.withColumnRenamed("prefix", "x"), ["prefix_id", "n"]).join(known.toDF("prefix_b", "m", "y"), ["prefix_b", "m"])
+    ids = written(pairs.select("prefix_id").union(pairs.select("prefix_b")).distinct(), "jaccard-likely")
+    known = _among(rows.select("prefix_id", "prefix"), ids).dropDuplicates(["prefix_id"])
+    both = pairs.join(known.withColumnRenamed("prefix", "x"), "prefix_id").join(known.toDF("prefix_b", "y"), "prefix_b")
     most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
     return both.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("prefix_id", "n", "prefix_b", "m")
 
@@ -247,7 +256,7 @@ def _keyed(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     found = rows.mapInArrow(tidy(_batched(keys)), "key bigint, prefix_id bigint, n bigint, pos int").withColumns({"lo": lo, "hi": hi}).drop("pos")
     inside = _in_reach(written(found, "jaccard-found"), "jaccard-reach")
     several = inside.groupBy("key").agg(F.min("prefix_id").alias("a"), F.max("prefix_id").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a != b or c != d").select("key")
-    met = written(inside.join(several, "key").join(groups, ["prefix_id", "n"]), "jaccard-keys")
+    met = written(inside.join(several, "key").join(groups.drop("n"), "prefix_id"), "jaccard-keys")
     held = met.groupBy("key").agg(F.sum("k").alias("total"), F.max("typical").alias("typical"))
     return met.select("key", "prefix_id", "n", "lo", "hi").join(held.select("key", "total", F.col("typical.cid").alias("lead")), "key")
 
@@ -367,7 +376,8 @@ def _apart(far: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     # of what two classes of one leader differ in they must share as much as the bound asks for, in their first differences or beyond
     most = far.groupBy("lead", "cid").agg(F.first("n").alias("n"), F.first("d").alias("d"), F.first("keys").alias("keys"))
     x, y = most.toDF("lead", "a", "n", "d", "x"), most.toDF("lead", "b", "m", "e", "y")
-    both = written(pairs, "jaccard-apart-pairs").join(x, "a").join(y, ["lead", "b"])
+    held = F.xxhash64("lead", "b").alias("held")  # one long as key; what else has it by chance is one more pair to verify
+    both = written(pairs, "jaccard-apart-pairs").join(x, "a").select("*", held).join(y.select("m", "e", "y", held), "held")
     shared = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("d") - F.size("x"), F.col("e") - F.size("y"))
     return both.where((100 + percent) * (F.col("d") + F.col("e") - 2 * shared) <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b").distinct()
 

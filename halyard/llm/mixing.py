@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +87,9 @@ def plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     # full passes over a source, then the draws of its last pass: together its quota
     last = [min(n, round((target[s] - w * sizes[s]) / block)) for s, w, n in zip(names, whole, n_blocks, strict=True)]
     quota = [w * n + x for w, n, x in zip(whole, n_blocks, last, strict=True)]
-    columns = "sid int, s string, source_size bigint, target double, n_buckets bigint"
-    table = spark.createDataFrame([(i, s, sizes[s], target[s], max(1, -(-sizes[s] // BUCKET))) for i, s in enumerate(names)], columns)
+    # from Arrow, as rows of Python objects would start a second set of Python workers in every executor
+    columns = {"sid": pa.int32(), "s": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "n_buckets": pa.int64()}
+    table = spark.createDataFrame(pa.Table.from_pylist([dict(zip(columns, (i, s, sizes[s], float(target[s]), max(1, -(-sizes[s] // BUCKET))), strict=True)) for i, s in enumerate(names)], pa.schema(columns)))
 
     placed = rows.join(F.broadcast(table), F.expr("source <=> s")).drop("s").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("n_buckets")))
     inner = Window.partitionBy("sid", "bucket").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +136,7 @@ def slots(spark, quota: list[int], n_blocks: list[int], seed: int = SEED) -> Dat
     counts = written(counts, "mix-counts")
     order = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("from", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    want = F.broadcast(spark.createDataFrame([(i, q) for i, q in enumerate(quota)], "sid int, quota bigint"))
+    want = F.broadcast(spark.createDataFrame(pa.table({"sid": pa.array(range(len(quota)), pa.int32()), "quota": pa.array(quota, pa.int64())})))
     drawn = counts.join(want, "sid").withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota"))).select("shard", "sid", "from", "to")
     have = counts.groupBy("sid").agg(F.sum("n").alias("have"))
     rest = want.join(have, "sid", "left").withColumn("from", F.coalesce("have", F.lit(0))).where(F.col("from") < F.col("quota"))

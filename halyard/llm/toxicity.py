@@ -206,7 +206,8 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
             seen.unpersist()
         # at most MAX_CANDIDATES names; of each toxic text their numbers, as Arrow
         words = [r["token"] for r in top]
-        names = bags.sparkSession.createDataFrame(list(enumerate(words)), "i int, token string")
+        # from Arrow, as rows of Python objects would start a second set of Python workers in every executor
+        names = bags.sparkSession.createDataFrame(pa.table({"i": pa.array(range(len(words)), pa.int32()), "token": pa.array(words, pa.string())}))
         has = each.where("y = 1").join(F.broadcast(names), "token").groupBy("d").agg(F.collect_list("i").alias("i")).orderBy("d").select("i").toArrow()["i"]
         bad = explain([{words[i] for i in x.values.to_numpy()} for x in has], {r["token"]: r["bad"] / (r["bad"] + r["good"] + 0.3) for r in top})
         if not bad:

@@ -1,8 +1,10 @@
 """What operators leave to Python workers: batches of few bytes, and nothing of another operator."""
 
+import re
+
 import pyarrow as pa
 
-from halyard.llm import common, jaccard
+from halyard.llm import common, jaccard, mixing, toxicity
 
 
 def test_texts_reach_workers_in_small_batches(spark):
@@ -32,3 +34,32 @@ def test_a_task_drops_what_another_operator_keeps():
     assert not dropped
     assert list(common.tidy(lambda bs: bs)(iter([batch]))) == [batch]
     assert dropped == ["one"]
+
+
+def test_joins_have_one_long_as_key(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df, name)
+
+    monkeypatch.setattr(jaccard, "written", recorded)
+    groups = spark.range(0, 240, 1, 2).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', i, '_', cast(id / 40 as int))), concat('x', id % 40)) as text")
+    found = jaccard.near_duplicates(groups)
+    assert {r.component_id for r in found.collect()} == {0, 40, 80, 120, 160, 200}
+    keys = [k for p in plans for k in re.findall(r"(?:BroadcastHash|SortMerge|ShuffledHash)Join \[([^\]]*)\]", p)]
+    assert len(keys) > 10
+    assert not [k for k in keys if "," in k]
+
+
+def test_lists_of_the_driver_start_no_python_worker(spark, monkeypatch):
+    given = []
+    make = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: given.append(data) or make(self, data, *a, **b))
+    docs = spark.createDataFrame(pa.table({"doc_id": list(range(90)), "text": [f"badword{i % 3}x some words here" if i % 3 < 1 else f"clean{i} text of words" for i in range(90)], "source": ["a", "b", None] * 30}))
+    labels = docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 1, 0) as toxic")
+    toxicity.fit(docs, labels)
+    assert mixing.mix(docs).count() == 90
+    assert mixing.mixed_documents(docs).count() > 0
+    assert len(given) >= 4
+    assert all(isinstance(x, pa.Table) or len(x) == 0 for x in given)
