@@ -12,7 +12,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from halyard.llm.bpe import byte_alphabet
-from halyard.llm.common import shared_dir, small_batches, written
+from halyard.llm.common import keep, shared_dir, small_batches, written
 from halyard.llm.files import create, reopen, rows_of, spread
 
 MAGIC = b"PFORIDS1"
@@ -34,7 +34,8 @@ HEAD = struct.Struct("<IBH")
 FOOT = struct.Struct("<QQQQQ")
 #: Blocks that a writer packs, or a reader unpacks, at a time.
 RUN = 512
-CACHE_CHUNKS = 300_000
+#: Words that are known before those not met lately are forgotten; twice as many are kept at most.
+CACHE_CHUNKS = 800_000
 
 
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
@@ -153,6 +154,18 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
             yield (None if null[d] else int(names[d])), int(first[d]), have[first[d] - base : ends[d] - base]
 
 
+class Words(dict):
+    """The ids of chunks by their word; a word that is met for the first time is learned."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class ByteBPE:
     """The library's encoding of whole texts, each distinct chunk encoded once.
 
@@ -163,8 +176,8 @@ class ByteBPE:
 
     #: A word after a space whose text is encoded whole, and one whose text is, unless it ends there.
     WHOLE, ENDS = re.compile(r"^$|^\s|<\|"), re.compile(r"\s$")
-    #: Letters and marks after them, once or, around a line's end, twice.
-    SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?#$%&*()|-]{0,4})(?:\n([^\W\d_]+)([.,;:!?#$%&*()|-]{0,4}))?").fullmatch
+    #: Marks that are a piece of their own after letters, and how many of them are looked up.
+    MARKS, MOST = ".,;:!?#$%&*()|-", 4
 
     def __init__(self, path: str):
         # a task has a core; the library's own threads would only wait for each other there
@@ -173,81 +186,88 @@ class ByteBPE:
         self.tok.no_truncation()
         self.tok.no_padding()
         #: ids of the chunk of a word after a space; None where a text is encoded whole, unless the word is its last
-        self.known: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
-        self.last: dict[str, bytes] = {}
-        self.model, self.heads, self.bare, self.tails = self.tok.model, {}, {}, {}
-        self.line = pack_whole(self.tok, "\n")
+        self.known, self.before = Words(self._after_space), {}
+        #: ids of a word that starts a text or a line, of marks, and of words that only a text's end may have
+        self.bare, self.tails, self.last = Words(self._first), Words(self._whole), {}
+        self.model, self.line = self.tok.model, pack_whole(self.tok, "\n")
         self.letters = dict(enumerate(byte_alphabet()))
 
-    def _marks(self, tail: str) -> bytes:
-        if tail not in self.tails:
-            self.tails[tail] = pack_whole(self.tok, tail)
-        return self.tails[tail]
-
-    def _letters(self, head: str, space: str, known: dict[str, bytes]) -> bytes:
-        """The ids of letters after this space or none, of which known holds those met."""
-        ids = known.get(head)
-        if ids is None:
-            piece = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
-            got = [t.id for t in self.model.tokenize(space + piece)]
-            ids = known[head] = struct.pack(f"<{len(got)}I", *got)
+    @property
+    def heads(self) -> dict[str, bytes | None]:
+        """Letters after a space are words like others."""
+        return self.known
+
+    def _whole(self, text: str) -> bytes:
+        return pack_whole(self.tok, text)
+
+    def _letters(self, space: str, head: str) -> bytes:
+        piece = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
+        got = [t.id for t in self.model.tokenize(space + piece)]
+        return struct.pack(f"<{len(got)}I", *got)
+
+    def _parts(self, word: str, known: Words) -> bytes | None:
+        """The ids of letters and the marks after them, once or, around a line's end, twice; None for other words.
+
+        Letters and marks are pieces of their own, so each is looked up once for many words.
+        """
+        head = word.rstrip(self.MARKS)
+        if head.isalpha():
+            return known[head] + self.tails[word[len(head) :]] if len(word) - len(head) <= self.MOST else None
+        above, line, below = word.partition("\n")
+        if line:
+            a, b = above.rstrip(self.MARKS), below.rstrip(self.MARKS)
+            if a.isalpha() and b.isalpha() and len(above) - len(a) <= self.MOST and len(below) - len(b) <= self.MOST:
+                return known[above] + self.line + self.bare[below]
+        return None
+
+    def _first(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._letters("", word)
+        ids = self._parts(word, self.bare)
+        return self._whole(word) if ids is None else ids
+
+    def _after_space(self, word: str) -> bytes | None:
+        ids = self.before.get(word)
+        if ids is not None:
+            return ids
+        if word.isalpha():
+            return self._letters("\u0120", word)
+        ids = self._parts(word, self.known)
+        if ids is not None:
+            return ids
+        if self.WHOLE.search(word):
+            return None
+        ids = self._whole(" " + word)
+        if self.ENDS.search(word):
+            self.last[word] = ids
+            return None
         return ids
 
-    def _learn(self, words: set[str]) -> None:
+    def _forget(self) -> None:
+        """Of what is known, only the words met lately are kept."""
         if len(self.known) > CACHE_CHUNKS:
-            self.known, self.before, self.last = {}, self.known, {}
-            self.tails = {}
-            if len(self.heads) + len(self.bare) > CACHE_CHUNKS:
-                self.heads, self.bare = {}, {}
-        new = words.difference(self.known)
-        if self.before:
-            old = {w: x for w in new.intersection(self.before) if (x := self.before[w]) is not None}
-            self.known.update(old)
-            new.difference_update(old)
-        todo = []
-        for w in new:
-            # letters and the marks after them are pieces of their own, so each is looked up once for many words
-            m = self.SIMPLE(w)
-            if m:
-                head, tail, below, end = m.groups()
-                if head.isalpha() and (below is None or below.isalpha()):
-                    ids = self._letters(head, "\u0120", self.heads)
-                    if tail:
-                        ids += self._marks(tail)
-                    if below:
-                        ids += self.line + self._letters(below, "", self.bare)
-                        if end:
-                            ids += self._marks(end)
-                    self.known[w] = ids
-                    continue
-            todo.append(w)
-        for i in range(0, len(todo), 4096):
-            run = todo[i : i + 4096]
-            found = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([" " + w for w in run], add_special_tokens=False)]
-            self.known.update(zip(run, found, strict=True))
-            for w, x in zip(run, found, strict=True):
-                if self.WHOLE.search(w):
-                    self.known[w] = None
-                elif self.ENDS.search(w):
-                    self.known[w], self.last[w] = None, x
+            self.known, self.before = Words(self._after_space), self.known
+            self.tails.clear()
+            self.last = {}
+        if len(self.bare) > CACHE_CHUNKS:
+            self.bare.clear()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 512):
-            cut = [t.split(" ") for t in texts[i : i + 512]]
-            self._learn(set().union(*[ws[1:] for ws in cut]))
+        for i, t in enumerate(texts):
+            if i % 64 == 0:
+                self._forget()
+            first, *ws = t.split(" ")
+            if not ws or not first or self.WHOLE.search(first) or self.ENDS.search(first):
+                yield pack_whole(self.tok, t) if t else b""
+                continue
             known = self.known.__getitem__
-            for t, (first, *ws) in zip(texts[i : i + 512], cut, strict=True):
-                if not ws or not first or self.WHOLE.search(first) or self.ENDS.search(first):
-                    yield pack_whole(self.tok, t) if t else b""
-                    continue
-                try:
-                    if ws[-1] in self.last:
-                        yield pack_whole(self.tok, first) + b"".join(map(known, ws[:-1])) + self.last[ws[-1]]
-                    else:
-                        yield pack_whole(self.tok, first) + b"".join(map(known, ws))
-                except TypeError:  # a word that joins with what stands beside it
-                    yield pack_whole(self.tok, t)
+            try:
+                if known(ws[-1]) is None and ws[-1] in self.last:
+                    yield self.bare[first] + b"".join(map(known, ws[:-1])) + self.last[ws[-1]]
+                else:
+                    yield self.bare[first] + b"".join(map(known, ws))
+            except TypeError:  # a word that joins with what stands beside it
+                yield pack_whole(self.tok, t)
 
 
 def pack_whole(tok: Tokenizer, text: str) -> bytes:
@@ -273,6 +293,7 @@ def write(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, out = tokenizer(path), None
+        keep("token-files", tokenizer.cache_clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
