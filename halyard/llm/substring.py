@@ -275,23 +275,17 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     names = list(dict.fromkeys([*keep, text]))
     rows = df.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("_doc"), F.xxhash64(text).alias("_key"))
 
-    def some(hits: bool):
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(in_bitmap(hit.value, b.column("_key").to_numpy()) == hits))
-
-        return rows.mapInArrow(tidy(pick), rows.schema)
-
-    # texts without repeats, as the bitmap says, stay where they are
-    far = some(True).join(spans, F.expr("_doc = _d and _key = _k"), "left").select(*names, "_spans")
-    joined = some(False).select(*names, F.lit(None).cast("array<bigint>").alias("_spans")).unionByName(far)
+    def pick(batches: Iterator[pa.RecordBatch], hits: bool) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(hit.value, b.column("_key").to_numpy()) == hits))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for all_rows in batches:
             for at in range(0, all_rows.num_rows, 256):
                 b = all_rows.slice(at, 256)
                 n_words, n_removed, sha, kept = [], [], [], []
-                for t, spans in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+                found = b.column("_spans").to_pylist() if "_spans" in b.schema.names else [None] * b.num_rows
+                for t, spans in zip(b.column(text).to_pylist(), found, strict=True):
                     ws = (t or "").encode().split()
                     gone = np.zeros(len(ws) + 1, np.int64)
                     if spans:
@@ -307,4 +301,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), *[pa.array(kept, pa.string())] * whole], names=[*keep, "n_words", "n_removed", "kept_sha256", *["kept"] * whole])
 
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], "n_words bigint, n_removed bigint, kept_sha256 string", *["kept string"] * whole])
-    return joined.mapInArrow(tidy(cut), schema)
+    # texts without repeats, as the bitmap says, stay where they are; the others meet their spans in a shuffle, even if those are few:
+    # a stage with two Python functions takes two workers a task, all of which stay and are used in turn by what runs next
+    near = rows.mapInArrow(tidy(lambda batches: cut(pick(batches, False))), schema)
+    far = rows.mapInArrow(tidy(lambda batches: pick(batches, True)), rows.schema).join(spans.hint("merge"), F.expr("_doc = _d and _key = _k"), "left")
+    return near.unionByName(far.select(*names, "_spans").mapInArrow(tidy(cut), schema))

@@ -4,7 +4,7 @@ import re
 
 import pyarrow as pa
 
-from halyard.llm import common, jaccard, mixing, toxicity
+from halyard.llm import common, jaccard, mixing, substring, toxicity
 
 
 def test_texts_reach_workers_in_small_batches(spark):
@@ -63,3 +63,38 @@ def test_lists_of_the_driver_start_no_python_worker(spark, monkeypatch):
     assert mixing.mixed_documents(docs).count() > 0
     assert len(given) >= 4
     assert all(isinstance(x, pa.Table) or len(x) == 0 for x in given)
+
+
+def _python_functions(plan, others):
+    """How many Python functions the last stage of a plan runs in one task; those of the stages before go to others."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _python_functions(plan.initialPlan(), others)
+    children = plan.children()
+    below = [_python_functions(children.apply(i), others) for i in range(children.size())]
+    if "Exchange" in name:
+        others += below
+        return 0
+    return (max(below) if name == "Union" else sum(below)) + ("Arrow" in name or "Pandas" in name)
+
+
+def test_a_stage_takes_one_worker_a_task(spark, monkeypatch):
+    counts = []
+
+    def counted(df):
+        counts.append(_python_functions(df._jdf.queryExecution().executedPlan(), counts))
+
+    def recorded(df, name):
+        counted(df)
+        return common.written(df, name)
+
+    for module in (jaccard, substring, mixing):
+        monkeypatch.setattr(module, "written", recorded)
+    passage = " ".join([f"p{i}" for i in range(20)])
+    docs = spark.createDataFrame(pa.table({"doc_id": list(range(60)), "text": [f"a{i} b{i} {passage if i % 3 else ''} c{i} d{i}" for i in range(60)], "source": ["a", "b"] * 30}))
+    found = substring.dedup(docs, keep=("doc_id",))
+    counted(found)
+    assert {r.doc_id for r in found.collect() if r.n_removed} == {i for i in range(60) if i % 3 and i > 1}
+    counted(jaccard.representatives(docs))
+    counted(mixing.mixed_documents(docs))
+    assert len(counts) > 20 and max(counts) == 1
